@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("token_counts", "urls", "records", "contamination", "packing")
+MODULES = ("token_counts", "urls", "records", "contamination", "secrets", "packing", "neardup", "toxicity", "warc", "jaccard")
 
 
 def _loaded():
