@@ -30,8 +30,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         dp = prefix_counter(path)
         texts = list(text_bytes(batch["t"]))
-        n = [dp.count(t) for t in texts]
-        fit = [len(t.decode("utf-8")) if k <= limit else dp.fit(t, limit) for t, k in zip(texts, n, strict=True)]
+        n, fit = zip(*(dp.count_and_fit(t, limit) for t in texts), strict=True)
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["i", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))

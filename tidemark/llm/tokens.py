@@ -11,8 +11,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import accumulate
-
 import numpy as np
 
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
@@ -210,28 +208,24 @@ class PrefixCounter:
             ahead, blanks, base = base, piece if piece.isspace() else "", base + table[-1]
         return out
 
-    def units(self, text: bytes) -> tuple[list[str], list[int]]:
+    def units(self, text: bytes) -> tuple[list[bytes], list[int]]:
         """The units of a text and their token counts."""
         head, *tail = text.split(b" ")
         try:
-            counts = [self.first[head], *map(self.rest.__getitem__, tail)]
-            return [head.decode("utf-8"), *(" " + x.decode("utf-8") for x in tail)], counts
+            return [head, *tail], [self.first[head], *map(self.rest.__getitem__, tail)]
         except Blank:
             parts = LATER.split(text.decode("utf-8"))
-            return parts, [self.total(x) for x in parts]
+            return [x.encode("utf-8")[k > 0 :] for k, x in enumerate(parts)], [self.total(x) for x in parts]
 
     def count(self, text: bytes) -> int:
-        head, *tail = text.split(b" ")
-        try:
-            return self.first[head] + sum(map(self.rest.__getitem__, tail))
-        except Blank:
-            return sum(self.total(x) for x in LATER.split(text.decode("utf-8")))
+        return sum(self.units(text)[1])
 
-    def _joined(self, units: list[str], k: int) -> list[int]:
+    def _joined(self, units: list[bytes], k: int) -> list[int]:
         """The prefix table of unit k in its place: a lone space behind blanks belongs to their pre-token."""
-        table = self.unit(units[k])
-        if k and units[k - 1][-1:].isspace() and units[k][:1] == " ":
-            table = [table[0], self.total(units[k - 1] + " ") - self.total(units[k - 1]), *table[2:]]
+        text = lambda i: " " * (i > 0) + units[i].decode("utf-8")
+        table = self.unit(text(k))
+        if k and text(k - 1)[-1:].isspace():
+            table = [table[0], self.total(text(k - 1) + " ") - self.total(text(k - 1)), *table[2:]]
         return table
 
     def counts(self, text: bytes) -> np.ndarray:
@@ -243,17 +237,21 @@ class PrefixCounter:
             base += n
         return np.concatenate(out)
 
-    def fit(self, text: bytes, budget: int) -> int:
-        """Code points of the longest prefix of at most ``budget`` tokens."""
+    def count_and_fit(self, text: bytes, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and code points of its longest prefix of at most ``budget`` tokens."""
         units, totals = self.units(text)
-        base = list(accumulate(totals, initial=0))
-        if base[-1] <= budget:
-            return sum(map(len, units))
-        k = int(np.searchsorted(base, budget, "right")) - 1
-        best = at = sum(map(len, units[:k]))
-        if base[k] <= budget:
-            best = at + max(i for i, n in enumerate(self._joined(units, k)) if base[k] + n <= budget)
-        return best
+        total = sum(totals)
+        if total <= budget:
+            return total, len(text.decode("utf-8"))
+        k = base = 0
+        while base + totals[k] <= budget:
+            base += totals[k]
+            k += 1
+        fit = len(b" ".join(units[:k]).decode("utf-8"))
+        return total, fit + max(i for i, n in enumerate(self._joined(units, k)) if base + n <= budget)
+
+    def fit(self, text: bytes, budget: int) -> int:
+        return self.count_and_fit(text, budget)[1]
 
 
 def _byte_chars() -> list[str]:
