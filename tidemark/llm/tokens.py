@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
-CACHE = 400_000
+CACHE = 1_000_000
 LATER = re.compile(r"(?= \S)")
 
 
@@ -94,7 +94,8 @@ class PrefixCounter:
         merges = [(self.ids[as_bytes(a)], self.ids[as_bytes(b)], self.ids[as_bytes(a + b)]) for a, b in pairs]
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
         self.parts = {c: (r, a, b) for r, (a, b, c) in reversed(list(enumerate(merges)))}
-        self.longest = max(map(len, self.ids))
+        #: Tokens by their bytes, and -1 for bytes that only begin longer tokens.
+        self.trie = {t[:i]: -1 for t in self.ids for i in range(1, len(t))} | self.ids
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.stable: dict[tuple[int, int], bool] = {}
         self.tables: dict[bytes, list[int]] = {}
@@ -126,7 +127,7 @@ class PrefixCounter:
                     before, left = (made_left[0], 0), made_left[2]
                 else:
                     before, right = (made_right[0], 1), made_right[1]
-        if len(self.stable) < 4 * CACHE:
+        if len(self.stable) < CACHE:
             self.stable[a, b] = known
         return known
 
@@ -162,16 +163,23 @@ class PrefixCounter:
         """Token counts of every byte prefix of a pre-token, 0 to its length."""
         if (known := self.tables.get(piece)) is not None:
             return known
+        size, get, follows = len(piece), self.trie.get, self.follows
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        for start in range(size):
+            for end in range(start + 1, size + 1):
+                token = get(piece[start:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    ends[end].append((start, token))
         count, last = [0], [-1]
-        ids, follows = self.ids, self.follows
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(piece[start:end])
-                if token is not None and follows(last[start], token):
+        for end in range(1, size + 1):
+            for start, token in ends[end]:  # longest first
+                if follows(last[start], token):
                     count.append(count[start] + 1)
                     last.append(token)
                     break
-        if len(self.tables) < CACHE and len(piece) < 100:
+        if len(self.tables) < CACHE // 4 and len(piece) < 100:
             self.tables[piece] = count
         return count
 
