@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
-CACHE = 1_000_000
+CACHE = 1_500_000
 LATER = re.compile(r"(?= \S)")
 
 
