@@ -13,6 +13,8 @@ import os
 import re
 import numpy as np
 
+from tidemark.llm.common import LOWER_BYTES
+
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
 CACHE = 1_500_000
 LATER = re.compile(r"(?= \S)")
@@ -62,7 +64,9 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         if not self.byte_level:
-            return b"".join(map(self.first.__getitem__, text.split()))
+            # it lower-cases anyway; only a special token's name must keep its case
+            plain = text if b"<|" in text else text.translate(LOWER_BYTES)
+            return b"".join(map(self.first.__getitem__, plain.split()))
         head, *tail = text.split(b" ")
         try:
             return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
