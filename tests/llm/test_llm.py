@@ -1,0 +1,374 @@
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+
+import oracle
+from tidemark.llm import catalog, contamination, graph, jaccard, neardup, packing, records, secrets, token_counts, tokens, toxicity, urls, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = ["", " ", "a   b", "  a", "a  ", "\n\n x", "a \n b\t\t c", "don't we're", "<|endoftext|> a!!<|endof", "é  ñ", "日本　x", "x\x1c \x1c y", "'re", "🙂 👩‍👩‍👧 ok", "A.B'S E\u0301"]
+DOCS = "doc_id long, text string, source string, n_words string, i int"
+
+
+def odd_documents(spark):
+    """Null ids and texts, empty, odd and long texts, repeated rows, clashing column names."""
+    rows = [(k, t, "s", "x", 1) for k, t in enumerate(ODD)] + [(90, None, None, None, None), (None, "some text", "s", "x", 1), (91, "same text here", "s", "x", 1), (91, "same text here", "s", "x", 1), (92, "long word " * 30000, "s", "x", 1)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def no_documents(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    oracle.same(catalog.queries()[name](spark, SF), oracle.connect(SF), catalog.oracle_sql()[name])
+
+
+def test_tokens_equal_the_library(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(public_tokenizers.path(name))
+        for t in [*ODD, *texts.values()]:
+            assert np.frombuffer(e.encode(t.encode()), e.dtype).tolist() == e.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_prefix_counts_are_exact(texts):
+    dp = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(dp.tok.encode(t, add_special_tokens=False).ids)
+    for t in [*ODD, *(x[:80] for x in list(texts.values())[:40])]:
+        table = [count(t[:i]) for i in range(len(t) + 1)]
+        assert dp.counts(t.encode()).tolist() == table
+        for budget in (0, 1, 2, 7, 20):
+            assert dp.fit(t.encode(), budget) == max(i for i, n in enumerate(table) if n <= budget)
+    assert all(dp.count(t.encode()) == count(t) for t in texts.values())
+
+
+def test_op1(spark, texts):
+    tok = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in catalog.queries()["op1_token_counts"](spark, SF).collect():
+        n = len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+    odd = token_counts.token_counts(odd_documents(spark)).collect()
+    assert len(odd) == len(ODD) + 5 and token_counts.token_counts(no_documents(spark)).count() == 0
+
+
+def test_prefix_tables(spark):
+    rows = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    t = token_counts.prefix_tables(rows)
+    r = {x.doc_id: (x.a, x.b) for x in t.select("doc_id", token_counts.tokens_at(F.col("prefix_counts"), 7).alias("a"), token_counts.chars_within(F.col("prefix_counts"), 2).alias("b")).collect()}
+    assert r == {1: (2, 7), 2: (0, 0)}
+
+
+def test_op3_round_trip(spark, texts):
+    tok, at = tokens.load(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r.doc_id: r for r in catalog.queries()["op3_token_records"](spark, SF).collect()}
+    for k in sorted(texts):
+        ids = [*tok.encode(texts[k], add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_records_odd_shuffled_and_damaged(spark, tmp_path):
+    path = str(tmp_path / "r")
+    records.write_records(odd_documents(spark), path)
+    plain = records.read_records(spark, path).collect()
+    mixed = records.read_records(spark, path, shuffle_seed=3).collect()
+    key = lambda r: (r.start, r.n_tokens, r.ids_crc32, tuple(r.token_ids))
+    assert sorted(map(key, plain)) == sorted(map(key, mixed)) and len(plain) == len(ODD) + 5
+    records.write_records(no_documents(spark), str(tmp_path / "e"))
+    assert records.read_records(spark, str(tmp_path / "e")).count() == 0
+    data = bytearray(records.frame(5, b"\x01\x00", 2))
+    assert records.unframe(bytes(data), 0)[0] == 5 and records.unframe(records.frame(None, b"", 2), 0)[0] is None
+    data[-6] ^= 1
+    with pytest.raises(ValueError):
+        records.unframe(bytes(data), 0)
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def brute_contamination(text, items):
+    w = WORD.findall(lower(text or ""))
+    hit, own = set(), set()
+    for item, t in items:
+        q = WORD.findall(lower(t or ""))
+        k = min(13, len(q))
+        for s in {tuple(q[i : i + k]) for i in range(len(q) - k + 1)} if q else ():
+            for i in range(len(w) - k + 1):
+                if w[i] == s[0] and tuple(w[i : i + k]) == s:
+                    hit.update(range(i, i + k))
+                    own.add(str(item))
+    return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_op4(spark, texts):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.queries()["op4_decontamination"](spark, SF).collect()}
+    assert got == {k: brute_contamination(t, items) for k, t in texts.items()}
+    assert any(x[4] for x in got.values())
+
+
+def test_contamination_spans_blocks_and_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "Éa b c"), (2, None), (3, "!!"), (4, "x y"), (1, "Éa b c")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "pre -- Éa, B c! x  Y end"), (2, None), (3, "")], "doc_id long, text string")
+    for size in (1, 4 << 20):
+        r = {x.doc_id: x for x in contamination.contaminated_words(d, bench, block_bytes=size).collect()}
+        assert (r[1].n_words, r[1].n_hit, r[1].items) == (7, 5, ["1", "4"]) and (r[2].n_words, r[2].n_hit) == (0, 0)
+        assert [tuple(s) for s in r[1].spans] == [(7, 20)]
+    # of the odd texts, the one of the words x and y alone is all window
+    assert contamination.decontaminate(odd_documents(spark), bench).count() == len(ODD) + 4
+    assert contamination.decontaminate(no_documents(spark), bench).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contamination.contaminated_words(d, none).where("n_hit > 0").count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def brute_spans(s):
+    out = [(*m.span(), "assign") for m in ASSIGN.finditer(s) if len(m[2]) >= 12] + [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", s) if len(m[0]) >= 18] + [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", s) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_op5(spark, texts):
+    for r in catalog.queries()["op5_secrets"](spark, SF).collect():
+        want = brute_spans(texts[r.doc_id])
+        assert r.base_sha256 == secrets.digest(want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in want) for k in secrets.KINDS[:3])
+        assert {f"{k}:{a}:{b}" for a, b, k in want} <= set(r.spans.split(","))
+
+
+def test_secret_network_and_redaction(spark):
+    net = secrets.trained()
+    x, y = secrets.labelled_findings(800, 11)
+    found = net.score(x) >= net.threshold
+    assert found[y == 1].mean() >= 0.93 and found[y == 0].mean() <= 0.05
+    rows = spark.createDataFrame([(1, "é key: gh_9aQ2mZ7xL0pR4tB8wK3vN6yC1 end", 7), (2, None, 7), (3, "token = abcdefghijkl0123.", 7)], "doc_id long, text string, spans int")
+    got = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    assert got[1] == "é key: [SECRET] end" and got[2] is None and got[3] == "[SECRET]"
+    assert secrets.redact(no_documents(spark)).count() == 0 and secrets.scan_secrets(odd_documents(spark)).count() == len(ODD) + 5
+
+
+@pytest.mark.parametrize("targets", [None, {"src0": 0.5, "src1": 0.3, "src2": 0.1}])
+def test_packing_is_whole(spark, docs, texts, targets):
+    tok = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {k: [*tok.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    pieces, sequences = {}, {}
+    for r in packing.pack(docs, targets=targets).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts, size in [(v, len(ids[k])) for k, v in pieces.items()] + [(v, None) for v in sequences.values()]:
+        end = 0
+        for a, n in sorted(parts):
+            assert a == end
+            end += n
+        assert end == size if size else end & (end - 1) == 0 and end <= 2048
+    assert set(pieces) == set(ids) and sorted(sequences) == list(range(len(sequences)))
+
+
+def test_packing_keeps_the_mixture(spark):
+    rows = spark.createDataFrame([(i, "word " * (i % 50), f"s{i % 3}" if i % 2 else "big") for i in range(3000)], "doc_id long, text string, source string")
+    got = packing.pack(rows, size=256).join(rows.select("doc_id", "source"), "doc_id").groupBy("sequence_id").pivot("source").agg(F.sum("length")).collect()
+    full = [r for r in got if sum(n or 0 for n in r[1:]) == 256]
+    assert len(full) > 50 and all(max(c) - min(c) <= 4 for c in list(zip(*full, strict=True))[1:])
+    assert packing.pack(no_documents(spark)).count() == 0 and packing.pack(odd_documents(spark)).agg(F.sum("length")).first()[0] > 0
+    many = rows.withColumn("source", F.col("doc_id").cast("string"))
+    assert packing.pack(many, max_queues=4).agg(F.countDistinct("doc_id")).first()[0] == 3000
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)]))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[find(k)] = min(low.get(find(k), i), i)
+    return sorted((i, len(sets[k]), low[find(k)] if sets[k] else i) for k, (i, _) in enumerate(rows))
+
+
+def test_op10(spark, texts):
+    got = sorted(map(tuple, catalog.queries()["op10_ngram_jaccard"](spark, SF).collect()))
+    assert got == brute_components(sorted(texts.items()))
+
+
+def test_jaccard_dense_group_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 500, 60)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(60)] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(300, None), (301, ""), (302, "a b"), (303, "A  b"), (304, "a b c"), (305, " \n"), (7, "a b"), (306, "w " * 5000), (307, "w " * 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (64, 1024):
+        assert sorted(map(tuple, jaccard.jaccard_components(d, rows=size).collect())) == brute_components(rows)
+    kept = jaccard.keep_representatives(d)
+    assert kept.columns == ["doc_id", "text"] and kept.where("doc_id in (302, 303)").count() == 0
+    assert jaccard.jaccard_components(no_documents(spark)).count() == 0
+    assert jaccard.jaccard_components(odd_documents(spark)).count() == len(ODD) + 5
+    assert jaccard.keep_representatives(odd_documents(spark)).columns == odd_documents(spark).columns
+
+
+def test_overlaps_counts_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)] + [np.unique(rng.integers(0, 10**4, 40)).astype(np.uint64) for _ in range(30)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = jaccard.overlaps(sets)
+    assert all(got[i][j] == want[i][j] for i in range(60) for j in range(60) if i != j)
+    assert jaccard.overlaps(sets[:20], sets[20:]).tolist() == [r[20:] for r in want[:20]]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(500, 560)] + [(600, k) for k in range(601, 700)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {x: x for e in links for x in e}
+    for _ in range(100):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(got.get(x, x) == r for x, r in root.items())
+
+
+def test_op7_recall(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 32))
+    rows = [(i, [float(x) for x in centre[i % 40] + rng.normal(size=32) * 0.25], int(i % 40 % 3)) for i in range(800)]
+    rows += [(900, rows[0][1], 0), (901, rows[0][1], 0), (902, rows[0][1], 1), (903, None, 0), (904, [0.0] * 32, 0), (905, [1.0, float("nan")], 0), (906, rows[0][1], None), (907, [1.0, None], 0), (908, [1.0, 2.0], 0), (None, rows[0][1], 0)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(got) == len(rows)
+    by = {r.vec_id: r for r in got}
+    good = [r for r in rows if r[0] is not None and r[2] is not None and r[1] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1]) and len(r[1]) == 32]
+    x = np.array([np.float32(r[1]) for r in good], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in good])
+    links = ((x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])).sum(axis=1) - 1
+    mine = np.array([by[r[0]].n_links for r in good])
+    assert (mine <= links).all() and links.sum() > 1000 and mine.sum() >= 0.9 * links.sum()
+    assert all(by[k].n_links == 0 and by[k].component_id == k and by[k].kept for k in (903, 904, 905, 906, 907, 908))
+    assert by[901].component_id == 0 and not by[901].kept and by[902].component_id != 0
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 3 <> 0"))
+    held = toxicity.score_toxicity(docs, model).join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    right = sum((r.p_toxic >= 0.5) == (r.label == 1) for r in held)
+    assert right / len(held) >= 0.9
+    assert all(0 <= r.severity <= 3 for r in held)
+
+
+def test_toxicity_odd_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(odd_documents(spark), none)
+    assert toxicity.score_toxicity(odd_documents(spark), model).where("toxic").count() == 0
+    assert toxicity.drop_toxic(odd_documents(spark), model).count() == len(ODD) + 5
+    assert toxicity.drop_toxic(no_documents(spark), model).count() == 0
+
+
+def test_ordinal_thresholds_rise():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 3))
+    y = np.digitize(x @ [2.0, -1.0, 0.0] + rng.logistic(size=2000), [0, 1.5, 3])
+    w, theta = toxicity.fit_ordinal(x, y)
+    assert np.abs(w - [2, -1, 0]).max() < 0.3 and np.abs(theta - [0, 1.5, 3]).max() < 0.4
+
+
+def test_url_rules():
+    a = urls.ShiftAnd(urls.RULES)
+    name = lambda h, p: (lambda k: None if k < 0 else a.rules[k].name)(int(a.match([h], [p])[0]))
+    assert name("example.com", "/en/x") == "example.com/en/" and name("a.www.example.com", "/en/") == "www.example.com/en/"
+    assert name("example.com", "/de/") == "com/" and name("com", "/") == "com/" and name("xcom", "/") is None and name("a.com", "") is None
+    assert name("a.net", "/fr/1") == "net/fr/" and name("a.net", "/en/") is None and name("a.net/", "x") is None
+    globs = urls.ShiftAnd([urls.Rule("ads*.x.org", "/*/track", "block"), *(urls.Rule(f"h{k}.org", "/", "allow") for k in range(40))])
+    got = globs.match(["ads7.x.org", "b.ads.x.org", "ads.y.org", "h39.org"], ["/a/b/track/1", "/q/track", "/a/track", "/z"])
+    assert [globs.rules[k].name if k >= 0 else None for k in got] == ["ads*.x.org/*/track", "ads*.x.org/*/track", None, "h39.org/"]
+
+
+def test_url_odd_rows(spark):
+    rows = [(1, None), (2, "no scheme"), (3, "HTTP://EXAMPLE.com/en/"), (4, "://É.com"), (None, "a://b.net/es/" + "x" * 100000), (3, "HTTP://EXAMPLE.com/en/")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted((r.host, r.rule, r.verdict) for r in got if r.rule) == [("b.net", "net/es/", "block")] + [("example.com", "example.com/en/", "block")] * 2
+    assert len(got) == 6 and urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_revisits_against_a_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(600):
+        url = None if k % 97 == 0 else "https://h.org/hot" if rng.random() < 0.4 else f"http://h{rng.integers(20)}.org/p#{k}"
+        rows.append((k, url, None if k % 89 == 0 else int(rng.integers(0, 300)), "response" if rng.random() < 0.5 else "revisit", {"etag": f"t{rng.integers(3)}"} if rng.random() < 0.8 else {}))
+    schema = "record_id long, url string, ts long, record_type string, headers map<string,string>"
+    for buckets in (1, 7, 256):
+        got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, schema), buckets).collect()}
+        assert len(got) == sum(r[3] == "revisit" for r in rows)
+        for k, url, ts, kind, head in rows:
+            if kind == "revisit":
+                key = lambda u: u and u.split("://")[1].split("#")[0]
+                past = [r for r in rows if r[3] == "response" and url and ts is not None and r[2] is not None and key(r[1]) == key(url) and (r[2], r[0]) < (ts, k)]
+                to = max(past, key=lambda r: (r[2], r[0]), default=None)
+                assert got[k].referred_id == (to[0] if to else None)
+                tags = (head.get("etag"), to[4].get("etag")) if to else (None, None)
+                assert got[k].outcome == ("missing" if not to else "unverified" if None in tags else "resolved" if tags[0] == tags[1] else "mismatch")
+    assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [{"record_id": f"<{k}>", "url": f"http://a/{k}", "ts": "2024", "record_type": "revisit" if k % 2 else "response", "headers": {"etag": str(k)}, "payload": bytes(k)} for k in range(5)]
+    with (tmp_path / "x.warc.gz").open("wb") as f:
+        warc.write_warc(iter(rows), f)
+    got = warc.read_warc(spark, str(tmp_path), rows_at_once=2).orderBy("record_id").collect()
+    assert [(r.record_id, r.url, r.record_type, r.headers["etag"], len(r.payload)) for r in got] == [(r["record_id"], r["url"], r["record_type"], r["headers"]["etag"], len(r["payload"])) for r in rows]
+    assert list(warc.parse_warc(io.BytesIO(b"junk\nWARC/1.1\r\n\r\n")))[0]["record_id"] is None
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in p.STAGES[:-1]:
+        kept = packing.materialize(stage(spark, kept, SF), name)
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+    rows = p.STAGES[-1][1](spark, kept, SF)
+    assert rows.select("doc_id").distinct().count() == kept.count()
+    assert kept.where(F.col("text").contains("AKIA")).count() == 0
+    once = p.run(spark, SF)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, rows.collect()))
