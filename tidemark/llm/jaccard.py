@@ -35,7 +35,7 @@ SIMILARITY = 75  # per cent
 #: Rows of a candidate group that one task multiplies with as many others.
 ROWS = 1024
 #: MB of shingles that one block aims at, and MB of text that are shingled at once.
-BLOCK_MB, TEXT_MB = 32, 4
+BLOCK_MB, TEXT_MB = 16, 1
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240229)

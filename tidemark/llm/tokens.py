@@ -16,7 +16,7 @@ import numpy as np
 from tidemark.llm.common import LOWER_BYTES
 
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
-CACHE = 1_500_000
+CACHE = 1_000_000
 LATER = re.compile(r"(?= \S)")
 
 
