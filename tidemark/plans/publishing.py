@@ -139,7 +139,7 @@ ORACLE = {
     "platform_preview": _PLAN + " SELECT video, platform, action, round(CASE action WHEN 'scale' THEN 0 WHEN 'crop_horizontal' THEN (1 - ta / sa) * 100 ELSE (1 - sa / ta) * 100 END, 1) AS crop_percentage, size > largest AS too_large FROM k",
     "display_forms": f"""WITH o AS (SELECT o_orderkey, o_orderkey * 7919 % 90000 AS k FROM orders), s AS (SELECT *, k / 8.0::DOUBLE AS s, k / 8.0::DOUBLE + 100 AS e, k * 1000 AS b FROM o)
         SELECT o_orderkey, CASE WHEN s < 60 THEN floor(s + 0.5)::BIGINT || 's' ELSE CASE WHEN s >= 3600 THEN floor(s / 3600)::BIGINT || 'h ' ELSE '' END || floor(s % 3600 / 60)::BIGINT || 'm' || CASE WHEN floor(s % 60 + 0.5) > 0 THEN ' ' || floor(s % 60 + 0.5)::BIGINT || 's' ELSE '' END END AS duration,
-        {_CLOCK('s')} AS clock, {_CLOCK('s')} || ' - ' || {_CLOCK('e')} AS span, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%.1f MB', b / 1048576.0::DOUBLE) END AS size, format('{{:,}}', k) AS thousands,
+        {_CLOCK('s')} AS clock, {_CLOCK('s')} || ' - ' || {_CLOCK('e')} AS span, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size, format('{{:,}}', k) AS thousands,
         '[' || repeat('█', floor(k % 11 / 10.0::DOUBLE * 10 + 0.5)::BIGINT) || repeat('░', 10 - floor(k % 11 / 10.0::DOUBLE * 10 + 0.5)::BIGINT) || '] ' || k % 11 * 10 || '%' AS bar FROM s""",
     "error_classify": _ERR + f" SELECT event_id, regexp_matches(lower(message), '{'|'.join(x.TRANSIENT)}') AS transient, {_FRIENDLY} AS friendly FROM e",
     "retry_wait": _ERR + r" SELECT event_id, coalesce(try_cast(nullif(regexp_extract(message, 'try again in (\d+\.?\d*)s', 1), '') AS DOUBLE) + 1, 2.0::DOUBLE * pow(2, event_id % 5)) AS wait, pow(2.0::DOUBLE, event_id % 4) AS backoff FROM e",
