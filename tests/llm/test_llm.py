@@ -359,16 +359,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert list(warc.parse_warc(io.BytesIO(b"junk\nWARC/1.1\r\n\r\n")))[0]["record_id"] is None
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark, docs, texts):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in p.STAGES[:-1]:
-        kept = packing.materialize(stage(spark, kept, SF), name)
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
-    rows = p.STAGES[-1][1](spark, kept, SF)
-    assert rows.select("doc_id").distinct().count() == kept.count()
-    assert kept.where(F.col("text").contains("AKIA")).count() == 0
-    once = p.run(spark, SF)
-    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, rows.collect()))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    stages, kept = dict(p.STAGES), {}
+    now = docs
+    for name in list(stages)[:-1]:
+        now = packing.materialize(stages[name](spark, now, SF), name)
+        assert now.columns == docs.columns
+        kept[name] = {r.doc_id: r.text for r in now.collect()}
+    scores = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("NOT toxic").collect()
+    assert kept["toxicity"] == {r.doc_id: texts[r.doc_id] for r in scores}
+    alone = {i for i, _, c in brute_components(sorted(kept["toxicity"].items())) if i == c}
+    assert set(kept["ngram_jaccard"]) == alone
+    clean = {k for k in alone if not brute_contamination(texts[k], items)[4]}
+    assert set(kept["decontamination"]) == set(kept["secrets"]) == clean < alone
+    for k in clean:
+        text, end = "", 0
+        for a, b, _ in brute_spans(texts[k]):
+            if a >= end:
+                text += texts[k][end:a] + "[SECRET]"
+            end = max(end, b)
+        assert kept["secrets"][k] == text + texts[k][end:]
+    tok = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    rows = stages["packing"](spark, now, SF)
+    total = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert total == {k: len(tok.encode(t, add_special_tokens=False).ids) + 1 for k, t in kept["secrets"].items()}
+    assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, rows.collect()))
