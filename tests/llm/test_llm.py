@@ -246,6 +246,16 @@ def test_jaccard_dense_group_in_blocks(spark):
     assert jaccard.keep_representatives(odd_documents(spark)).columns == odd_documents(spark).columns
 
 
+def test_representatives_are_rows_not_ids(spark):
+    near = [f"a{k}" for k in range(40)]
+    copy = " ".join([*near[:-1], "other"])
+    rows = [(3, " ".join(near)), (7, copy), (7, "one of a kind"), (8, "short unique"), (8, "another longer unique text"), (9, "twice the same"), (9, "twice the same"), (10, None), (10, " "), (None, None), (None, "")]
+    rows += [(None, f"null id text {k}") for k in range(5)] + [(None, copy), (None, "only null ids"), (None, "only null ids")]
+    got = jaccard.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [rows[0], *rows[2:6], *rows[7:16], rows[17]]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_overlaps_counts_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(30)] + [np.unique(rng.integers(0, 10**4, 40)).astype(np.uint64) for _ in range(30)]

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import LOWER_BYTES, materialize, text_bytes
 from tidemark.llm.graph import components, local_roots
@@ -87,6 +88,11 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     return out
 
 
+def _fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The class of each shingle set: equal sets have equal ones."""
+    return np.array([int(np.bitwise_xor.reduce(_mix(s ^ _STEP[60]))) ^ int(np.add.reduce(_mix(s + _STEP[61]))) for s in sets], np.uint64)
+
+
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of some MB, with the place of the first."""
     at = 0
@@ -117,7 +123,7 @@ def _deal(bits: int, kind: pa.DataType):
             texts = list(text_bytes(batch["t"]))
             for at, part in _chunks(texts):
                 sets = shingle_sets(part)
-                f = np.array([int(np.bitwise_xor.reduce(_mix(s ^ _STEP[60]))) ^ int(np.add.reduce(_mix(s + _STEP[61]))) for s in sets], np.uint64)
+                f = _fingerprints(sets)
                 n = np.array([len(s) for s in sets])
                 ids = batch["i"].slice(at, len(part))
                 yield _rows(kind, _mix(f).astype(np.int64) & ((1 << bits) - 1), ids, n, f, [None] * len(part))
@@ -297,8 +303,8 @@ def _multiply(similarity: int):
     return run
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links) of each document."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, similarity: int, rows: int) -> DataFrame:
+    """i, n, f (class) and root (the component's smallest linked class; null for empty sets) of each document."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, 2 * size // (BLOCK_MB << 20)) if size < 1 << 60 else 0)
@@ -323,7 +329,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = blocks.groupBy("root", "x", "y").applyInArrow(_multiply(similarity), "a long, b long")
     linked = components(links, "jaccard-links")
 
-    whole = docs.join(linked, docs.f == linked.node, "left").select("i", "n", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"))
+    return docs.join(linked, docs.f == linked.node, "left").select("i", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, rows: int = ROWS) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id reachable by links) of each document."""
+    whole = _rooted(df, id_col, text_col, similarity, rows).select("i", "n", "root")
     smallest = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("i").alias("component_id"))
     out = whole.join(smallest, "root", "left")
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))
@@ -335,18 +346,36 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
+def _with_class(at: int):
+    """Rows with the class of their text as a last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, part in _chunks(list(text_bytes(batch.column(at)))):
+                some = batch.slice(k, len(part))
+                yield pa.RecordBatch.from_arrays([*some.columns, _long(_fingerprints(shingle_sets(part)))], [*batch.schema.names, "_f"])
+
+    return run
+
+
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that repeat that id, one. Rows with a null
-    id stay only where their component has no other."""
-    found = jaccard_components(df, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    kept = df.join(keep, F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
-    first = Window.partitionBy(id_col).orderBy(F.length(text_col).desc(), F.xxhash64(text_col))
-    again = df.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
-    once = kept.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left")
-    single = once.where("_again IS NULL AND " + f"`{id_col}` IS NOT NULL").drop("_again")
-    several = once.where("_again IS NOT NULL OR " + f"`{id_col}` IS NULL").drop("_again").withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-    return single.unionByName(several)
+    """One row of each component, the one with the smallest id (a null id only where there is no other); of rows of the
+    component that repeat that id, the longest text. Rows of different components all stay, whatever their ids, and so
+    does every row without words. Of rows whose id is null or repeated, the class of their set says which component they
+    are in; the id alone says it of the others."""
+    found = materialize(_rooted(df, id_col, text_col, SIMILARITY, ROWS).where("n > 0").groupBy("root", "i", "f").count(), "jaccard-rows")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"))).alias("m")).select(F.col("root").alias("r"), F.col("m.i").alias("j"))
+    best = found.join(first, (F.col("root") == F.col("r")) & F.col("i").eqNullSafe(F.col("j")))
+    best = best.select(F.col("root").alias("_root"), F.col("i").alias("_i"), F.col("f").alias("_g"))
+    ids = found.groupBy("i").agg(F.sum("count").alias("rows")).where("rows > 1 OR i IS NULL").select(F.col("i").alias("_more"))
+    words = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    single = best.join(ids, F.col("_i").eqNullSafe(F.col("_more")), "left_anti")
+    kept = df.where(words).join(single, F.col(id_col) == F.col("_i"), "left_semi")
+    others = df.where(words).join(ids, F.col(id_col).eqNullSafe(F.col("_more")), "left_semi")
+    marked = others.mapInArrow(_with_class(df.columns.index(text_col)), StructType([*df.schema.fields, StructField("_f", LongType())]))
+    order = Window.partitionBy("_root").orderBy(F.length(text_col).desc(), F.xxhash64(text_col))
+    ranked = marked.join(best, (F.col("_f") == F.col("_g")) & F.col(id_col).eqNullSafe(F.col("_i"))).withColumn("_rank", F.row_number().over(order))
+    return df.where(~words).unionByName(kept).unionByName(ranked.where("_rank = 1").select(*df.columns))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
