@@ -1,4 +1,5 @@
-"""Streaming queries over the events table, run to what is there now (checked by rows; windows not yet closed stay out)."""
+"""Streaming operators over the events table as it is now: windows and sessions of the whole table, the last ones included
+(their watermark is for live streams), and the stage tracker as a stream (checked by rows)."""
 
 from __future__ import annotations
 
@@ -18,11 +19,11 @@ def _folder(spark) -> str:
 
 
 def stream_windows(spark, sf: str) -> DataFrame:
-    return events.run_once(events.tumbling(events.event_stream(spark, sf), "1 day"), _folder(spark))
+    return events.tumbling(events.event_table(spark, sf), "1 day")
 
 
 def stream_sessions(spark, sf: str) -> DataFrame:
-    return events.run_once(events.sessions(events.event_stream(spark, sf), "12 hours"), _folder(spark))
+    return events.sessions(events.event_table(spark, sf), "12 hours")
 
 
 def stream_stages(spark, sf: str) -> DataFrame:

@@ -12,6 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole events table, with the columns of event_stream; watermarks do nothing on it."""
+    rows = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    return rows.withColumn("at", F.col("ts").cast("timestamp"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_at_once: int = 64) -> DataFrame:
     """The events table as a file stream, with an event time that watermarks take."""
     rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(f"{sf_dir}/events*.parquet")
@@ -19,7 +25,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_at_once: int = 64) -> D
 
 
 def tumbling(events: DataFrame, length: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts and sums of windows by type; rows later than the watermark are dropped."""
+    """Counts and sums of windows by type; on a stream, rows later than the watermark are dropped."""
     w = F.window("at", length)
     return events.withWatermark("at", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
@@ -60,7 +66,7 @@ def stage_tracker(updates: DataFrame) -> DataFrame:
 
 
 def run_once(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """All that is there now, written to a table under path and read back."""
+    """All that is there now, written to a table under path and read back; windows that the watermark has not passed stay out."""
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
