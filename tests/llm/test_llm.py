@@ -198,6 +198,53 @@ def test_packing_keeps_the_mixture(spark):
     assert packing.pack(many, max_queues=4).agg(F.countDistinct("doc_id")).first()[0] == 3000
 
 
+def test_packing_keeps_every_source_of_many(spark):
+    rows = spark.createDataFrame([(i, "word " * (i % 30), f"s{i % 60}" if i % 2 else "big") for i in range(12000)], "doc_id long, text string, source string")
+    for targets in (None, {"big": 0.5, "s29": 0.3, "s59": 0.2}):
+        got = packing.pack(rows, size=256, targets=targets).join(rows.select("doc_id", "source"), "doc_id").groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+        count, total, all_ = {}, {}, sum(r.n for r in got)
+        for r in got:
+            count.setdefault(r.sequence_id, {})[r.source] = r.n
+            total[r.source] = total.get(r.source, 0) + r.n
+        assert len(total) == 31
+        if targets:
+            full = [c for _, c in sorted(count.items()) if sum(c.values()) == 256][:10]
+            assert all(abs(c.get(q, 0) - 256 * g) <= 8 for c in full for q, g in targets.items())
+        else:
+            u, done = 0, dict.fromkeys(total, 0)
+            for _, c in sorted(count.items())[(all_ % 256).bit_count() :]:
+                u += sum(c.values())
+                for q in total:
+                    done[q] += c.get(q, 0)
+                    # a deficit of under 4 tokens here and where the whole windows began
+                    assert abs(done[q] - u * total[q] / all_) < 8
+
+
+def test_schedule_of_any_number_of_queues():
+    rng = np.random.default_rng(4)
+    for totals, size in (({f"q{i}": int(n) for i, n in enumerate(rng.integers(1, 40, 3000))} | {"hot": 50000}, 2048), ({f"q{i}": 1 << i for i in range(16)}, 64), ({"a": 10**10, "b": 3, "c": 7 * 10**9}, 2048)):
+        s = packing.Schedule(totals, None, size)
+        for q in [*totals][:200]:
+            start, length, _, _ = s.cut(q, 0, min(totals[q], 5000))
+            order = np.argsort(start)
+            assert length.sum() == min(totals[q], 5000) and (np.append(start[order], length.sum())[1:] == start[order] + length[order]).all()
+        if sum(totals.values()) < 1 << 20:
+            rows = sorted((int(w), int(o), int(n)) for q, x in totals.items() for _, n, w, o in zip(*s.cut(q, 0, x), strict=True))
+            ends = {}
+            for w, o, n in rows:
+                assert ends.get(w, 0) == o
+                ends[w] = o + n
+            assert sorted(ends) == list(range(len(ends))) and sum(ends.values()) == sum(totals.values()) and all(n == size for n in list(ends.values())[len(s.powers) :])
+
+
+def test_shared_queues_take_their_sources_targets(spark):
+    rows = spark.createDataFrame([(i, "word " * 20, f"s{i % 8}") for i in range(4000)], "doc_id long, text string, source string")
+    bucket = F.pmod(F.xxhash64("source"), F.lit(3))
+    own = {r.source: r.b for r in rows.select("source", bucket.alias("b")).distinct().collect()}
+    got = packing.pack(rows, size=256, targets={"s0": 1.0}, max_queues=3).join(rows.select("doc_id", bucket.alias("b")), "doc_id").where("sequence_id between 12 and 20").select("b").distinct().collect()
+    assert [r.b for r in got] == [own["s0"]]
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:

@@ -1,20 +1,24 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills every window to target token proportions.
 
-Each source is a queue of its documents' ids. In every window of ``size`` tokens a queue is served its share of the
-tokens, in whole tokens; what is missing to its exact share is its deficit, carried to the next window. Served so far is
-``floor(u * amount / length)`` after u tokens, so a deficit stays under one token; the largest queue takes what the
-others leave. The schedule is therefore known for any window without the ones before, and tasks cut their documents
-independently: deficits carry across windows and partitions alike. With targets other than the corpus's own mixture,
-the schedule has phases: when a queue cannot fill its share of another window, the others go on in their proportions.
+Each source is a queue of its documents' ids, at any number of sources. In every window of ``size`` tokens a queue is
+served its share of the tokens, in whole tokens; what is missing to its exact share is its deficit, carried to the next
+window. The queues are the leaves of a Huffman tree over their tokens: of the first v tokens of a node, its left child
+gives ``floor(v * left / whole)`` and its right child the others, so both only grow and add up exactly. No inner node
+holds more than two thirds of its parent, so a deficit stays under four tokens however many queues there are. The
+schedule is known for any window without the ones before, and tasks cut their documents independently: deficits carry
+across windows and partitions alike. With targets other than the corpus's own mixture, the schedule has phases: when a
+queue cannot fill its share of another window, the others go on in their proportions.
 
 The tokens that do not fill a window come first, cut into sequences of powers of two, so nothing is padded.
 
-A null text is empty and still has its end id; a null source is the queue ``""``. Beyond ``max_queues`` sources, sources
-share queues by hash. Repeated ids stay apart as rows; an empty table gives an empty result.
+A null text is empty and still has its end id; a null source is the queue ``""``. Only where a caller sets
+``max_queues`` do more sources than that share queues by hash; a queue's target is then the sum of its sources' targets.
+Repeated ids stay apart as rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +32,6 @@ from tidemark.llm.common import materialize, text_bytes
 from tidemark.llm.tokens import encoder
 
 SIZE = 2048
-#: The largest queue must be able to absorb the others' rounding: size / queues >= queues.
-MAX_QUEUES = 40
 
 
 class Phase:
@@ -38,42 +40,50 @@ class Phase:
     def __init__(self, amounts: list[int], taken: list[int], first: int, size: int, window: int):
         self.amounts, self.taken, self.first, self.size, self.window = amounts, taken, first, size, window
         self.length = sum(amounts)
-        self.filler = int(np.argmax(amounts))
-        big = self.length * max(amounts) >= 1 << 62
-        self.kind = object if big else np.int64
-        self.amount = np.array(amounts, self.kind)
-
-    def windows(self) -> int:
-        return (self.length - self.first) // self.size + (self.first > 0)
+        self.kind = object if self.length * max(amounts) >= 1 << 62 else np.int64
+        # of each node but the root: its parent, whether it is the right child, the tokens of the left one and of both
+        self.parent, self.right, self.left, self.whole = ([0] * len(amounts) for _ in range(4))
+        heap = [(n, i) for i, n in enumerate(amounts) if n]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (n, i), (m, k), node = heapq.heappop(heap), heapq.heappop(heap), len(self.parent)
+            for child, right in ((i, 0), (k, 1)):
+                self.parent[child], self.right[child], self.left[child], self.whole[child] = node, right, n, n + m
+            for column in (self.parent, self.right, self.left, self.whole):
+                column.append(0)
+            heapq.heappush(heap, (n + m, node))
+        self.parent, self.right, self.left, self.whole = (np.array(c, np.int64) for c in (self.parent, self.right, self.left, self.whole))
 
     def edges(self, j: np.ndarray) -> np.ndarray:
         """Tokens of the phase before its window j."""
         j = j.astype(self.kind)
         return np.maximum(self.first + (j - 1) * self.size, 0) if self.first else j * self.size
 
-    def served(self, u: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) among the first u of the phase (rows)."""
-        out = u[:, None] * self.amount[None, :] // self.length
-        out[:, self.filler] += u - out.sum(axis=1)
+    def windows(self) -> int:
+        return (self.length - self.first) // self.size + (self.first > 0)
+
+    def path(self, q: int) -> list[tuple[int, int, int]]:
+        """(is right, tokens of the left child, of both) from the queue up to the root."""
+        out = []
+        while self.whole[q]:
+            out.append((int(self.right[q]), int(self.left[q]), int(self.whole[q])))
+            q = int(self.parent[q])
         return out
 
-    def find(self, q: int, x: int) -> int:
-        """The window that holds token x of queue q."""
-        low, high = 0, self.windows() - 1
-        guess = int(x * self.length // max(1, self.amounts[q]) - self.first) // self.size + (self.first > 0)
-        for k in (guess - 2, guess + 2):
-            if low < k < high:
-                if int(self.served(self.edges(np.array([k])))[0, q]) <= x:
-                    low = max(low, k)
-                else:
-                    high = min(high, k - 1)
-        while low < high:
-            mid = (low + high + 1) // 2
-            if int(self.served(self.edges(np.array([mid])))[0, q]) <= x:
-                low = mid
-            else:
-                high = mid - 1
-        return low
+    def served(self, path: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a queue among the first u of the phase, and those of the queues to its left."""
+        lead = np.zeros(len(u), self.kind)
+        for right, part, whole in reversed(path):
+            left = u * part // whole
+            lead, u = (lead + left, u - left) if right else (lead, left)
+        return u, lead
+
+    def find(self, path: list, x: np.ndarray) -> np.ndarray:
+        """The windows that hold tokens x of a queue."""
+        x = x.astype(self.kind)
+        for right, part, whole in path:
+            x = x * whole // (whole - part) if right else -(-(x + 1) * whole // part) - 1
+        return np.where(x < self.first, 0, (x - self.first) // self.size + (self.first > 0)).astype(np.int64)
 
 
 class Schedule:
@@ -89,15 +99,16 @@ class Schedule:
         held: set[int] = set()
         while targets and sum(left):
             goal = [0 if i in held or not left[i] else max(0.0, float(targets.get(q, 0))) for i, q in enumerate(self.names)]
-            short = [i for i, g in enumerate(goal) if g and left[i] < g / sum(goal) * (size + first) + len(goal)]
-            if short or not sum(goal):
+            whole, spare = sum(goal), sum(g > 0 for g in goal)
+            short = [i for i, g in enumerate(goal) if g and left[i] < g / whole * (size + first) + spare]
+            if short or not whole:
                 held.update(short)
                 if not short:
                     break
                 continue
-            count = min(int((left[i] - len(goal)) * sum(goal) / g - first) // size for i, g in enumerate(goal) if g)
+            count = min(int((left[i] - spare) * whole / g - first) // size for i, g in enumerate(goal) if g)
             length = first + max(1, count) * size
-            amounts = [int(length * g / sum(goal)) for g in goal]
+            amounts = [int(length * g / whole) for g in goal]
             amounts[int(np.argmax(goal))] += length - sum(amounts)
             self._add(amounts, left, taken, first, window)
             window, first = window + self.phases[-1].windows(), 0
@@ -124,15 +135,16 @@ class Schedule:
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     def _in(self, p: Phase, q: int, a: int, b: int, start: int):
-        j = np.arange(p.find(q, a), p.find(q, b - 1) + 2)
-        served = p.served(p.edges(j))
-        mine = served[:, q]
-        lead = np.diff(served[:, :q].sum(axis=1)) if q else np.zeros(len(j) - 1, np.int64)
-        low, high = np.maximum(mine[:-1], a), np.minimum(mine[1:], b)
+        path = p.path(q)
+        j, last = p.find(path, np.array([a, b - 1])).tolist()
+        # a queue that is rarer than windows is not in most of them
+        j = np.arange(j, last + 1) if last - j <= b - a else np.unique(p.find(path, np.arange(a, b)))
+        (mine, before), (mine_next, before_next) = p.served(path, p.edges(j)), p.served(path, p.edges(j + 1))
+        low, high = np.maximum(mine, a), np.minimum(mine_next, b)
         some = high > low
         low, high = low[some], high[some]
-        offset = lead[some] + low - mine[:-1][some]
-        cut = [(low - a + start).astype(np.int64), (high - low).astype(np.int64), (j[:-1][some] + p.window).astype(np.int64), offset.astype(np.int64)]
+        offset = (before_next - before)[some] + low - mine[some]
+        cut = [(low - a + start).astype(np.int64), (high - low).astype(np.int64), (j[some] + p.window).astype(np.int64), offset.astype(np.int64)]
         return self._powers(*cut) if self.rest else cut
 
     def _powers(self, start, length, window, offset):
@@ -153,13 +165,17 @@ class Schedule:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, end_id: int = 1, size: int = SIZE, targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, end_id: int = 1, size: int = SIZE, targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) token_ids."""
     file = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    sources = df.select(source.alias("q")).groupBy("q").count().limit(max_queues + 1).count()
-    queue = source if sources <= max_queues else F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-    doc = df.select(F.col(id_col).alias("i"), queue.alias("q"), F.col(text_col).alias("t"))
+    queue = lambda c: c
+    if max_queues is not None and df.select(source.alias("q")).distinct().limit(max_queues + 1).count() > max_queues:
+        queue = lambda c: F.concat(F.lit("#"), F.pmod(F.xxhash64(c), F.lit(max_queues)).cast("string"))
+        if targets:
+            wanted = df.sparkSession.createDataFrame([(q, max(0.0, float(g))) for q, g in targets.items()], "q string, g double")
+            targets = {r.q: r.g for r in wanted.groupBy(queue(F.col("q")).alias("q")).agg(F.sum("g").alias("g")).collect()}
+    doc = df.select(F.col(id_col).alias("i"), queue(source).alias("q"), F.col(text_col).alias("t"))
     kind = dict(df.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +195,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     by_part = materialize(coded.groupBy("q", "part").agg(F.sum("n").alias("tokens")), "pack-parts")
     before = Window.partitionBy("q").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("q", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")).alias("base"))
-    # at most max_queues rows
+    # one row for each queue
     schedule = Schedule({r.q: r.tokens for r in by_part.groupBy("q").agg(F.sum("tokens").alias("tokens")).collect()}, targets, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
