@@ -169,6 +169,21 @@ def test_secret_network_and_redaction(spark):
     assert secrets.redact(no_documents(spark)).count() == 0 and secrets.scan_secrets(odd_documents(spark)).count() == len(ODD) + 5
 
 
+def test_secrets_behind_long_prefixes_in_one_run(spark):
+    net = secrets.trained()
+    x, y = secrets.findings(800, 12, long=True)
+    assert max(map(len, x)) > 5
+    found = net.score_runs(x) >= net.threshold
+    behind = np.array([len(r) > 2 for r in x])
+    assert found[(y == 1) & behind].mean() >= 0.93 and found[(y == 0) & behind].mean() <= 0.05
+    key = "Zx8Qm2Lr7Tw0Vb5Nc9Kd3Hf6Jg1Ps4Ya8Ue2Io7R"
+    run = "/team/service/region/north/cluster/members/account/settings/v2/key=" + key
+    assert secrets.secret_spans(f"see {run} then".encode(), net) == [(4, 4 + len(run), "cnn")]
+    assert secrets.secret_spans(f"see {'/team/service/region' * 9}/v2/north then".encode(), net) == []
+    got = secrets.redact(spark.createDataFrame([(1, f"see {run} then")], "doc_id long, text string")).first().text
+    assert got == "see [SECRET] then"
+
+
 @pytest.mark.parametrize("targets", [None, {"src0": 0.5, "src1": 0.3, "src2": 0.1}])
 def test_packing_is_whole(spark, docs, texts, targets):
     tok = tokens.load(public_tokenizers.path("word_bpe_49k.json"))

@@ -2,8 +2,8 @@
 
 Base kinds, leftmost and non-overlapping each: ``assign``, ``access`` and ``hex`` (see the patterns below). A candidate is
 a run of ``[A-Za-z0-9+/_=-]`` of 16 or more characters with a digit and a letter that no base span touches. The network
-reads the candidate with its surrounding context as one-hot characters: convolution, maximum over positions, logistic
-output. It is trained on labelled findings written by rule with a fixed seed (secrets of many shapes; look-alikes such
+reads the candidate with its surrounding context as one-hot characters, a long one in overlapping windows over all of it
+of which the highest score counts: convolution, maximum over positions, logistic output. It is trained on labelled findings written by rule with a fixed seed (secrets of many shapes; look-alikes such
 as uuids, paths, versions and long words), calibrated by Platt scaling on held-out findings, and cut where
 precision is best among the thresholds that keep ``RECALL`` of the held-out secrets (the lowest of equals). Its spans are added as kind ``cnn``; base spans always stay.
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ CHARS = string.ascii_lowercase + string.ascii_uppercase + string.digits + " +/_=
 CODE = np.full(256, len(CHARS), np.uint8)
 CODE[[ord(c) for c in CHARS]] = np.arange(len(CHARS))
 BEFORE, INSIDE, AFTER = 20, 48, 8
+#: Windows of a long candidate begin so many characters apart: any part of INSIDE - STEP characters is in one whole.
+STEP = 16
 WIDE, FILTERS, KERNEL = BEFORE + INSIDE + AFTER, 24, 5
 RECALL = 0.95
 
@@ -100,14 +104,17 @@ def candidates(data: bytes, taken: list[tuple[int, int, str]]) -> list[tuple[int
     return [(a, b) for a, b in found if any(65 <= (c & 0xDF) <= 90 for c in data[a:b]) and not any(a < e and s < b for s, e, _ in taken)]
 
 
-def window(data: bytes, a: int, b: int) -> np.ndarray:
-    """Character codes of a candidate and its context, at fixed places."""
-    out = np.full(WIDE, len(CHARS), np.uint8)
-    left, mid, right = (CODE[np.frombuffer(x, np.uint8)] for x in (data[max(0, a - BEFORE) : a], data[a : min(b, a + INSIDE)], data[b : b + AFTER]))
-    out[BEFORE - len(left) : BEFORE] = left
-    out[BEFORE : BEFORE + len(mid)] = mid
-    out[BEFORE + INSIDE : BEFORE + INSIDE + len(right)] = right
-    return out
+def windows(data: bytes, a: int, b: int) -> Iterator[np.ndarray]:
+    """Character codes of a candidate and its context, at fixed places; of a longer run than INSIDE, overlapping windows
+    over all of it, the last at its end."""
+    for at in chain(range(a, b - INSIDE, STEP), [max(a, b - INSIDE)]):
+        end = min(b, at + INSIDE)
+        row = np.full(WIDE, len(CHARS), np.uint8)
+        left, mid, right = (CODE[np.frombuffer(x, np.uint8)] for x in (data[max(0, at - BEFORE) : at], data[at:end], data[end : end + AFTER]))
+        row[BEFORE - len(left) : BEFORE] = left
+        row[BEFORE : BEFORE + len(mid)] = mid
+        row[BEFORE + INSIDE : BEFORE + INSIDE + len(right)] = right
+        yield row
 
 
 class CharNet:
@@ -146,9 +153,9 @@ class CharNet:
                     b += 0.001 * (g * g - b)
                     self.w[k] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall."""
-        s = self._forward(x)[0]
+    def calibrate(self, x: list[list[np.ndarray]], y: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps the recall. x: the windows of each finding."""
+        s = self._tops(x, lambda rows: self._forward(rows)[0])
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-(a * s + b)))
@@ -157,7 +164,8 @@ class CharNet:
             h = np.array([[(w * s * s).sum() + 1e-2, (w * s).sum()], [(w * s).sum(), w.sum()]])
             a, b = np.array([a, b]) - np.linalg.solve(h, g)
         self.platt = (float(a), float(b))
-        yes, no = np.sort(self.score(x[y == 1])), self.score(x[y == 0])
+        p = self.score_runs(x)
+        yes, no = np.sort(p[y == 1]), p[y == 0]
         able = yes[: int(len(yes) * (1 - recall)) + 1]
         precision = [(len(yes) - i) / (len(yes) - i + (no >= t).sum()) for i, t in enumerate(able)]
         self.threshold = float(able[int(np.argmax(precision))])
@@ -167,9 +175,19 @@ class CharNet:
         a, b = self.platt
         return np.concatenate([1 / (1 + np.exp(-(a * self._forward(x[i : i + 512])[0] + b))) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
+    def score_runs(self, x: list[list[np.ndarray]]) -> np.ndarray:
+        """The highest probability among the windows of each run."""
+        return self._tops(x, self.score)
 
-def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels (1: a secret) of findings written by rule; half of them secrets."""
+    @staticmethod
+    def _tops(x: list[list[np.ndarray]], score) -> np.ndarray:
+        sizes = np.array([len(rows) for rows in x])
+        return np.maximum.reduceat(score(np.array([row for rows in x for row in rows])), np.cumsum(sizes) - sizes) if len(x) else np.zeros(0)
+
+
+def findings(n: int, seed: int, long: bool = False) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """Windows and labels (1: a secret) of findings written by rule; half of them secrets. long puts half of either behind
+    a harmless path of 50 to 160 characters in the same run."""
     rng = np.random.default_rng(seed)
     word = lambda k: "".join(rng.choice(list("etaoinshrdlu"), k))
     draw = lambda chars, k: "".join(rng.choice(list(chars), k))
@@ -196,13 +214,24 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         y = i % 2
         body = (secret if y else plain)[int(rng.integers(len(secret if y else plain)))]()
+        if long and i % 4 > 1:
+            path, size = "", int(rng.integers(50, 160))
+            while len(path) < size:
+                path += f"/{word(int(rng.integers(3, 10)))}" + str(rng.choice(["", "_v2", f"-{rng.integers(1, 2030)}"]))
+            body = f"{path}/key={body}"
         lead = f"{word(5)} {word(3)} " + (str(rng.choice(cues)) if rng.random() < (0.6 if y else 0.2) else str(rng.choice(["", "see ", "http", "id "])))
         data = f"{lead}{body}{rng.choice([' ', '.', chr(10), chr(34), ''])}{word(6)}".encode()
         found = CANDIDATE.search(data, len(lead.encode()))
         if found:
-            rows.append(window(data, *found.span()))
+            rows.append(list(windows(data, *found.span())))
             labels.append(y)
-    return np.array(rows), np.array(labels, float)
+    return rows, np.array(labels, float)
+
+
+def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each finding, and its label."""
+    rows, labels = findings(n, seed)
+    return np.array([r[0] for r in rows]), labels
 
 
 @lru_cache(maxsize=1)
@@ -210,7 +239,7 @@ def trained() -> CharNet:
     """The production network; a few seconds on the driver."""
     net = CharNet()
     net.fit(*labelled_findings(2400, 1))
-    net.calibrate(*labelled_findings(1200, 2))
+    net.calibrate(*findings(1200, 2, long=True))
     return net
 
 
@@ -222,12 +251,25 @@ def secret_spans(data: bytes, net: CharNet) -> list[tuple[int, int, str]]:
 def _spans(texts: list[bytes], net: CharNet) -> list[list[tuple[int, int, str]]]:
     base = [base_spans(t) for t in texts]
     found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        scores = net.score(np.array([window(texts[i], a, b) for i, a, b in part]))
-        for (i, a, b), s in zip(part, scores, strict=True):
-            if s >= net.threshold:
-                base[i].append((a, b, "cnn"))
+    rows: list[np.ndarray] = []
+    who: list[int] = []
+    flagged: set[int] = set()
+
+    def judge():
+        flagged.update(k for k, s in zip(who, net.score(np.array(rows)), strict=True) if s >= net.threshold)
+        rows.clear()
+        who.clear()
+
+    for k, (i, a, b) in enumerate(found):
+        for row in windows(texts[i], a, b):
+            rows.append(row)
+            who.append(k)
+            if len(rows) == 4096:
+                judge()
+    judge()
+    for k in sorted(flagged):
+        i, a, b = found[k]
+        base[i].append((a, b, "cnn"))
     out = []
     for t, spans in zip(texts, base, strict=True):
         if spans and not t.isascii():
