@@ -1,11 +1,12 @@
 """Secret scans: base patterns, and a character convolutional network in numpy over every other candidate.
 
 Base kinds, leftmost and non-overlapping each: ``assign``, ``access`` and ``hex`` (see the patterns below). A candidate is
-a run of ``[A-Za-z0-9+/_=-]`` of 16 or more characters with a digit and a letter that no base span touches. The network
+a run of ``[A-Za-z0-9+/_=-]`` of 16 or more characters with a digit and a letter that base spans do not cover completely. The network
 reads the candidate with its surrounding context as one-hot characters, a long one in overlapping windows over all of it
 of which the highest score counts: convolution, maximum over positions, logistic output. It is trained on labelled findings written by rule with a fixed seed (secrets of many shapes; look-alikes such
 as uuids, paths, versions and long words), calibrated by Platt scaling on held-out findings, and cut where
-precision is best among the thresholds that keep ``RECALL`` of the held-out secrets (the lowest of equals). Its spans are added as kind ``cnn``; base spans always stay.
+precision is best among the thresholds that keep ``RECALL`` of the held-out secrets (the lowest of equals). Its spans are added as kind ``cnn``; base spans always stay,
+also those within them.
 
 Spans are code points of the whole text, end exclusive. Null and empty texts have no spans; repeated rows each get a
 row; an empty table gives an empty result; other columns are not looked at.
@@ -101,7 +102,16 @@ def candidates(data: bytes, taken: list[tuple[int, int, str]]) -> list[tuple[int
     if not len(digits):
         return []
     found = _runs(RUN[bytes_], digits, 16)
-    return [(a, b) for a, b in found if any(65 <= (c & 0xDF) <= 90 for c in data[a:b]) and not any(a < e and s < b for s, e, _ in taken)]
+    return [(a, b) for a, b in found if any(65 <= (c & 0xDF) <= 90 for c in data[a:b]) and not _covered(a, b, taken)]
+
+
+def _covered(a: int, b: int, taken: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, sorted by start, cover all of a to b together."""
+    for s, e, _ in taken:
+        if s > a or a >= b:
+            break
+        a = max(a, e)
+    return a >= b
 
 
 def windows(data: bytes, a: int, b: int) -> Iterator[np.ndarray]:
