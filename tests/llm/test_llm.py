@@ -142,6 +142,15 @@ def test_contamination_spans_blocks_and_odd_rows(spark):
     assert contamination.contaminated_words(d, none).where("n_hit > 0").count() == 0
 
 
+def test_items_with_null_ids_count(spark):
+    bench = spark.createDataFrame([(None, "leaked words here"), (None, None), (4, "x y")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "see leaked words here and x y end"), (2, "leaked words here"), (3, "clean text")], "doc_id long, text string")
+    for size in (1, 4 << 20):
+        r = {x.doc_id: (x.n_words, x.n_hit, x.items) for x in contamination.contaminated_words(d, bench, block_bytes=size).collect()}
+        assert r == {1: (8, 5, ["4"]), 2: (3, 3, []), 3: (2, 0, [])}
+        assert [x.doc_id for x in contamination.decontaminate(d, bench, block_bytes=size).collect()] == [3]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 

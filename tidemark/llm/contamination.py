@@ -7,7 +7,8 @@ end, so a match always covers whole words. The automaton holds at most ``block_b
 bound on what goes to executors; a larger benchmark is taken in blocks, one scan for each, whose hit words are united.
 
 Null or wordless documents have no words and are clean; null or wordless items have no windows; items that repeat an id
-count once; documents that repeat an id each get a row.
+count once; documents that repeat an id each get a row. Items with a null id have windows like any other: their hit words
+count, and only the list of items leaves them out.
 """
 
 from __future__ import annotations
@@ -37,16 +38,16 @@ def windows(text: bytes, width: int = WIDTH) -> set[str]:
 class Scanner:
     """The automaton; built where it is used, from the (item id, text) pairs that were shipped."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int = WIDTH):
         import ahocorasick
 
-        owners: dict[str, list[str]] = {}
+        owners: dict[str, list[str | None]] = {}
         for item, text in items:
             for window in windows(text, width):
                 owners.setdefault(window, []).append(item)
         self.automaton = ahocorasick.Automaton()
         for window, who in owners.items():
-            self.automaton.add_word(window, (len(window), window.count(" ") - 1, tuple(set(who))))
+            self.automaton.add_word(window, (len(window), window.count(" ") - 1, tuple({i for i in who if i is not None})))
         self.empty = not owners
         if not self.empty:
             self.automaton.make_automaton()
@@ -84,12 +85,12 @@ def spans_of(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": before(at[r[0]][0]), "end": before(at[r[-1]][1])} for r in runs]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark, streamed to the driver a partition at a time, in blocks of at most block_bytes (or one item)."""
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     used = 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
-    for row in rows.where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in rows.where("t IS NOT NULL").toLocalIterator():
         if block and used + len(row.t) > block_bytes:
             yield block
             block, used = [], 0
@@ -112,7 +113,7 @@ def _shipped(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text
                 scanner = Scanner(part.value, width)
             for i, text in enumerate(texts):
                 n[i], hit, who = scanner.scan(text)
-                if who:
+                if len(hit):
                     hits[i] = np.union1d(hits[i], hit)
                     items[i] |= who
         return n, hits, items
