@@ -3,21 +3,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import scratch
 from tidemark.streaming import events
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one (a temporary one where none is set)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_windows(spark, sf: str) -> DataFrame:
     return events.tumbling(events.event_table(spark, sf), "1 day")
 
@@ -29,7 +21,7 @@ def stream_sessions(spark, sf: str) -> DataFrame:
 def stream_stages(spark, sf: str) -> DataFrame:
     e = events.event_stream(spark, sf)
     updates = e.select(F.col("user_id").alias("run"), F.unix_micros("at").alias("seq"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
-    return events.run_once(events.stage_tracker(updates), _folder(spark))
+    return events.run_once(events.stage_tracker(updates), scratch(spark, "stream-stages"))
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_stages)}
