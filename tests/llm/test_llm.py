@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import re
@@ -481,3 +482,112 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     total = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert total == {k: len(tok.encode(t, add_special_tokens=False).ids) + 1 for k, t in kept["secrets"].items()}
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_warc_damaged_ends_and_lengths(spark, tmp_path):
+    rows = [{"record_id": f"<{k}>", "url": f"http://a/{k}", "ts": "2024-01-01T00:00:0%dZ" % k, "record_type": "response", "headers": {"etag": str(k)}, "payload": b"x" * 5000} for k in range(3)]
+    out = io.BytesIO()
+    warc.write_warc(iter(rows), out)
+    data = out.getvalue()
+    (tmp_path / "cut.warc.gz").write_bytes(data[:-20])
+    assert sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["<0>", "<1>"]
+    plain = gzip.decompress(data)
+    assert len(list(warc.parse_warc(io.BytesIO(plain[:-1000])))) == 2
+    bad = b"WARC/1.1\r\nWARC-Record-ID: <x>\r\nContent-Length: abc\r\n\r\nbody\r\n\r\n" + plain
+    assert [r["record_id"] for r in warc.parse_warc(io.BytesIO(bad))] == ["<0>", "<1>", "<2>"]
+    assert [r["payload"] for r in warc.parse_warc(io.BytesIO(plain), payloads=False)] == [None] * 3
+    assert list(warc.parse_warc(io.BytesIO(b""))) == []
+
+
+def test_warc_records_go_into_the_resolver(spark, tmp_path):
+    head = lambda k, **more: {"record_id": f"<{k}>", "url": "http://a/p", "ts": f"2024-01-0{k}T00:00:00Z", "payload": b"body", **more}
+    rows = [
+        head(1, record_type="response", headers={"etag": "v1", "content-type": "text/html"}),
+        head(2, record_type="revisit", headers={"etag": "v1", "date": "d2"}, profile="http://netpreserve.org/warc/1.1/revisit/server-not-modified"),
+        head(3, record_type="revisit", headers={"etag": "v9"}, profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", refers_to="<1>"),
+        head(4, record_type="revisit", headers={"etag": "v2"}),
+    ]
+    with (tmp_path / "x.warc.gz").open("wb") as f:
+        warc.write_warc(iter(rows), f)
+    got = {r.record_id: (r.ts[:10], r.referred_id, r.outcome, r.headers) for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert got == {
+        "<2>": ("2024-01-02", "<1>", "resolved", {"content-type": "text/html", "etag": "v1", "date": "d2"}),
+        "<3>": ("2024-01-03", "<1>", "other_profile", {"etag": "v9"}),
+        "<4>": ("2024-01-04", "<1>", "mismatch", {"etag": "v2"}),
+    }
+
+
+def test_revisit_times_with_an_outlier_and_clashing_names(spark):
+    rows = [(k, "http://h.org/p", k * 10 if k else 1 << 60, "response" if k % 2 else "revisit", {"etag": "a"}, 7, 8) for k in range(400)]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, ts long, record_type string, headers map<string,string>, slot int, full int"))
+    assert {r.record_id: r.referred_id for r in got.collect()} == {k: k - 1 if k > 1 else (399 if k == 0 else None) for k in range(0, 400, 2)}
+
+
+def test_representatives_with_clashing_names(spark):
+    names = ["_f", "_rank", "_kept", "row", "i", "t", "root", "f", "n", "j"]
+    rows = [(k, t, *range(len(names))) for k, t in [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "other"), (3, None)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = jaccard.keep_representatives(d)
+    assert got.columns == d.columns and sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == [(1, "a b c d e f"), (3, None)]
+    assert got.count() == 3
+
+
+def test_jaccard_long_chain_list_by_list(spark):
+    """A candidate group that is wide but thin: each document shares shingles with its neighbours only."""
+    rows = [(k, " ".join(f"w{x}" for x in range(6 * k, 6 * k + 40))) for k in range(150)] + [(1000 + k, " ".join(f"w{x}" for x in range(6 * k, 6 * k + 40)) + " tail") for k in range(0, 150, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for size in (8, 1024):
+        assert sorted(map(tuple, jaccard.jaccard_components(d, rows=size).collect())) == want
+
+
+def test_frequent_shingles_go_another_way(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = [(k, common + " " + " ".join(f"u{x}" for x in rng.integers(0, 40, 8))) for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(jaccard._frequent(d.select(F.col("text").alias("t")))) >= 26
+    want = brute_components(rows)
+    assert sorted(map(tuple, jaccard.jaccard_components(d).collect())) == want
+    monkeypatch.setattr(jaccard, "_frequent", lambda docs: np.zeros(0, np.uint64))
+    assert sorted(map(tuple, jaccard.jaccard_components(d).collect())) == want
+
+
+def test_records_take_whole_numbers_and_known_schemes(spark, tmp_path):
+    d = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(ValueError):
+        records.write_records(d, str(tmp_path / "r"))
+    with pytest.raises(ValueError):
+        records.filesystem("nosuch://b/c")
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200).alias("text"))
+    assert records.write_records(many, str(tmp_path / "m"), shard_bytes=30_000).count() >= 10
+    got = records.read_records(spark, str(tmp_path / "m")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(300)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_url_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/x", "h", "v")], "page_id long, url string, host string, verdict string")
+    assert urls.filter_urls(rows).first().rule == "com/"
+    with pytest.raises(ValueError):
+        urls.filter_urls(rows, id_col="host")
+
+
+def test_candidates_are_swept_once():
+    import time
+
+    def took(n):
+        text = " ".join(f"token=abcdefghijkl{i:06d} id-{i:06d}-abcdefghij" for i in range(n)).encode()
+        base = secrets.base_spans(text)
+        began = time.perf_counter()
+        assert len(secrets.candidates(text, base)) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(16000) for _ in range(3)) < 4 * min(took(8000) for _ in range(3))
+
+
+def test_runs_without_digits_are_judged():
+    net = secrets.trained()
+    key = "ZxQmLrTwVbNcKdHfJgPsYaUeIoRtGhBnWqLkXcVz"
+    assert secrets.secret_spans(f"the key: {key} end".encode(), net) == [(9, 9 + len(key), "cnn")]
+    assert secrets.secret_spans(b"see Donaudampfschifffahrtsgesellschaft and ================================ there", net) == []

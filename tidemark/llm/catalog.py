@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
-MODULES = ("token_counts", "urls", "records", "contamination", "secrets", "packing", "neardup", "toxicity", "warc", "jaccard")
+# imported here, so that a missing library shows where this module is imported
+from tidemark.llm import contamination, jaccard, neardup, packing, records, secrets, token_counts, toxicity, urls, warc
 
-
-def _loaded():
-    return [import_module(f"tidemark.llm.{m}") for m in MODULES]
+MODULES = (token_counts, urls, records, contamination, secrets, packing, neardup, toxicity, warc, jaccard)
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for m in _loaded() for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit() and callable(f)}
+    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _loaded() for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -1,41 +1,17 @@
-"""Shared pieces of the llm operators: the shared folder, materialised tables, Arrow batches and byte-wise word rules."""
+"""Shared pieces of the llm operators: Arrow batches and byte-wise word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: A-Z lower-cased; digits, letters and every byte of a non-ASCII character stay, other ASCII becomes a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set to a temporary one where unset."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text of an Arrow string column; null is empty."""
     for x in column.cast(pa.large_binary()).to_pylist():

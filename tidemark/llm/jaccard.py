@@ -3,18 +3,23 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes; equal sets are one class, known by a 64-bit hash of
 the set. The incidence matrix is dealt out in blocks of shingles (by hash), not of documents, so no group is gathered:
 
-1. each block counts how many classes hold each of its shingles; shingles of one class alone can overlap with nothing;
+1. each block counts how many classes hold each of its shingles; shingles of one class alone can overlap with nothing.
+   Shingles that are frequent in a bounded sample are known to be shared: they go straight to their classes, so no
+   block gathers all classes of one shingle (the sample decides the way only, never the result);
 2. by class, with the shared shingles rarest first: two sets of similarity s or more share a shingle among the first
    ``n - ceil(s * n) + 1`` of either. Classes whose first shingles are all their own are done;
-3. of the others, classes that share a first shingle are joined into candidate groups (links to the smallest only);
-4. candidate groups are multiplied in blocks of at most ``ROWS`` rows: overlap counts accumulate over shared shingles,
-   pairs below the size-derived bound are discarded, and only a spanning forest of the links leaves the block.
+3. of the others, each first shingle has a list of classes (equal lists count once); classes that share a list are
+   joined into candidate groups (links to the smallest only);
+4. a group is multiplied whole or list by list, whichever has fewer products, in blocks of at most ``ROWS`` rows and
+   about ``PART_MB``: overlap counts accumulate over shared shingles, pairs below the size-derived bound are discarded,
+   and only a spanning forest of the links leaves the block.
 
-No pair is listed, nothing is capped and the result is exact up to collisions of 64-bit hashes.
+No pair is listed, nothing is capped and the result is exact up to collisions of hashes: 64 bits for a set; for a shingle
+48 bits and the block's number (64 bits or fewer in all: 50 with four blocks).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Fewer than five words are one shingle; a null, empty or blank
 text has an empty set and links with nothing. Repeated rows and ids each get a row; a null id takes part, and a component
-of null ids alone has a null id.
+of null ids alone has a null id. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,15 +33,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import LOWER_BYTES, materialize, text_bytes
-from tidemark.llm.graph import components, local_roots
+from tidemark.llm.common import LOWER_BYTES, text_bytes
+from tidemark.llm.graph import components, local_roots, other
+from tidemark.sources.shared import discard, materialize, store
 
 N = 5
 SIMILARITY = 75  # per cent
 #: Rows of a candidate group that one task multiplies with as many others.
 ROWS = 1024
-#: MB of shingles that one block aims at, and MB of text that are shingled at once.
-BLOCK_MB, TEXT_MB = 16, 1
+#: MB of shingles that one block aims at, MB of a part of a candidate group, and MB of text that are shingled at once.
+BLOCK_MB, PART_MB, TEXT_MB = 16, 8, 1
+#: The sample that finds frequent shingles: tasks, documents and shingles of each; how many classes of the sample hold a
+#: frequent one; how many are kept at most (the most frequent).
+SAMPLE_TASKS, SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT, MOST_FREQUENT = 64, 128, 1 << 17, 16, 1 << 16
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240229)
@@ -114,11 +123,43 @@ def _rows(kind: pa.DataType, b, ids, n, f, payload) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.nulls(size, kind) if ids is None else ids, pa.nulls(size, pa.int64()) if n is None else pa.array(n, pa.int64()), pa.nulls(size, pa.int64()) if f is None else _long(f), pa.array(payload, pa.binary())], ["b", "i", "n", "f", "payload"])
 
 
-def _deal(bits: int, kind: pa.DataType):
-    """Documents to rows: one for each document, and for each block the shingles and classes of a batch."""
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted shingles that many classes of a bounded sample hold: the first documents of tasks spread over the input."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, np.ndarray] = {}
+        rows = size = 0
+        for batch in batches:
+            for _, part in _chunks(list(text_bytes(batch["t"].slice(0, SAMPLE_DOCS - rows)))):
+                for x in shingle_sets(part):
+                    found[x[:8].tobytes()] = x[: SAMPLE_SHINGLES - size]
+                    size += len(found[x[:8].tobytes()])
+            rows += batch.num_rows
+            if rows >= SAMPLE_DOCS or size >= SAMPLE_SHINGLES:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.uint64), *found.values()]).tobytes()], pa.binary())], ["h"])
+
+    sample = docs.select("t").mapInArrow(some, "h binary").rdd
+    n = sample.getNumPartitions()
+    tasks = sorted({i * n // SAMPLE_TASKS for i in range(SAMPLE_TASKS)}) if n else []
+    got = docs.sparkSession.sparkContext.runJob(sample, lambda rows: [bytes(r.h) for r in rows], tasks) if tasks else []
+    h, k = np.unique(np.frombuffer(b"".join(got), "<u8"), return_counts=True)
+    most = np.argsort(-k, kind="stable")[:MOST_FREQUENT]
+    return np.sort(h[most[k[most] >= FREQUENT]])
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _deal(bits: int, kind: pa.DataType, frequent: np.ndarray):
+    """Documents to rows: one for each document (no payload, anywhere), one for each class with its frequent shingles (at
+    the class's block), and for each block the other shingles and their classes of a batch (no n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        turn = 0
         for batch in batches:
             texts = list(text_bytes(batch["t"]))
             for at, part in _chunks(texts):
@@ -126,7 +167,8 @@ def _deal(bits: int, kind: pa.DataType):
                 f = _fingerprints(sets)
                 n = np.array([len(s) for s in sets])
                 ids = batch["i"].slice(at, len(part))
-                yield _rows(kind, _mix(f).astype(np.int64) & ((1 << bits) - 1), ids, n, f, [None] * len(part))
+                yield _rows(kind, _mix(np.arange(turn, turn + len(part), dtype=np.uint64)).astype(np.int64) & ((1 << bits) - 1), ids, n, f, [None] * len(part))
+                turn += len(part)
                 new = []
                 for k, x in enumerate(f.tolist()):
                     if n[k] and x not in seen:
@@ -135,13 +177,16 @@ def _deal(bits: int, kind: pa.DataType):
                             seen.add(x)
                 for lo in range(0, len(new), 1 << 16):
                     some = new[lo : lo + (1 << 16)]
-                    h = np.concatenate([sets[k] for k in some])
-                    who = np.repeat(np.arange(len(some)), n[some]).astype(np.uint16)
+                    fs, h = f[some], np.concatenate([sets[k] for k in some])
+                    who = np.repeat(np.arange(len(some)), n[some])
+                    often = _among(h, frequent)
+                    own = np.split(h[often], np.cumsum(np.bincount(who[often], minlength=len(some)))[:-1])
+                    yield _rows(kind, (_mix(fs) & np.uint64((1 << bits) - 1)).astype(np.int64), None, n[some], fs, [x.tobytes() for x in own])
+                    h, who = h[~often], who[~often].astype(np.uint16)
                     block = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
                     order = np.argsort(block, kind="stable")
                     h, who, block = h[order], who[order], block[order]
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
-                    fs = f[some]
                     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                         mine, local = np.unique(who[a:b], return_inverse=True)
                         low = np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -190,7 +235,7 @@ def _shared(bits: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
-            blob = batch["payload"].is_valid()
+            blob = batch["n"].is_null()
             yield batch.filter(pc.invert(blob))
             some = batch.filter(blob)
             for b, x in zip(some["b"].to_pylist(), some["payload"].to_pylist(), strict=True):
@@ -206,17 +251,25 @@ def _classes(kind: pa.DataType, similarity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size: dict[int, int] = {}
+        own: dict[int, bytes] = {}
         parts = []
         for batch in batches:
-            blob = batch["payload"].is_valid()
-            plain = batch.filter(pc.invert(blob))
-            size.update(zip(plain["f"].to_pylist(), plain["n"].to_pylist(), strict=True))
-            yield plain
+            doc, blob = batch["payload"].is_null(), batch["n"].is_null()
+            yield batch.filter(doc)
+            known = batch.filter(pc.and_(pc.invert(doc), pc.invert(blob)))
+            for x, n, h in zip(known["f"].to_pylist(), known["n"].to_pylist(), known["payload"].to_pylist(), strict=True):
+                size[x] = n
+                if h:
+                    own[x] = h
             for x in batch.filter(blob)["payload"].to_pylist():
                 m = int(np.frombuffer(x, "<u8", 1)[0])
                 f, k = np.frombuffer(x, "<u8", m, 8), np.frombuffer(x, "<u4", m, 8 + 8 * m)
                 at, total = 8 + 12 * m, int(k.sum())
                 parts.append((f, k, np.frombuffer(x, "<u8", total, at), np.frombuffer(x, "<u2", total, at + 8 * total)))
+        if own:  # frequent shingles come last, in the order of their hashes
+            f, h = np.array(list(own), np.int64).view(np.uint64), np.frombuffer(b"".join(own.values()), "<u8")
+            parts.append((f, np.array([len(x) // 8 for x in own.values()], "<u4"), h, np.full(len(h), 65535, "<u2")))
+            own.clear()
         if not parts:
             return
         f, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -303,41 +356,60 @@ def _multiply(similarity: int):
     return run
 
 
-def _rooted(df: DataFrame, id_col: str, text_col: str, similarity: int, rows: int) -> DataFrame:
-    """i, n, f (class) and root (the component's smallest linked class; null for empty sets) of each document."""
+def _linked(df: DataFrame, id_col: str, text_col: str, similarity: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(i, n, f) of each document, and (node, root) of each linked class: the smallest class reachable."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, 2 * size // (BLOCK_MB << 20)) if size < 1 << 60 else 0)
-    bits = max(1, min(20, (parts - 1).bit_length()))
-    id_type = dict(df.dtypes)[id_col]
-    schema = f"b long, i {id_type}, n long, f long, payload binary"
     doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    if size >= 1 << 60:  # the plan does not know its size: measure it
+        size = doc.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, 2 * size // (BLOCK_MB << 20)))
+    bits = max(1, min(20, (parts - 1).bit_length()))
+    schema = f"b long, i {dict(df.dtypes)[id_col]}, n long, f long, payload binary"
     kind = _arrow_type(doc, "i")
-    dealt = doc.mapInArrow(_deal(bits, kind), schema).repartition(parts, "b").mapInArrow(_shared(bits, kind), schema)
+    dealt = doc.mapInArrow(_deal(bits, kind, _frequent(doc)), schema).repartition(parts, "b").mapInArrow(_shared(bits, kind), schema)
     held = materialize(dealt.repartition(parts, "b").mapInArrow(_classes(kind, similarity), schema), "jaccard-classes")
     docs, classes = held.where("payload IS NULL").select("i", "n", "f"), held.where("payload IS NOT NULL").select("b", "n", "f", "payload")
 
+    # the list of each first shingle; of equal lists (same classes: same number, smallest and sum of hashes) one is enough
     firsts = classes.select("b", "f", "payload").mapInArrow(_firsts, "h long, f long")
-    least = firsts.groupBy("h").agg(F.min("f").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    groups = components(firsts.join(least, "h").where("a <> f").select("a", F.col("f").alias("b")), "jaccard-candidates")
-    sizes = groups.groupBy("root").count()
-    # the blocks of a group: every two of its parts meet once
-    marked = classes.join(groups, classes.f == groups.node).join(sizes, "root").select("root", "n", "f", "payload", F.ceil(F.col("count") / rows).cast("int").alias("g"))
-    placed = marked.withColumn("p", F.pmod(F.xxhash64("f"), F.col("g")).cast("int"))
-    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
-    blocks = pairs.select("root", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).cast("int").alias("side"), (F.col("p") != F.col("q")).alias("cross"), "n", "f", "payload")
-    links = blocks.groupBy("root", "x", "y").applyInArrow(_multiply(similarity), "a long, b long")
+    every = firsts.groupBy("h").agg(F.min("f").alias("a"), F.count("*").alias("k"), F.sum(F.xxhash64("f").cast("decimal(20,0)")).alias("sum")).where("k > 1")
+    lists, lists_path = store(every.groupBy("a", "k", "sum").agg(F.min("h").alias("h")).select("h", "a", "k"), "jaccard-lists")
+    members = firsts.join(lists, "h")
+    groups = components(members.where("a <> f").select("a", F.col("f").alias("b")), "jaccard-candidates")
+
+    # a group is multiplied whole, or list by list where that has fewer products (rows of a block at least for each list)
+    bytes_ = classes.select("f", F.octet_length("payload").alias("bytes")).join(groups, F.col("f") == F.col("node"))
+    whole = bytes_.groupBy("root").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
+    apart = lists.join(groups, F.col("a") == F.col("node")).groupBy("root").agg(F.sum(F.col("k") * F.greatest("k", F.lit(rows // 4))).alias("products"))
+    sizes, sizes_path = store(whole.join(apart, "root").select("root", "k", "bytes", ((F.col("k") > rows) & (F.col("products") < F.col("k") * F.col("k"))).alias("apart")), "jaccard-sizes")
+    parts_of = lambda k, b: F.greatest(F.ceil(F.col(k) / rows), F.ceil(F.col(b) / (PART_MB << 20))).cast("int")
+    placed = groups.join(sizes.where("NOT apart"), "root").select(F.lit(0).alias("kind"), F.col("root").alias("key"), F.col("node").alias("f"), parts_of("k", "bytes").alias("g"))
+    if sizes.where("apart").limit(1).count():
+        some = members.join(groups.join(sizes.where("apart"), "root").select(F.col("node").alias("f")), "f", "left_semi")
+        some = some.join(classes.select("f", F.octet_length("payload").alias("bytes")), "f")
+        split = materialize(some.groupBy("h").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes")), "jaccard-split")
+        placed = placed.unionByName(some.select("h", "f").join(split, "h").select(F.lit(1).alias("kind"), F.col("h").alias("key"), "f", parts_of("k", "bytes").alias("g")))
+    # the blocks of a group or list: every two of its parts meet once
+    marked = placed.withColumn("p", F.pmod(F.xxhash64("f"), F.col("g")).cast("int")).join(classes.select("n", "f", "payload"), "f")
+    pairs = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q"))
+    blocks = pairs.select("kind", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).cast("int").alias("side"), (F.col("p") != F.col("q")).alias("cross"), "n", "f", "payload")
+    links = blocks.groupBy("kind", "key", "x", "y").applyInArrow(_multiply(similarity), "a long, b long")
     linked = components(links, "jaccard-links")
-
-    return docs.join(linked, docs.f == linked.node, "left").select("i", "n", "f", F.when(F.col("n") > 0, F.coalesce("root", "f")).alias("root"))
+    discard(spark, lists_path)
+    discard(spark, sizes_path)
+    return docs, linked
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links) of each document."""
-    whole = _rooted(df, id_col, text_col, similarity, rows).select("i", "n", "root")
-    smallest = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("i").alias("component_id"))
-    out = whole.join(smallest, "root", "left")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))
+    """id, n_shingles and component_id (the smallest id reachable by links) of each document. Smallest ids are taken by
+    class, then by component, and joined back so that a class or component of very many rows is split over tasks."""
+    docs, linked = _linked(df, id_col, text_col, similarity, rows)
+    own = docs.where("n > 0").groupBy("f").agg(F.min("i").alias("least")).join(linked, F.col("f") == F.col("node"), "left").select("f", F.coalesce("root", "f").alias("root"), "least")
+    by_root = own.groupBy("root").agg(F.min("least").alias("component_id")).select(other("root").alias("key"), "component_id")
+    by_class = own.join(by_root, other("root") == F.col("key")).select(F.col("f").alias("g"), "component_id")
+    found = docs.join(by_class, F.col("f") == F.col("g"), "left")
+    return found.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))
 
 
 def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -346,36 +418,37 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def _with_class(at: int):
-    """Rows with the class of their text as a last column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, part in _chunks(list(text_bytes(batch.column(at)))):
-                some = batch.slice(k, len(part))
-                yield pa.RecordBatch.from_arrays([*some.columns, _long(_fingerprints(shingle_sets(part)))], [*batch.schema.names, "_f"])
-
-    return run
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, i, t) to (row, i, f), with the class of the text."""
+    for batch in batches:
+        for k, part in _chunks(list(text_bytes(batch["t"]))):
+            yield pa.RecordBatch.from_arrays([batch["row"].slice(k, len(part)), batch["i"].slice(k, len(part)), _long(_fingerprints(shingle_sets(part)))], ["row", "i", "f"])
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest id (a null id only where there is no other); of rows of the
     component that repeat that id, the longest text. Rows of different components all stay, whatever their ids, and so
     does every row without words. Of rows whose id is null or repeated, the class of their set says which component they
-    are in; the id alone says it of the others."""
-    found = materialize(_rooted(df, id_col, text_col, SIMILARITY, ROWS).where("n > 0").groupBy("root", "i", "f").count(), "jaccard-rows")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"))).alias("m")).select(F.col("root").alias("r"), F.col("m.i").alias("j"))
-    best = found.join(first, (F.col("root") == F.col("r")) & F.col("i").eqNullSafe(F.col("j")))
-    best = best.select(F.col("root").alias("_root"), F.col("i").alias("_i"), F.col("f").alias("_g"))
-    ids = found.groupBy("i").agg(F.sum("count").alias("rows")).where("rows > 1 OR i IS NULL").select(F.col("i").alias("_more"))
-    words = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    single = best.join(ids, F.col("_i").eqNullSafe(F.col("_more")), "left_anti")
-    kept = df.where(words).join(single, F.col(id_col) == F.col("_i"), "left_semi")
-    others = df.where(words).join(ids, F.col(id_col).eqNullSafe(F.col("_more")), "left_semi")
-    marked = others.mapInArrow(_with_class(df.columns.index(text_col)), StructType([*df.schema.fields, StructField("_f", LongType())]))
-    order = Window.partitionBy("_root").orderBy(F.length(text_col).desc(), F.xxhash64(text_col))
-    ranked = marked.join(best, (F.col("_f") == F.col("_g")) & F.col(id_col).eqNullSafe(F.col("_i"))).withColumn("_rank", F.row_number().over(order))
-    return df.where(~words).unionByName(kept).unionByName(ranked.where("_rank = 1").select(*df.columns))
+    are in; the id alone says it of the others. Columns may have any names: rows travel as one struct."""
+    docs, linked = _linked(df, id_col, text_col, SIMILARITY, ROWS)
+    some = docs.where("n > 0").join(linked, F.col("f") == F.col("node"), "left").select("i", "f", F.coalesce("root", "f").alias("root"))
+    found = materialize(some.groupBy("root", "i", "f").count(), "jaccard-rows")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"))).alias("m")).select(other("root").alias("key"), F.col("m.i").alias("j"))
+    best = found.join(first, other("root") == F.col("key")).where(F.col("i").eqNullSafe(F.col("j"))).select("root", "i", "f")
+    more = found.groupBy("i").agg(F.sum("count").alias("rows")).where("rows > 1 OR i IS NULL").select(F.col("i").alias("j"))
+
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    words = F.coalesce(F.col("t").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    wordless = rows.where(~words).select("row")
+    single = best.join(more, F.col("i").eqNullSafe(F.col("j")), "left_anti").select(F.col("i").alias("j"))
+    kept = rows.where(words).select("row", "i").join(single, F.col("i") == F.col("j"), "left_semi").select("row")
+    others = rows.where(words).join(more, F.col("i").eqNullSafe(F.col("j")), "left_semi")
+    marked = others.mapInArrow(_with_class, StructType([rows.schema["row"], rows.schema["i"], StructField("f", LongType())]))
+    ours = best.select("root", F.col("i").alias("j"), F.col("f").alias("g"))
+    text = F.col("row").getField(text_col)
+    order = Window.partitionBy("root").orderBy(F.length(text).desc(), F.xxhash64(text))
+    ranked = marked.join(ours, (F.col("f") == F.col("g")) & F.col("i").eqNullSafe(F.col("j"))).withColumn("rank", F.row_number().over(order))
+    return wordless.unionByName(kept).unionByName(ranked.where("rank = 1").select("row")).select("row.*")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
 from tidemark.llm.graph import components, local_roots
+from tidemark.sources.shared import materialize
 
 COSINE = 0.93
 DEPTH, SHARED = 10, 3

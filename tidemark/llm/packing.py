@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_bytes
+from tidemark.llm.common import text_bytes
 from tidemark.llm.tokens import encoder
+from tidemark.sources.shared import materialize
 
 SIZE = 2048
 

@@ -9,6 +9,7 @@ manifest, written by Spark's committer after the tasks, lists the files that cou
 tasks leave only files that nothing refers to.
 
 Null texts are empty; a document without tokens still has its end id. Null ids sort first. Repeated ids stay as they are.
+An empty table gives an empty manifest; other columns are not looked at. Ids that are not whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, text_bytes
+from tidemark.llm.common import text_bytes
 from tidemark.llm.tokens import encoder
+from tidemark.sources.shared import scratch
 
 MASK_DELTA = 0xA282EAD8
 MANIFEST = "shard long, file string, index string, n_records long, n_tokens long, n_bytes long"
@@ -56,18 +58,36 @@ def unframe(data: memoryview | bytes, at: int) -> tuple[int | None, np.ndarray,
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10), end + 4
 
 
+#: Schemes of Hadoop's file systems, and what pyarrow calls them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def filesystem(uri: str):
-    """pyarrow's file system for a path or URI, and the path in it."""
+    """pyarrow's file system for a path or URI as Spark writes it, and the path in it. Credentials are those that pyarrow
+    finds; ValueError for a scheme that it does not know."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    scheme, rest = uri.split("://", 1)
+    rest = rest.replace(".blob.core.windows.net", ".dfs.core.windows.net", 1) if scheme.startswith("wasb") else rest
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no file system for {scheme}://: {e}") from None
+
 
+def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Encodes whole texts, writes shards, indexes and the manifest under path; returns the manifest as read back.
 
-def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Encodes whole texts, writes shards, indexes and the manifest under path; returns the manifest as read back."""
+    Shards are ranges of ids of about ``shard_bytes`` of text (smaller ones where there would be fewer than cores, but not
+    under a megabyte); one task writes, and later reads, a shard."""
     file = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"records take whole numbers as ids; {id_col} is {dict(df.dtypes)[id_col]}")
+    filesystem(path)  # an unknown scheme shows here, not in the tasks
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -95,7 +115,9 @@ def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     spark = df.sparkSession
     doc = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    doc.repartitionByRange("i").sortWithinPartitions("i").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    size = doc.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes), min(4 * spark.sparkContext.defaultParallelism, size >> 20))
+    doc.repartitionByRange(shards, "i").sortWithinPartitions("i").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return read_manifest(spark, path)
 
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, per_batch, text_bytes, words
+from tidemark.llm.common import per_batch, text_bytes, words
+from tidemark.sources.shared import materialize
 
 #: Bounds of the fit: labelled rows, terms.
 FIT_ROWS, TERMS = 6000, 512

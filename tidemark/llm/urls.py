@@ -149,7 +149,7 @@ def _rest(url: Column) -> Column:
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Iterable[Rule] = RULES, default: str = "allow") -> DataFrame:
     """id, host, path, rule (null if none fits) and verdict of each row; where no rule fits, the default's."""
     automaton = ShiftAnd(rules)
-    parts = df.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parts = df.select(F.col(id_col).alias("i"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
 
     def judge(batches):
         names = [*(r.name for r in automaton.rules), None]
@@ -157,12 +157,14 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         for b in batches:
             best = automaton.match(b["host"].to_pylist(), b["path"].to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b[id_col], b["host"], b["path"], pa.array([names[i] for i in best], pa.string()), pa.array([verdicts[i] for i in best], pa.string())],
-                [id_col, "host", "path", "rule", "verdict"],
+                [b["i"], b["host"], b["path"], pa.array([names[i] for i in best], pa.string()), pa.array([verdicts[i] for i in best], pa.string())],
+                ["i", "host", "path", "rule", "verdict"],
             )
 
+    if id_col.lower() in ("host", "path", "rule", "verdict"):
+        raise ValueError(f"the id column may not be named {id_col}: the result has a column of that name")
     kind = dict(df.dtypes)[id_col]
-    return parts.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(judge, f"i {kind}, host string, path string, rule string, verdict string").withColumnRenamed("i", id_col)
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -4,19 +4,24 @@
 same canonical url, checks validators and merges headers: the 304's permitted headers replace the response's, all others
 stay. Only ids, times, validators and headers move; payloads stay where they are and are referred to by record id.
 
-The as-of join is two-level, so that a url with a third of all rows is no hot task: time is dealt into ``buckets`` equal
-spans; the last response of each url and span is aggregated (partial sums first), carried over spans by a window of at
-most ``buckets`` rows a url, and joined back on (url, span); within a span a window finds later ones.
+The as-of join is two-level, so that a url with a third of all rows is no hot task: time is dealt into ``buckets`` spans
+of about as many rows each (by quantiles, so an outlier does not stretch them); the last response of each url and span is
+aggregated (partial sums first), carried over spans by a window of at most ``buckets`` rows a url, and joined back on
+(url, span); within a span a window finds later ones.
 
 Outcomes: ``resolved`` (an entity tag or modification date agrees), ``mismatch`` (it does not), ``unverified`` (nothing
-to compare), ``missing`` (no earlier response, or a null url or time). Responses at a revisit's very time count as
-earlier if their record id is smaller; a null record id comes first. Repeated rows each get a row.
+to compare), ``missing`` (no earlier response, or a null url or time), ``other_profile`` (the record has a ``profile``
+that is not server-not-modified, such as identical-payload-digest: it keeps its own headers and refers to the record that
+it names, if any). Times are whole numbers, timestamps or ISO strings; one that cannot be read is null. Responses at a
+revisit's very time count as earlier if their record id is smaller; a null record id comes first. Repeated rows each get
+a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +33,9 @@ from tidemark.llm.urls import host_of, path_of
 
 #: Headers that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-RECORD = "record_id string, url string, ts string, record_type string, headers map<string,string>, payload binary"
+RECORD = "record_id string, url string, ts string, record_type string, profile string, refers_to string, headers map<string,string>, payload binary"
+#: The end of the profile of a revisit that is a 304 answer.
+NOT_MODIFIED = "server-not-modified"
 
 
 def canonical_url(url: Column) -> Column:
@@ -39,21 +46,30 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), whole)
 
 
-def resolve_revisits(records: DataFrame, buckets: int = 256) -> DataFrame:
+def _instant(ts: Column, kind: str) -> Column:
+    """A time as a whole number: itself, or microseconds of a timestamp or an ISO string."""
+    if kind in ("timestamp", "string"):
+        return F.unix_micros(F.try_to_timestamp(ts) if kind == "string" else ts)
+    return F.unix_micros(ts.cast("timestamp")) if kind in ("timestamp_ntz", "date") else ts.cast("long")
+
+
+def resolve_revisits(records: DataFrame, buckets: int = 64) -> DataFrame:
     """record_id, url (canonical), ts, referred_id, outcome and merged headers of each revisit.
 
-    records: record_id, url, ts (long), record_type (response or revisit), headers map<string,string> with lower-case
-    names; further columns are not read.
+    records: record_id, url, ts, record_type (response or revisit), headers map<string,string> with lower-case names, and
+    (read_warc gives them) profile and refers_to; without them every revisit is a 304. Further columns are not read.
     """
-    r = records.where(F.col("record_type").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long").alias("ts"), "record_type", "headers")
-    span = r.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    low, width = (span.a or 0), max(1, -(-((span.b or 0) - (span.a or 0) + 1) // buckets))
+    own = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    r = records.where(F.col("record_type").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url"), F.col("ts").alias("given"), _instant(F.col("ts"), dict(records.dtypes)["ts"]).alias("ts"), "record_type", "headers", own("profile").alias("profile"), own("refers_to").alias("refers_to"))
+    r = r.withColumn("other", (F.col("record_type") == "revisit") & F.coalesce(~F.col("profile").endswith(NOT_MODIFIED), F.lit(False)))
+    bounds = sorted(set(r.agg(F.percentile_approx("ts", [k / buckets for k in range(1, buckets)], 1000)).first()[0] or [])) if buckets > 1 else []
     full = (F.col("record_type") == "response") & F.col("url").isNotNull() & F.col("ts").isNotNull()
-    r = r.withColumn("slot", F.floor((F.col("ts") - low) / width)).withColumn("full", F.when(full, F.struct("ts", "record_id", "headers")))
+    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    r = r.withColumn("slot", F.size(F.filter(edges, lambda b: b <= F.col("ts")))).withColumn("full", F.when(full, F.struct("ts", "record_id", "headers")))
     at = F.struct("ts", F.col("record_id"))
     last = r.where(full).groupBy("url", "slot").agg(F.max_by("full", at).alias("full"))
     carried = last.select("url", (F.col("slot") + 1).alias("slot"), F.col("full").alias("before"), F.lit(False).alias("asked"))
-    slots = r.where("record_type = 'revisit' AND url IS NOT NULL AND ts IS NOT NULL").select("url", "slot").distinct()
+    slots = r.where("record_type = 'revisit' AND NOT other AND url IS NOT NULL AND ts IS NOT NULL").select("url", "slot").distinct()
     marks = slots.select("url", "slot", F.lit(None).cast(carried.schema["before"].dataType).alias("before"), F.lit(True).alias("asked"))
     marks = marks.unionByName(carried)
     upto = Window.partitionBy("url").orderBy("slot", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -69,9 +85,11 @@ def resolve_revisits(records: DataFrame, buckets: int = 256) -> DataFrame:
     names = F.array(*map(F.lit, PERMITTED))
     updates = F.map_filter(F.coalesce(mine, empty), lambda k, v: F.array_contains(names, k))
     rest = F.map_filter(F.coalesce(theirs, empty), lambda k, v: ~F.array_contains(F.map_keys(updates), k))
-    out = found.withColumn("outcome", outcome)
+    out = found.withColumn("outcome", F.when(F.col("other"), "other_profile").otherwise(outcome))
     hit = F.col("outcome").isin("resolved", "unverified")
-    return out.select("record_id", "url", "ts", F.when(F.col("outcome") != "missing", F.col("to.record_id")).alias("referred_id"), "outcome", F.when(hit, F.map_concat(rest, updates)).otherwise(F.coalesce(mine, empty)).alias("headers"))
+    named = F.col("refers_to").cast(records.schema["record_id"].dataType) if dict(records.dtypes)["record_id"] == "string" else F.col("refers_to").try_cast(records.schema["record_id"].dataType)
+    referred = F.when(F.col("other"), named).when(F.col("outcome") != "missing", F.col("to.record_id"))
+    return out.select("record_id", "url", F.col("given").alias("ts"), referred.alias("referred_id"), "outcome", F.when(hit, F.map_concat(rest, updates)).otherwise(F.coalesce(mine, empty)).alias("headers"))
 
 
 def write_warc(rows: Iterator[dict], out) -> None:
@@ -79,11 +97,12 @@ def write_warc(rows: Iterator[dict], out) -> None:
     for r in rows:
         http = "".join(f"{k}: {v}\r\n" for k, v in (r.get("headers") or {}).items())
         body = f"HTTP/1.1 {304 if r['record_type'] == 'revisit' else 200} -\r\n{http}\r\n".encode() + (r.get("payload") or b"")
-        head = f"WARC/1.1\r\nWARC-Type: {r['record_type']}\r\nWARC-Record-ID: {r['record_id']}\r\nWARC-Target-URI: {r['url']}\r\nWARC-Date: {r['ts']}\r\nContent-Length: {len(body)}\r\n\r\n"
+        more = "".join(f"{name}: {r[key]}\r\n" for name, key in (("WARC-Profile", "profile"), ("WARC-Refers-To", "refers_to")) if r.get(key))
+        head = f"WARC/1.1\r\nWARC-Type: {r['record_type']}\r\nWARC-Record-ID: {r['record_id']}\r\nWARC-Target-URI: {r['url']}\r\nWARC-Date: {r['ts']}\r\n{more}Content-Length: {len(body)}\r\n\r\n"
         out.write(gzip.compress(head.encode() + body + b"\r\n\r\n", 6, mtime=0))
 
 
-def _lines(f: io.BufferedIOBase) -> dict[str, str]:
+def _lines(f) -> dict[str, str]:
     out = {}
     while line := f.readline().strip():
         name, _, value = line.decode("utf-8", "replace").partition(":")
@@ -91,40 +110,110 @@ def _lines(f: io.BufferedIOBase) -> dict[str, str]:
     return out
 
 
-def parse_warc(f: io.BufferedIOBase) -> Iterator[dict]:
-    """Records of an uncompressed stream, one at a time; stops at a damaged end."""
+class _Members(io.RawIOBase):
+    """The gzip members of a stream, decompressed; a cut or damaged member ends it where its readable bytes end."""
+
+    def __init__(self, raw):
+        self.raw, self.z, self.tail = raw, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while True:
+            if self.z is None or self.z.eof:
+                self.tail = (self.z.unused_data if self.z else b"") or self.raw.read(1 << 16)
+                self.z = zlib.decompressobj(31)
+            elif not self.tail:
+                self.tail = self.raw.read(1 << 16)
+            if not self.tail:
+                return 0
+            try:
+                data = self.z.decompress(self.tail, len(out))
+            except zlib.error:
+                return 0
+            self.tail = self.z.unconsumed_tail
+            if data:
+                out[: len(data)] = data
+                return len(data)
+
+
+class _Body:
+    """The next ``size`` bytes of a stream, read a piece at a time."""
+
+    def __init__(self, f, size: int):
+        self.f, self.left = f, size
+
+    def read(self, n: int) -> bytes:
+        data = self.f.read(min(n, self.left))
+        self.left -= len(data)
+        return data
+
+    def readline(self) -> bytes:
+        data = self.f.readline(self.left) if self.left else b""
+        self.left -= len(data)
+        return data
+
+
+def parse_warc(f, payloads: bool = True) -> Iterator[dict]:
+    """Records of an uncompressed stream, one at a time. Without ``payloads`` bodies are passed over in pieces and never
+    held. A body that is shorter than it says (a cut file) ends the records before it; a record without a
+    readable length is left out, and reading goes on at the next one."""
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
         head = _lines(f)
-        body = io.BytesIO(f.read(int(head.get("content-length") or 0)))
-        http = body.readline().startswith(b"HTTP/")
+        length = head.get("content-length", "0")
+        if not length.isascii() or not length.isdigit():
+            continue
+        body = _Body(f, int(length))
+        first = body.readline()
+        http = first.startswith(b"HTTP/")
         headers = _lines(body) if http else {}
-        payload = body.read() if http else body.getvalue()
-        yield {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "ts": head.get("warc-date"), "record_type": head.get("warc-type"), "headers": headers, "payload": payload}
-
-
-def read_warc(spark: SparkSession, path: str, rows_at_once: int = 200) -> DataFrame:
-    """The records of all .warc and .warc.gz files under path; a task streams its files, a few records at a time."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    fields = [("record_id", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("record_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
+        held = [] if http or not payloads else [first]
+        while body.left and (piece := body.read(1 << 20)):
+            if payloads:
+                held.append(piece)
+        if body.left:
+            return
+        named = {"record_id": "warc-record-id", "url": "warc-target-uri", "ts": "warc-date", "record_type": "warc-type", "profile": "warc-profile", "refers_to": "warc-refers-to"}
+        yield {k: head.get(v) for k, v in named.items()} | {"headers": headers, "payload": b"".join(held) if payloads else None}
+
+
+def read_warc(spark: SparkSession, path: str, rows_at_once: int = 200, payloads: bool = True) -> DataFrame:
+    """The records of all .warc and .warc.gz files under path; a task streams its files, a few records at a time. Where
+    pyarrow does not know the path's scheme, Spark reads the files (each then whole in memory)."""
+    try:
+        filesystem(path)
+        columns = ["path"]
+    except ValueError:
+        columns = ["path", "content"]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").option("recursiveFileLookup", "true").load(path).select(*columns)
+    text, pairs = pa.string(), pa.map_(pa.string(), pa.string())
+    kind = pa.schema([("record_id", text), ("url", text), ("ts", text), ("record_type", text), ("profile", text), ("refers_to", text), ("headers", pairs), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch["path"].to_pylist():
-                fs, at = filesystem(name)
-                with fs.open_input_stream(at, compression=None) as raw:
-                    f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if name.endswith(".gz") else io.BufferedReader(raw)
+            for i, name in enumerate(batch["path"].to_pylist()):
+                if len(columns) > 1:
+                    raw = io.BytesIO(batch["content"][i].as_py())
+                else:
+                    fs, at = filesystem(name)
+                    raw = fs.open_input_stream(at, compression=None)
+                with raw:
+                    f = io.BufferedReader(_Members(raw) if name.endswith(".gz") else raw)
                     block: list[dict] = []
-                    for record in parse_warc(f):
+                    size = 0
+                    for record in parse_warc(f, payloads):
                         block.append(record | {"headers": list(record["headers"].items())})
-                        if len(block) == rows_at_once:
-                            yield pa.RecordBatch.from_pylist(block, pa.schema(fields))
-                            block = []
+                        size += len(record["payload"] or b"")
+                        if len(block) == rows_at_once or size > 16 << 20:
+                            yield pa.RecordBatch.from_pylist(block, kind)
+                            block, size = [], 0
                     if block:
-                        yield pa.RecordBatch.from_pylist(block, pa.schema(fields))
+                        yield pa.RecordBatch.from_pylist(block, kind)
 
-    return names.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, RECORD)
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, RECORD)
 
 
 def capture_records(pages: DataFrame) -> DataFrame:
