@@ -591,3 +591,139 @@ def test_runs_without_digits_are_judged():
     key = "ZxQmLrTwVbNcKdHfJgPsYaUeIoRtGhBnWqLkXcVz"
     assert secrets.secret_spans(f"the key: {key} end".encode(), net) == [(9, 9 + len(key), "cnn")]
     assert secrets.secret_spans(b"see Donaudampfschifffahrtsgesellschaft and ================================ there", net) == []
+
+
+def brute_neardup(rows):
+    """n_links and component of each (id, vector, label) of usable vectors."""
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    link = (x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])
+    low = np.array([r[0] for r in rows])
+    while True:
+        new = np.where(link, low[None, :], low.max()).min(axis=1)
+        if (new == low).all():
+            return {r[0]: (int(link[i].sum()) - 1, int(low[i])) for i, r in enumerate(rows)}
+        low = new
+
+
+def test_op7_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(60, 24))
+    rows = [(i, [float(np.float32(x)) for x in centre[i % 60] + rng.normal(size=24) * 0.12 * (i % 4)], int(i % 60 % 4)) for i in range(900)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 2)]
+    names = "vec_id long, embedding array<float>, label int, n_links string, v int, h1 int, root int"
+    spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], names).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in catalog.queries()["op7_embedding_neardup"](spark, str(tmp_path)).collect()}
+    want = brute_neardup(rows)
+    found, all_ = sum(v[0] for v in got.values()), sum(v[0] for v in want.values())
+    assert len(got) == len(rows) and all_ > 5000 and 0.99 * all_ <= found <= all_
+    assert sum(got[k][:2] == want[k] for k in want) >= 0.99 * len(want)
+    assert all(v[2] == (v[1] == k) for k, v in got.items())
+    assert neardup.near_duplicates(spark.createDataFrame([], names)).count() == 0
+
+
+def test_op7_recall_with_many_pivots(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(1500, 48))
+    near = base[:700] / np.linalg.norm(base[:700], axis=1, keepdims=True) + rng.normal(size=(700, 48)) * 0.045
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(np.vstack([base, near]))]
+    want = sum(v[0] for v in brute_neardup(rows).values())
+    monkeypatch.setattr(neardup, "PER_ROOT", 40.0)  # nearly every vector is a pivot
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).agg(F.sum("n_links")).first()[0]
+    assert want > 1000 and 0.9 * want <= got <= want
+
+
+def test_prefix_counts_behind_special_strings():
+    import time
+
+    dp = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(dp.tok.encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(6)
+    parts = ["<|endoftext|>", "<|endof", "<", "|>", "a", "é", " ", "  ", "\n", "'re", "12", "!!", "x y", "🙂", "text|>", "'"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts, int(rng.integers(1, 9))))
+        assert dp.counts(t.encode()).tolist() == [count(t[:i]) for i in range(len(t) + 1)]
+    long = "<|endoftext|>" + "".join(rng.choice(list("abcdefg0123!"), 8000))
+    began = time.perf_counter()
+    assert dp.counts(long.encode())[-1] == count(long) and time.perf_counter() - began < 1
+
+
+def test_prefix_tables_of_whole_documents(spark, docs, texts):
+    """The stored table answers any budget as the library would."""
+    dp = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    t = token_counts.prefix_tables(docs).select("doc_id", token_counts.tokens_at(F.col("prefix_counts"), 1 << 30).alias("n"), token_counts.tokens_at(F.col("prefix_counts"), 50).alias("at"), token_counts.chars_within(F.col("prefix_counts"), 64).alias("fit"))
+    for r in t.collect():
+        ids = lambda x: len(dp.encode(x, add_special_tokens=False).ids)
+        text = texts[r.doc_id]
+        assert (r.n, r.at) == (ids(text), ids(text[:50])) and ids(text[: r.fit]) <= 64 and (r.fit == len(text) or ids(text[: r.fit + 1]) > 64 or r.n <= 64)
+
+
+def test_contamination_in_small_automata(spark, docs, texts):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(999, " ".join(texts.values())[:4000])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {k: brute_contamination(t, items)[:3] for k, t in list(texts.items())[:60]}
+    some = docs.where(F.col("doc_id").isin(*want))
+    for states in (13, 400, 4_000_000):
+        blocks = list(contamination.item_blocks(bench, "item_id", "text", 13, 4 << 20, states))
+        assert max(sum(13 * max(1, len(t.split()) - 12) for _, t in b) for b in blocks) <= states
+        if states > 13:
+            got = contamination.contaminated_words(some, bench, most_states=states)
+            assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in got.collect()} == want
+
+
+def test_schedule_products_beyond_64_bits():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        b = int(rng.integers(1, 1 << int(rng.integers(2, 47))))
+        a, x = int(rng.integers(1, b + 1)), rng.integers(0, b, 20)
+        q, r = packing.part_of(x, a, b)
+        assert [(int(q[i]), int(r[i])) for i in range(20)] == [divmod(int(x[i]) * a, b) for i in range(20)]
+    s = packing.Schedule({"a": 5 * 10**13, "b": 3 * 10**13 + 7, "c": 11}, None, 2048)
+    for q in "abc":
+        start, length, window, offset = s.cut(q, 0, 11)
+        assert length.sum() == 11 and (window >= 0).all() and (offset + length <= 2048).all()
+    with pytest.raises(ValueError):
+        packing.Schedule({"a": 1 << 48}, None, 2048)
+
+
+def test_packing_without_a_source_column(spark, docs):
+    whole = packing.pack(docs.drop("source")).agg(F.sum("length"), F.countDistinct("doc_id")).first()
+    assert tuple(whole) == tuple(packing.pack(docs).agg(F.sum("length"), F.countDistinct("doc_id")).first())
+
+
+def test_op8_against_plain_arithmetic(spark, docs, texts):
+    """Scores of every document from the model's weights, by the cumulative-link formula word by word."""
+    import math
+
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    names = {k: v for v, k in model.terms.items()}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        n = {}
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in texts[r.doc_id].encode())):
+            own = {w} | ({b"^" + w.decode("utf-8", "ignore")[:k].encode() for k in (4, 5, 6, 7) if len(w.decode("utf-8", "ignore")) >= k} if len(w) >= 4 else set())
+            for k, name in names.items():
+                n[k] = n.get(k, 0) + (name in own)
+        s = sum(model.weights[k] * math.log2(1 + c) for k, c in n.items())
+        above = [1 / (1 + math.exp(min(60, max(-60, t - s)))) for t in model.thresholds]
+        assert abs(r.severity - sum(above)) < 1e-6 and abs(r.p_toxic - above[0]) < 1e-6 and r.toxic == (above[0] >= 0.5)
+        each = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert each[r.grade] >= max(each) - 1e-9
+
+
+def test_toxicity_recall_and_precision_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 3 <> 0"))
+    held = toxicity.score_toxicity(docs, model).join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    hit = sum(r.toxic and r.label == 1 for r in held)
+    recall, precision = hit / sum(r.label == 1 for r in held), hit / max(1, sum(r.toxic for r in held))
+    print("held out: recall", recall, "precision", precision, "of", len(held))
+    assert recall >= 0.9 and precision >= 0.95
+
+
+def test_repeated_labelled_ids_are_fitted_once(spark):
+    rows = [(1, f"bad words here {k}") for k in range(500)] + [(k, "good words there") for k in range(2, 20)]
+    labels = [(k, int(k == 1)) for k in range(1, 20)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert isinstance(model, toxicity.OrdinalModel)

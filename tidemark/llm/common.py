@@ -18,12 +18,19 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield x or b""
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: what a worker makes of one at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
+        for batch in pieces_of(batches):
+            if (out := f(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

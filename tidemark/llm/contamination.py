@@ -2,13 +2,16 @@
 over each whole document; hits are mapped back to words and to code points of the original text.
 
 Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters. A window is ``width`` consecutive words of an
-item; an item of fewer words, but not none, is one window. Windows are written `` w1 w2 ... `` with a space at either
-end, so a match always covers whole words. The automaton holds at most ``block_bytes`` of benchmark text, a checked
-bound on what goes to executors; a larger benchmark is taken in blocks, one scan for each, whose hit words are united.
+item; an item of fewer words, but not none, is one window. The automaton's letters are the benchmark's words, numbered; a
+document's words become letters too (all unknown ones the same), so a window is ``width`` states and a match always covers
+whole words. An automaton holds at most ``MOST_STATES`` states and ``block_bytes`` of benchmark text, a checked bound on a
+worker's memory; a larger benchmark is taken in blocks, one automaton at a time, each of which scans some MB of documents
+before the next is built; hit words are united.
 
 Null or wordless documents have no words and are clean; null or wordless items have no windows; items that repeat an id
 count once; documents that repeat an id each get a row. Items with a null id have windows like any other: their hit words
-count, and only the list of items leaves them out.
+count, and only the list of items leaves them out. Empty tables give empty results (an empty benchmark hits nothing);
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,18 +24,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_BYTES, text_bytes, words
+from tidemark.llm.common import text_bytes, words
 
 WIDTH = 13
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 DOC_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+#: States of one automaton (50 to 100 bytes each), and MB of documents that a task scans with each of several automata.
+MOST_STATES, SCAN_MB = 4_000_000, 32
+#: Letters of the automaton: code points but for 0 (unknown words) and surrogates.
+FIRST_SURROGATE, SURROGATES, LETTERS = 0xD800, 0x800, 0x10FFFF - 0x800
 
 
-def windows(text: bytes, width: int = WIDTH) -> set[str]:
-    """Normalised windows of an item, as Latin-1 strings of their UTF-8 bytes."""
-    w = words(text)
-    parts = [w] if 0 < len(w) < width else [w[i : i + width] for i in range(len(w) - width + 1)] if w else []
-    return {(b" " + b" ".join(p) + b" ").decode("latin-1") for p in parts}
+class _Letters(dict):
+    """The letter of each known word; all others have the letter 0."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+    def add(self, word: bytes) -> None:
+        if word not in self:
+            k = len(self) + 1
+            self[word] = chr(k if k < FIRST_SURROGATE else k + SURROGATES)
 
 
 class Scanner:
@@ -41,13 +53,20 @@ class Scanner:
     def __init__(self, items: list[tuple[str | None, bytes]], width: int = WIDTH):
         import ahocorasick
 
-        owners: dict[str, list[str | None]] = {}
+        self.letters = _Letters()
+        owners: dict[str, set[str]] = {}
         for item, text in items:
-            for window in windows(text, width):
-                owners.setdefault(window, []).append(item)
+            w = words(text)
+            for x in w:
+                self.letters.add(x)
+            line = "".join(map(self.letters.__getitem__, w))
+            for i in range(max(1, len(line) - width + 1) if line else 0):
+                who = owners.setdefault(line[i : i + width], set())
+                if item is not None:
+                    who.add(item)
         self.automaton = ahocorasick.Automaton()
         for window, who in owners.items():
-            self.automaton.add_word(window, (len(window), window.count(" ") - 1, tuple({i for i in who if i is not None})))
+            self.automaton.add_word(window, (len(window), tuple(who)))
         self.empty = not owners
         if not self.empty:
             self.automaton.make_automaton()
@@ -57,18 +76,16 @@ class Scanner:
         w = words(text)
         if not w or self.empty:
             return len(w), np.zeros(0, np.int64), set()
-        line = (b" " + b" ".join(w) + b" ").decode("latin-1")
         starts: dict[int, int] = {}
         items: set[str] = set()
-        for end, (size, n, who) in self.automaton.iter(line):
-            at = end - size + 1
+        for end, (n, who) in self.automaton.iter("".join(map(self.letters.__getitem__, w))):
+            at = end - n + 1
             starts[at] = max(starts.get(at, 0), n)
             items.update(who)
         if not starts:
             return len(w), np.zeros(0, np.int64), items
-        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
         edge = np.zeros(len(w) + 1, np.int64)
-        first = np.searchsorted(spaces, np.fromiter(starts, np.int64, len(starts)))
+        first = np.fromiter(starts, np.int64, len(starts))
         np.add.at(edge, first, 1)
         np.add.at(edge, first + np.fromiter(starts.values(), np.int64, len(starts)), -1)
         return len(w), np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
@@ -85,50 +102,70 @@ def spans_of(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": before(at[r[0]][0]), "end": before(at[r[-1]][1])} for r in runs]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark, streamed to the driver a partition at a time, in blocks of at most block_bytes (or one item)."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int, most_states: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark, streamed to the driver a partition at a time, in blocks of at most block_bytes and most_states
+    states. A longer item is taken in parts that overlap by a window less one word."""
     block: list[tuple[str | None, bytes]] = []
-    used = 0
+    used = states = 0
+    step = max(1, min(most_states // width, LETTERS - width))
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     for row in rows.where("t IS NOT NULL").toLocalIterator():
-        if block and used + len(row.t) > block_bytes:
-            yield block
-            block, used = [], 0
-        block.append((row.i, bytes(row.t)))
-        used += len(row.t)
+        w = words(bytes(row.t))
+        for at in range(0, max(1, len(w) - width + 1) if w else 0, step):
+            part = w[at : at + step + width - 1]
+            text, own = b" ".join(part), width * max(1, len(part) - width + 1)
+            if block and (used + len(text) > block_bytes or states + own > min(most_states, LETTERS)):
+                yield block
+                block, used, states = [], 0, 0
+            block.append((row.i, text))
+            used += len(text)
+            states += own
     yield block
 
 
-def _shipped(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, width: int, block_bytes: int):
-    """A function from texts to (words, hit word indexes, items) lists, with the benchmark's blocks broadcast."""
-    shipped = [documents.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_bytes)]
-    built: list[Scanner] = []
-
-    def scan(texts: list[bytes]):
-        n, hits, items = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts), [set() for _ in texts]
-        for part in shipped:
-            if len(shipped) == 1:
-                scanner = built[0] if built else built.append(Scanner(part.value, width)) or built[0]
-            else:
-                scanner = Scanner(part.value, width)
-            for i, text in enumerate(texts):
-                n[i], hit, who = scanner.scan(text)
-                if len(hit):
-                    hits[i] = np.union1d(hits[i], hit)
-                    items[i] |= who
-        return n, hits, items
+def _shipped(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, width: int, block_bytes: int, most_states: int):
+    """A function from an iterator of batches and their text column to (batch, words, hit word indexes, items), with the
+    benchmark's blocks broadcast. With one block its automaton serves the whole task; with more, some MB of documents are
+    held and each block's automaton is built, used and dropped in turn."""
+    shipped = [documents.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, width, block_bytes, most_states)]
+
+    def scan(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        scanner = Scanner(shipped[0].value, width) if len(shipped) == 1 else None
+
+        def judged() -> Iterator[tuple]:
+            texts = [list(text_bytes(b[column])) for b in held]
+            found = [([0] * len(ts), [np.zeros(0, np.int64)] * len(ts), [set() for _ in ts]) for ts in texts]
+            for part in shipped:
+                now = scanner or Scanner(part.value, width)
+                for ts, (n, hits, items) in zip(texts, found, strict=True):
+                    for i, text in enumerate(ts):
+                        n[i], hit, who = now.scan(text)
+                        if len(hit):
+                            hits[i] = np.union1d(hits[i], hit)
+                            items[i] |= who
+            for b, ts, x in zip(held, texts, found, strict=True):
+                yield b, ts, *x
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if scanner or size > SCAN_MB << 20:
+                yield from judged()
+                held, size = [], 0
+        if held:
+            yield from judged()
 
     return scan
 
 
-def contaminated_words(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated_words(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 4 << 20, most_states: int = MOST_STATES) -> DataFrame:
     """id, n_words, n_hit, items (ids as sorted strings) and spans (of hit words in the original) of each document."""
-    scan = _shipped(documents, benchmark, item_id, item_text, width, block_bytes)
+    scan = _shipped(documents, benchmark, item_id, item_text, width, block_bytes, most_states)
 
     def judge(batches):
-        for batch in batches:
-            texts = list(text_bytes(batch["t"]))
-            n, hits, items = scan(texts)
+        for batch, texts, n, hits, items in scan(batches, "t"):
             yield pa.RecordBatch.from_arrays(
                 [batch["i"], pa.array(n, pa.int64()), pa.array(list(map(len, hits)), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([spans_of(t, h) for t, h in zip(texts, hits, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["i", "n_words", "n_hit", "items", "spans"],
@@ -138,13 +175,12 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, id_col: str =
     return doc.mapInArrow(judge, f"i {dict(documents.dtypes)[id_col]}, {DOC_SCHEMA}").withColumnRenamed("i", id_col)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 4 << 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 4 << 20, most_states: int = MOST_STATES) -> DataFrame:
     """The documents that are not contaminated, with all their columns whatever their names; one pass without a join."""
-    scan = _shipped(documents, benchmark, item_id, item_text, width, block_bytes)
+    scan = _shipped(documents, benchmark, item_id, item_text, width, block_bytes, most_states)
 
     def keep(batches):
-        for batch in batches:
-            n, hits, _ = scan(list(text_bytes(batch[text_col])))
+        for batch, _, n, hits, _ in scan(batches, text_col):
             yield batch.filter(pa.array([not (len(h) and 20 * len(h) >= k) for k, h in zip(n, hits, strict=True)], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -2,15 +2,19 @@
 
 Every vector is described by its nearest reference points (pivots) in order. Inverted lists hold, for each label and
 pivot, the vectors that have it among their nearest ``DEPTH``; two vectors that share ``SHARED`` pivots or more are a
-candidate, counted in the list of their first shared pivot alone, and verified by cosine in double precision.
+candidate, counted in the list of their first shared pivot alone, and verified by cosine in double precision. Pivots are
+numbered from the rarest; two vectors that share that many pivots share one of the first ``DEPTH - SHARED + 1`` of either,
+so a vector is not in the lists of its commonest ones.
 
-Equal vectors of a label are one class, so copies cost nothing. A long list is split into parts of about ``ROWS`` by
-hash, of which every two meet in one task; a task multiplies its part in numpy, counts links and lets out only counts
-and a spanning forest, never pairs. The pivots are a bounded sample (``MOST_PIVOTS`` at most, more for more vectors), every
-vector is indexed, and recall against brute force is measured in the tests.
+Equal vectors of a label are one class (by 128 bits of hashes), so copies cost nothing and only ids are joined back. A
+long list is split into parts of about ``ROWS`` by hash, of which every two meet in one task; a task multiplies its part
+in numpy, counts links and lets out only counts and a spanning forest, never pairs. There are as many pivots as the root of
+the number of vectors, so lists grow with the root too; the pivots are a sample of at most ``PIVOT_MB`` (shipped to all
+executors), every vector is indexed, and recall against brute force is measured in the tests.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with
 nothing; only vectors of one length are compared. A null id has a null component. Repeated rows are copies of each other.
+An empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import pieces_of
 from tidemark.llm.graph import components, local_roots
-from tidemark.sources.shared import materialize
+from tidemark.sources.shared import discard, materialize, store
 
 COSINE = 0.93
 DEPTH, SHARED = 10, 3
-#: Pivots: a multiple of the root of the number of vectors, within bounds.
-LEAST_PIVOTS, MOST_PIVOTS, PER_ROOT = 64, 2048, 1.0
+#: Pivots: a multiple of the root of the number of vectors, within bounds (MB of them in single precision).
+LEAST_PIVOTS, PIVOT_MB, PER_ROOT = 64, 64, 1.0
 ROWS = 1024
 
 
@@ -36,32 +41,48 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _classes(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """label, v (the vector), id (smallest of its rows), k (rows) of each distinct usable vector."""
+def _rows(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """i, v, label of each row, and two hashes of v, null where it links with nothing. -0.0 counts as 0.0."""
+    rows = df.select(F.col(id_col).alias("i"), F.transform(F.col(vector_col), lambda x: x + F.lit(0).cast(x_type(df, vector_col))).alias("v"), F.col(label_col).alias("label"))
     v = F.col("v")
     fine = F.col("label").isNotNull() & F.col("i").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    return rows.where(fine).groupBy("label", "v").agg(F.min("i").alias("id"), F.count("*").alias("k"))
+    return rows.withColumn("h1", F.when(fine, F.xxhash64("v"))).withColumn("h2", F.when(fine, F.xxhash64(F.lit(1), "v")))
+
+
+def x_type(df: DataFrame, column: str):
+    """The type of an array column's elements."""
+    return df.schema[column].dataType.elementType
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """label, h1, h2, v (the vector), id (smallest of its rows), k (rows) of each distinct usable vector."""
+    return rows.where("h1 IS NOT NULL").groupBy("label", "h1", "h2").agg(F.min("i").alias("id"), F.count("*").alias("k"), F.first("v").alias("v"))
 
 
 def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit pivots of each vector length: a bounded sample by hash."""
-    n = classes.count()
-    size = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PER_ROOT * n**0.5)))
-    sample = classes.select("v", F.size("v").alias("d")).orderBy(F.xxhash64("v"), "v").limit(size).collect()
-    return {d: _unit(np.array([r.v for r in sample if r.d == d], float)) for d in {r.d for r in sample}}
+    """Unit pivots of each vector length in single precision: a bounded sample by hash."""
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    most = (PIVOT_MB << 20) // (4 * max(1, size.d or 1))
+    sample = classes.select("v", F.size("v").alias("d")).orderBy("h1", "h2").limit(int(min(most, max(LEAST_PIVOTS, PER_ROOT * size.n**0.5)))).collect()
+    return {d: _unit(np.array([r.v for r in sample if r.d == d], float)).astype(np.float32) for d in {r.d for r in sample}}
 
 
 def _describe(pivots: dict[int, np.ndarray], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch["v"].to_pylist()
-            sign: list[list[int]] = []
-            for v in vectors:
-                p = pivots.get(len(v))
-                x = np.array(v)
-                sign.append([0] if p is None else np.argsort(-(p @ (x / np.linalg.norm(x))), kind="stable")[:depth].tolist())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], batch["label"], batch["v"], pa.array(sign, pa.list_(pa.int32()))], ["id", "k", "label", "v", "sign"])
+        for batch in pieces_of(batches):
+            sizes = batch["v"].value_lengths().to_numpy()
+            flat, ends = batch["v"].flatten().to_numpy(), np.cumsum(sizes)
+            sign: list[list[int]] = [[0]] * len(sizes)
+            for d in np.unique(sizes).tolist():
+                if d in pivots:
+                    rows = np.flatnonzero(sizes == d)
+                    x = _unit(flat[(ends[rows] - d)[:, None] + np.arange(d)].astype(float)).astype(np.float32)
+                    near = -(x @ pivots[d].T)
+                    k = min(depth, near.shape[1])
+                    best = np.argpartition(near, k - 1, axis=1)[:, :k]
+                    for i, r in zip(rows.tolist(), best.tolist(), strict=True):
+                        sign[i] = r
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "k", "label", "v")), pa.array(sign, pa.list_(pa.int32()))], ["id", "k", "label", "v", "sign"])
 
     return run
 
@@ -85,7 +106,7 @@ def _verify(cosine: float, shared: int):
             low = np.zeros_like(has)
             before = flat < pivot
             low[owner[before], column[before]] = 1
-            x = _unit(table["v"].combine_chunks().flatten().to_numpy().reshape(len(sign), -1))
+            x = _unit(table["v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(sign), -1))
             depth = np.minimum(has.sum(axis=1)[left][:, None], has.sum(axis=1)[right][None, :])
             some = (has[left] @ has[right].T >= np.minimum(shared, depth)) & (low[left] @ low[right].T == 0)
             hit = some & (x[left] @ x[right].T >= cosine)
@@ -106,22 +127,38 @@ def _verify(cosine: float, shared: int):
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, depth: int = DEPTH, shared: int = SHARED, rows: int = ROWS) -> DataFrame:
     """id, n_links, component_id and kept of each row."""
-    classes = materialize(_classes(df, id_col, vector_col, label_col), "neardup-classes")
-    label_type = dict(classes.dtypes)["label"]
-    described = classes.select("id", "k", "label", "v").mapInArrow(_describe(_pivots(classes), depth), f"id long, k long, label {label_type}, v array<double>, sign array<int>")
-    entries = materialize(described.withColumn("d", F.size("v")), "neardup-index").withColumn("pivot", F.explode("sign"))
-    sizes = entries.groupBy("label", "d", "pivot").count()
+    spark = df.sparkSession
+    source = _rows(df, id_col, vector_col, label_col)
+    classes, _ = store(_classes(source), "neardup-classes")
+    label_type, vector_type = dict(classes.dtypes)["label"], dict(classes.dtypes)["v"]
+    described = classes.select("id", "k", "label", "v").mapInArrow(_describe(_pivots(classes), depth), f"id long, k long, label {label_type}, v {vector_type}, sign array<int>")
+    index, index_path = store(described, "neardup-index")
+    # pivots by falling rarity: as many rows as pivots
+    order = [r.pivot for r in index.select(F.explode("sign").alias("pivot")).groupBy("pivot").count().orderBy("count", "pivot").collect()]
+    rank = np.zeros(max(order, default=0) + 1, np.int32)
+    rank[order] = np.arange(len(order))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sign = [sorted(rank[s].tolist()) for s in batch["sign"].to_pylist()]
+            first = [s[: len(s) - min(shared, len(s)) + 1] for s in sign]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "k", "label", "v")), pa.array(sign, kind), pa.array(first, kind)], ["id", "k", "label", "v", "sign", "first"])
+
+    entries = index.mapInArrow(ranked, f"id long, k long, label {label_type}, v {vector_type}, sign array<int>, first array<int>").withColumn("d", F.size("v")).withColumn("pivot", F.explode("first")).drop("first")
+    sizes, sizes_path = store(entries.groupBy("label", "d", "pivot").count(), "neardup-sizes")
     placed = entries.join(sizes, ["label", "d", "pivot"]).withColumn("g", F.ceil(F.col("count") / rows).cast("int")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     pairs = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     key = ["label", "d", "pivot", "x", "y"]
     blocks = pairs.select("label", "d", "pivot", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).cast("int").alias("side"), (F.col("p") != F.col("q")).alias("cross"), "id", "k", "v", "sign")
     found = materialize(blocks.groupBy(*key).applyInArrow(_verify(cosine, shared), "id long, other long, links long"), "neardup-links")
+    for path in (index_path, sizes_path):
+        discard(spark, path)
     linked = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")), "neardup-components")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    each = classes.select("id", "k", "label", "v").join(counts, "id", "left").join(linked, classes.id == linked.node, "left")
-    each = each.select("label", "v", F.col("id").alias("_id"), F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("n_links"))
-    source = df.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    whole = source.withColumn("ok", F.col("i").isNotNull()).join(each.withColumn("ok", F.lit(True)), ["label", "v", "ok"], "left")
+    own = classes.select("label", "h1", "h2", "id", "k").join(counts, "id", "left").join(linked, F.col("id") == F.col("node"), "left")
+    each = own.select(F.col("label").alias("of"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+    whole = source.select("i", "label", "h1", "h2").join(each, (F.col("label") == F.col("of")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     component = F.coalesce("root", "i")
     return whole.select(F.col("i").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("i") == component, F.lit(True)).alias("kept"))
 

@@ -11,7 +11,8 @@ queue cannot fill its share of another window, the others go on in their proport
 
 The tokens that do not fill a window come first, cut into sequences of powers of two, so nothing is padded.
 
-A null text is empty and still has its end id; a null source is the queue ``""``. Only where a caller sets
+A null text is empty and still has its end id; a null source is the queue ``""``, and so is all of a table without a
+source column. Only where a caller sets
 ``max_queues`` do more sources than that share queues by hash; a queue's target is then the sum of its sources' targets.
 Repeated ids stay apart as rows; an empty table gives an empty result.
 """
@@ -28,20 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import pieces_of, text_bytes
 from tidemark.llm.tokens import encoder
 from tidemark.sources.shared import materialize
 
 SIZE = 2048
 
 
+def part_of(x: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quotient and remainder of x * a / b, all under 2^47, in 64 bits: long division by 16 bits of x at a time."""
+    if int(x.max(initial=0)) * a < 1 << 62:
+        return np.divmod(x * a, b)
+    x, a, b = x.astype(np.uint64), np.uint64(a), np.uint64(b)
+    q, r = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
+    for shift in (32, 16, 0):
+        r = (r << np.uint64(16)) + (x >> np.uint64(shift) & np.uint64(0xFFFF)) * a
+        q = (q << np.uint64(16)) + r // b
+        r %= b
+    return q.astype(np.int64), r.astype(np.int64)
+
+
 class Phase:
     """Windows over which each queue gives a fixed amount: the first of ``first`` tokens (or none), then full ones."""
 
     def __init__(self, amounts: list[int], taken: list[int], first: int, size: int, window: int):
         self.amounts, self.taken, self.first, self.size, self.window = amounts, taken, first, size, window
         self.length = sum(amounts)
-        self.kind = object if self.length * max(amounts) >= 1 << 62 else np.int64
+        if self.length >= 1 << 47:
+            raise ValueError("a schedule takes fewer than 2^47 tokens")
         # of each node but the root: its parent, whether it is the right child, the tokens of the left one and of both
         self.parent, self.right, self.left, self.whole = ([0] * len(amounts) for _ in range(4))
         heap = [(n, i) for i, n in enumerate(amounts) if n]
@@ -57,7 +72,6 @@ class Phase:
 
     def edges(self, j: np.ndarray) -> np.ndarray:
         """Tokens of the phase before its window j."""
-        j = j.astype(self.kind)
         return np.maximum(self.first + (j - 1) * self.size, 0) if self.first else j * self.size
 
     def windows(self) -> int:
@@ -73,17 +87,20 @@ class Phase:
 
     def served(self, path: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of a queue among the first u of the phase, and those of the queues to its left."""
-        lead = np.zeros(len(u), self.kind)
+        lead = np.zeros(len(u), np.int64)
         for right, part, whole in reversed(path):
-            left = u * part // whole
+            left = part_of(u, part, whole)[0]
             lead, u = (lead + left, u - left) if right else (lead, left)
         return u, lead
 
     def find(self, path: list, x: np.ndarray) -> np.ndarray:
         """The windows that hold tokens x of a queue."""
-        x = x.astype(self.kind)
         for right, part, whole in path:
-            x = x * whole // (whole - part) if right else -(-(x + 1) * whole // part) - 1
+            if right:
+                x = part_of(x, whole, whole - part)[0]
+            else:
+                x, over = part_of(x + 1, whole, part)
+                x = x - (over == 0)
         return np.where(x < self.first, 0, (x - self.first) // self.size + (self.first > 0)).astype(np.int64)
 
 
@@ -169,7 +186,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, end_id: int = 1, size: int = SIZE, targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) token_ids."""
     file = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col.lower() in [c.lower() for c in df.columns] else F.lit("")
     queue = lambda c: c
     if max_queues is not None and df.select(source.alias("q")).distinct().limit(max_queues + 1).count() > max_queues:
         queue = lambda c: F.concat(F.lit("#"), F.pmod(F.xxhash64(c), F.lit(max_queues)).cast("string"))
@@ -184,7 +201,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
         part, enc, at = TaskContext.get().partitionId(), encoder(file), {}
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in pieces_of(batches):
             ids = [enc.encode(t) + end for t in text_bytes(batch["t"])]
             x = []
             for q, b in zip(batch["q"].to_pylist(), ids, strict=True):

@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+
 import numpy as np
 
 from tidemark.llm.common import LOWER_BYTES
@@ -54,13 +56,13 @@ class Encoder:
         self.tok = load(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"]
-        self.byte_level = pre["type"] == "ByteLevel"
+        self.byte_level = type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
         self.first, self.rest = _Units(self._ids, ""), _Units(self._ids, " " if self.byte_level else "")
+        self.single: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        ids = array("H" if self.width == 2 else "I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.single.setdefault(ids, ids) if len(ids) == self.width else ids  # one object for a token
 
     def encode(self, text: bytes) -> bytes:
         if not self.byte_level:
@@ -204,9 +206,29 @@ class PrefixCounter:
         return sum(self.table(x.encode("utf-8"))[-1] for x in self.pieces(text))
 
     def unit(self, text: str) -> list[int]:
-        """Token counts of every code-point prefix of a unit, 0 to its length."""
-        if any(s in text for s in self.special):
-            return [len(self.tok.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        """Token counts of every code-point prefix of a unit, 0 to its length.
+
+        The library cuts a text at whole special strings first. Up to the last character of one, a prefix is plain text
+        from the end of the special string before; with its last character, what precedes it is closed, and it is one token.
+        """
+        out, base, at = [0], 0, 0
+        for begin, end in self._specials(text):
+            out += [base + n for n in self.plain(text[at : end - 1])[1:]]
+            base += self.total(text[at:begin]) + 1
+            out.append(base)
+            at = end
+        return out + [base + n for n in self.plain(text[at:])[1:]]
+
+    def _specials(self, text: str) -> list[tuple[int, int]]:
+        """Special strings as the library finds them: leftmost, the first listed of those at one place."""
+        found, at = [], 0
+        while self.special and (near := min(((i, k) for k, s in enumerate(self.special) if (i := text.find(s, at)) >= 0), default=None)):
+            found.append((near[0], near[0] + len(self.special[near[1]])))
+            at = found[-1][1]
+        return found
+
+    def plain(self, text: str) -> list[int]:
+        """The same of a text without whole special strings."""
         out, base, ahead, blanks = [0], 0, 0, ""
         for piece in self.pieces(text):
             data = piece.encode("utf-8")

@@ -2,10 +2,12 @@
 
 P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all thresholds theta_0 < theta_1 < theta_2. Features are
 logarithmic counts of words and word beginnings that tell toxic labels apart (beginnings catch inflected and compound
-forms that no labelled document has). The labels are 0/1; among toxic ones the grade is 1 to 3 by how many words have a
-feature that is toxic-labelled by majority (1-2, 3-7, 8 or more).
+forms that no labelled document has). The labels are 0/1, so the grades are a construct: among toxic documents the grade is
+1 to 3 by how many words have a feature that is toxic-labelled by majority (1-2, 3-7, 8 or more). Severity is therefore a
+scale of how much toxic wording there is, not of an outside judgement; toxic or not is what the labels say.
 
-The fit reads at most ``FIT_ROWS`` labelled documents, chosen by hash of their id; term statistics are of that sample.
+The fit reads at most ``FIT_ROWS`` labelled documents, chosen by hash of their id (of documents that repeat an id, one, by
+hash of its text), and keeps at most ``TERMS`` features, those furthest from chance; term statistics are of that sample.
 Scoring reads every whole text. A null or empty text has no terms and is scored by the thresholds alone; rows with a
 null id are scored too; of contradicting labels of one id the higher counts; without labels of both kinds, nothing is
 toxic. Repeated rows each get a row.
@@ -115,8 +117,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg((F.max(label_col) > 0).alias("y"))
     sample = marked.orderBy(F.xxhash64("i"), "i").limit(fit_rows)  # the documented bound of the fit
     # at most fit_rows ids are broadcast
-    rows = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i").select("t", "y")
-    rows = materialize(rows, "toxicity-fit")
+    rows = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(sample), "i")
+    one = F.max(F.struct(F.xxhash64("t").alias("h"), F.col("t"))).alias("x")  # of documents that repeat an id
+    rows = materialize(rows.groupBy("i", "y").agg(one).select("x.t", "y"), "toxicity-fit")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
