@@ -25,6 +25,7 @@ of null ids alone has a null id. An empty table gives an empty result; other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ ROWS = 1024
 BLOCK_MB, PART_MB, TEXT_MB = 16, 8, 1
 #: The sample that finds frequent shingles: tasks, documents and shingles of each; how many classes of the sample hold a
 #: frequent one; how many are kept at most (the most frequent).
-SAMPLE_TASKS, SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT, MOST_FREQUENT = 64, 128, 1 << 17, 16, 1 << 16
+SAMPLE_TASKS, SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT, MOST_FREQUENT = 64, 128, 1 << 15, 16, 1 << 16
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240229)
@@ -126,23 +127,22 @@ def _rows(kind: pa.DataType, b, ids, n, f, payload) -> pa.RecordBatch:
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Sorted shingles that many classes of a bounded sample hold: the first documents of tasks spread over the input."""
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(rows: Iterator) -> list[bytes]:
         found: dict[bytes, np.ndarray] = {}
-        rows = size = 0
-        for batch in batches:
-            for _, part in _chunks(list(text_bytes(batch["t"].slice(0, SAMPLE_DOCS - rows)))):
-                for x in shingle_sets(part):
-                    found[x[:8].tobytes()] = x[: SAMPLE_SHINGLES - size]
-                    size += len(found[x[:8].tobytes()])
-            rows += batch.num_rows
-            if rows >= SAMPLE_DOCS or size >= SAMPLE_SHINGLES:
+        size = 0
+        for row in islice(rows, SAMPLE_DOCS):
+            x = shingle_sets([(row.t or "").encode()])[0][: SAMPLE_SHINGLES - size]
+            found.setdefault(x.tobytes(), x)
+            size += len(x)
+            if size >= SAMPLE_SHINGLES:
                 break
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.uint64), *found.values()]).tobytes()], pa.binary())], ["h"])
+        return [x.tobytes() for x in found.values()]
 
-    sample = docs.select("t").mapInArrow(some, "h binary").rdd
-    n = sample.getNumPartitions()
+    # an RDD, as only it can run some tasks and leave off in the middle of each
+    texts = docs.select("t").rdd
+    n = texts.getNumPartitions()
     tasks = sorted({i * n // SAMPLE_TASKS for i in range(SAMPLE_TASKS)}) if n else []
-    got = docs.sparkSession.sparkContext.runJob(sample, lambda rows: [bytes(r.h) for r in rows], tasks) if tasks else []
+    got = docs.sparkSession.sparkContext.runJob(texts, some, tasks) if tasks else []
     h, k = np.unique(np.frombuffer(b"".join(got), "<u8"), return_counts=True)
     most = np.argsort(-k, kind="stable")[:MOST_FREQUENT]
     return np.sort(h[most[k[most] >= FREQUENT]])
