@@ -1,7 +1,8 @@
 """Order-dependent folds over a video's rows: greedy suppression, merging of duplicates, minimum gaps, token chunks.
 
-Each is an aggregate() over the video's sorted array inside one hash aggregate: no Python, no self-join. The state is a
-row of the video's own intervals, so memory is bounded by one video.
+Each is an aggregate() over a sorted array inside one hash aggregate: no Python, no self-join. What cannot reach each other
+is folded apart: a video is cut into islands where no interval spans (or, for gaps, where two rows are the gap apart), so
+the state is one island. Token chunks alone depend on all before them: their state is one video's token numbers.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import ratio_of_shorter
+from tidemark.operators.joins import islands
 
 
-def _gathered(df: DataFrame, order: list[Column], columns: list[str], key: str = "video_id") -> DataFrame:
-    """One row a video: xs, its rows as structs in order."""
+def _gathered(df: DataFrame, order: list[Column], columns: list[str], *key: str) -> DataFrame:
+    """One row a video (and island): xs, its rows as structs in order."""
     keyed = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("x"))
-    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda s: s["x"]).alias("xs"))
+    return df.groupBy("video_id", *key).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda s: s["x"]).alias("xs"))
 
 
 def suppress(df: DataFrame, threshold: float = 0.3, score: str = "score") -> DataFrame:
     """Greedy suppression: by falling score, keep what no kept interval overlaps by more than the threshold."""
-    g = _gathered(df, [-F.col(score), F.col("id")], df.columns)
+    g = _gathered(islands(df, ["start", "id"], F.col("end")), [-F.col(score), F.col("id")], df.columns, "island")
     empty = F.filter("xs", lambda x: F.lit(False))
     ratio = lambda a, b: ratio_of_shorter(a["start"], a["end"], b["start"], b["end"])
     kept = F.aggregate("xs", empty, lambda acc, x: F.when(F.exists(acc, lambda k: ratio(x, k) > threshold), acc).otherwise(F.concat(acc, F.array(x))))
@@ -31,7 +33,7 @@ def merge_duplicates(df: DataFrame, threshold: float, score: str = "interest_sco
     """Duplicates of merged chunk results, by rising start: an interval suppresses later ones that overlap it by more
     than the threshold and do not score higher, until it meets one that does; then it is dropped itself, but what it
     suppressed stays so. The scan of an interval ends at the first that starts behind its end."""
-    g = _gathered(df, [F.col("start"), F.col("id")], df.columns)
+    g = _gathered(islands(df, ["start", "id"], F.col("end")), [F.col("start"), F.col("id")], df.columns, "island")
     n = F.size("xs")
     ratio = lambda a, b: ratio_of_shorter(a["start"], a["end"], b["start"], b["end"])
 
@@ -60,9 +62,9 @@ def merge_duplicates(df: DataFrame, threshold: float, score: str = "interest_sco
     return kept.select(F.element_at("xs", F.col("_i")).alias("x")).select("x.*")
 
 
-def minimum_gap(df: DataFrame, gap: float, time: str = "time") -> DataFrame:
+def minimum_gap(df: DataFrame, gap: float, time: str = "time", tie: str = "cut") -> DataFrame:
     """Keeps the first, then each that lies the gap or more behind the last one kept."""
-    g = _gathered(df, [F.col(time), F.col("cut")], df.columns)
+    g = _gathered(islands(df, [time, tie], F.col(time), gap), [F.col(time), F.col(tie)], df.columns, "island")
     empty = F.filter("xs", lambda x: F.lit(False))
     kept = F.aggregate("xs", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x[time] - F.element_at(acc, -1)[time] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
     return g.select(F.inline(kept))

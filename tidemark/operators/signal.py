@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,35 +58,68 @@ def find_peaks(x: np.ndarray, height: float, distance: int, prominence: float) -
     peaks = (edge[tops] + ends[tops]) // 2
     peaks = peaks[x[peaks] >= height]
     keep = np.ones(len(peaks), bool)
+    low, high = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance, "left")
     for i in np.argsort(x[peaks], kind="stable")[::-1]:
         if keep[i]:
-            near = np.abs(peaks - peaks[i]) < distance
-            near[i] = False
-            keep &= ~near
-    out = []
-    for p in peaks[keep]:
-        higher = np.flatnonzero(x > x[p])
-        a = higher[higher < p].max(initial=-1) + 1
-        b = higher[higher > p].min(initial=n)
-        if x[p] - max(x[a : p + 1].min(), x[p:b].min()) >= prominence:
-            out.append(p)
-    return np.array(out, np.int64)
+            keep[low[i] : high[i]] = False
+            keep[i] = True
+    found = peaks[keep]
+    if not len(found):
+        return found.astype(np.int64)
+    left, right = _base(x), _base(x[::-1])[::-1]
+    return found[x[found] - np.maximum(left[found], right[found]) >= prominence].astype(np.int64)
+
+
+def _base(x: np.ndarray) -> np.ndarray:
+    """The lowest value from each frame back to the nearest higher one: one pass with a falling stack."""
+    out = np.empty(len(x))
+    tops: list[tuple[float, float]] = []  # value, lowest since the one below it in the stack
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while tops and tops[-1][0] <= v:
+            low = min(low, tops.pop()[1])
+        tops.append((v, low))
+        out[i] = low
+    return out
+
+
+def _lower_before(x: np.ndarray, at: list[int], levels: list[float]) -> list[int]:
+    """The last frame before each of ``at`` (rising) that is under its level, -1 if none: one pass with a rising stack."""
+    out: list[int] = []
+    low: list[float] = []
+    frames: list[int] = []
+    want = iter([*zip(at, levels, strict=True), (-1, 0.0)])
+    p, level = next(want)
+    for i, v in enumerate(x.tolist()):
+        if i == p:
+            k = bisect.bisect_left(low, level) - 1
+            out.append(frames[k] if k >= 0 else -1)
+            p, level = next(want)
+        while low and low[-1] >= v:
+            low.pop()
+            frames.pop()
+        low.append(v)
+        frames.append(i)
+    return out
 
 
 def peaks(df: DataFrame, name: str = "energy", distance: int = 3, prominence: float = 0.1, floor: float = 0.5) -> DataFrame:
     """video_id, peak (1, 2, ... by time), frame, t, height, start_t, end_t (while at half the height or more), last_t.
 
-    One video's frames are one numpy group: the thinning is sequential, and a video's timeline is small.
+    One video's frames are one numpy group (the thinning is sequential, and an hour is some hundred thousand frames); it is
+    passed over a fixed number of times, whatever its peaks.
     """
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("frame")
         x, t = table[name].to_numpy(), table["t"].to_numpy()
         found = find_peaks(x, max(float(np.percentile(x, 70)), floor), distance, prominence)
+        n, half = len(x), (x[found] * 0.5).tolist()
+        first = _lower_before(x, found.tolist(), half)
+        last = _lower_before(x[::-1], (n - 1 - found)[::-1].tolist(), half[::-1])[::-1]
         out: dict[str, list] = {c: [] for c in ("video_id", "peak", "frame", "t", "height", "start_t", "end_t", "last_t")}
         for k, p in enumerate(found.tolist()):
-            low = np.flatnonzero(x < x[p] * 0.5)
-            a, b = low[low < p].max(initial=-1) + 1, low[low > p].min(initial=len(x)) - 1
+            a, b = first[k] + 1, n - 2 - last[k]
             for c, v in zip(out, (table["video_id"][0].as_py(), k + 1, p, t[p], x[p], t[a], t[b], t[-1]), strict=True):
                 out[c].append(v)
         return pa.table({c: pa.array(v, pa.int64() if c in ("video_id", "peak", "frame") else pa.float64()) for c, v in out.items()})

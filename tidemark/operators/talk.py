@@ -16,14 +16,14 @@ def boundaries(segments: DataFrame, pause: float = 0.5) -> DataFrame:
     most confident (the first of equals)."""
     order = Window.partitionBy("video_id").orderBy("seg_id")
     s = segments.withColumn("next_start", F.lead("start").over(order)).withColumn("next_text", F.lead("text").over(order))
-    ends = t.sentence_end(F.col("text"))
-
-    def kind(rows: DataFrame, time: str, name: str, confidence: float, place: int) -> DataFrame:
-        return rows.select("video_id", F.col(time).alias("time"), F.lit(name).alias("type"), F.lit(confidence).alias("confidence"), "seg_id", F.lit(place).alias("place"))
-
-    found = kind(s.where(ends), "end", "sentence_end", 0.9, 0)
-    found = found.unionByName(kind(s.where(F.col("next_start") - F.col("end") >= pause), "end", "pause", 0.7, 1))
-    found = found.unionByName(kind(s.where(ends & t.transition_start(F.col("next_text"))), "next_start", "topic_transition", 0.85, 2))
+    s = s.withColumn("ends", t.sentence_end(F.col("text")))
+    kind = lambda when, time, name, confidence, place: F.when(when, F.struct(F.col(time).alias("time"), F.lit(name).alias("type"), F.lit(confidence).alias("confidence"), F.lit(place).alias("place")))
+    kinds = F.array(
+        kind(F.col("ends"), "end", "sentence_end", 0.9, 0),
+        kind(F.col("next_start") - F.col("end") >= pause, "end", "pause", 0.7, 1),
+        kind(F.col("ends") & t.transition_start(F.col("next_text")), "next_start", "topic_transition", 0.85, 2),
+    )
+    found = s.select("video_id", "seg_id", F.explode(F.array_compact(kinds)).alias("k")).select("video_id", "seg_id", "k.*")
     best = F.max_by(F.struct("type", "confidence", "seg_id"), F.struct("confidence", -F.col("seg_id"), -F.col("place")))
     return found.groupBy("video_id", "time").agg(best.alias("b")).select("video_id", "time", "b.*")
 
@@ -69,8 +69,8 @@ def align_stats(aligned: DataFrame) -> DataFrame:
 
 def double_boundaries(bounds: DataFrame, cuts: DataFrame, within: float = 1.0) -> DataFrame:
     """Boundaries with a flag for a scene cut less than ``within`` away."""
-    b = asof(bounds, cuts, "time", "cut_time", ["cut"], "b")
-    b = asof(b, cuts, "time", "cut_time", ["cut"], "a", forward=True)
+    b = asof(bounds, cuts, "time", "cut_time", ["cut"], "b", within=within)
+    b = asof(b, cuts, "time", "cut_time", ["cut"], "a", forward=True, within=within)
     near = lambda c: F.coalesce(F.abs(F.col("time") - F.col(c)) < within, F.lit(False))
     return b.withColumn("double_boundary", near("b_time") | near("a_time")).select(*bounds.columns, "double_boundary")
 

@@ -9,12 +9,18 @@ from tidemark.functions import text as t
 from tidemark.operators import folds, joins, talk
 from tidemark.plans.ranking import r6
 from tidemark.sources import domain as d
+from tidemark.sources.shared import materialize
 
 
 def sentence_boundaries(spark, sf: str) -> DataFrame:
     return talk.boundaries(d.segments(spark, sf)).select("video_id", "seg_id", *r6("time"), "type", "confidence")
 
 
+def _bounds(spark, sf):
+    """The boundaries, written once: several lookups read them."""
+    return materialize(talk.boundaries(d.segments(spark, sf)), "boundaries")
+
+
 def _near(spark, sf, at, forward):
     b = joins.asof(d.talk_clips(spark, sf), talk.boundaries(d.segments(spark, sf)), at, "time", ["type"], "b", forward=forward, within=10.0)
     return b.select("video_id", "id", F.round("b_time", 6).alias("time"), F.col("b_type").alias("type"))
@@ -29,7 +35,7 @@ def boundary_after(spark, sf: str) -> DataFrame:
 
 
 def _aligned(spark, sf):
-    return talk.align(d.talk_clips(spark, sf), talk.boundaries(d.segments(spark, sf)), least_length=20.0, most_length=40.0)
+    return talk.align(d.talk_clips(spark, sf), _bounds(spark, sf), least_length=20.0, most_length=40.0)
 
 
 def align_clips(spark, sf: str) -> DataFrame:
@@ -38,13 +44,13 @@ def align_clips(spark, sf: str) -> DataFrame:
 
 def align_stats(spark, sf: str) -> DataFrame:
     s = talk.align_stats(_aligned(spark, sf))
-    return s.select("total_clips", "professionally_aligned", *[F.round(c, 4).alias(c) for c in ("alignment_rate", "avg_start_adjustment", "avg_end_adjustment", "max_start_adjustment", "max_end_adjustment")], "zero_adjustment_count")
+    return s.select("total_clips", "professionally_aligned", *[F.round(c, 6).alias(c) for c in ("alignment_rate", "avg_start_adjustment", "avg_end_adjustment", "max_start_adjustment", "max_end_adjustment")], "zero_adjustment_count")
 
 
 def double_boundary(spark, sf: str) -> DataFrame:
     s = d.segments(spark, sf)
-    cuts = s.where("seg_id % 5 = 0").select("video_id", F.col("seg_id").alias("cut"), (F.col("start") + 0.4).alias("cut_time"))
-    return talk.double_boundaries(talk.boundaries(s), cuts).select("video_id", "seg_id", *r6("time"), "type", "double_boundary")
+    cuts = s.select("video_id", F.col("seg_id").alias("cut"), (F.col("start") + 0.4 + F.col("seg_id") % 5).alias("cut_time"))
+    return talk.double_boundaries(_bounds(spark, sf), cuts).select("video_id", "seg_id", *r6("time"), "type", "double_boundary")
 
 
 def clip_text(spark, sf: str) -> DataFrame:
@@ -78,8 +84,8 @@ def clip_filenames(spark, sf: str) -> DataFrame:
 
 def titles_hashtags(spark, sf: str) -> DataFrame:
     s = d.segments(spark, sf)
-    name = t.slug(F.substring("text", 1, 40))
-    return s.select("video_id", "seg_id", t.title(F.trim("text")).alias("title"), F.array_join(t.hashtags(F.concat(F.lit("#"), F.trim("text"))), ",").alias("tags"), t.title_case(name).alias("heading"), t.unquote(F.concat(F.lit('"'), F.substring("text", 1, 5), F.lit('"'))).alias("bare"))
+    name = t.slug(F.col("text"))
+    return s.select("video_id", "seg_id", t.title(F.trim("text")).alias("title"), F.array_join(t.hashtags(F.concat(F.lit("#"), F.trim("text"))), ",").alias("tags"), t.title_case(name).alias("heading"), t.unquote(F.concat(F.lit('"'), F.col("text"), F.lit('"'))).alias("bare"))
 
 
 QUERIES = {f.__name__: f for f in (sentence_boundaries, boundary_before, boundary_after, align_clips, align_stats, double_boundary, clip_text, context_window, transcript_lines, token_chunks, fixed_chunks, speech_sessions, clip_filenames, titles_hashtags)}
@@ -110,9 +116,9 @@ ORACLE = {
     "boundary_before": _ALIGN + " SELECT video_id, id, round(sb, 6) AS time, st AS type FROM a1",
     "boundary_after": _ALIGN + " SELECT video_id, id, round(eb, 6) AS time, et AS type FROM a2",
     "align_clips": _ALIGN + """ SELECT video_id, id, round(s5, 6) AS start, round(e5, 6) AS "end", round(s5 - start, 6) AS start_adjustment, round(e5 - "end", 6) AS end_adjustment, sb IS NOT NULL AS start_aligned, eb IS NOT NULL AS end_aligned, st AS start_boundary_type, et AS end_boundary_type FROM aligned""",
-    "align_stats": _ALIGN + """ SELECT count(*) AS total_clips, count_if(sb IS NOT NULL OR eb IS NOT NULL)::BIGINT AS professionally_aligned, round(avg((sb IS NOT NULL OR eb IS NOT NULL)::INT), 4) AS alignment_rate, round(avg(abs(s5 - start)), 4) AS avg_start_adjustment, round(avg(abs(e5 - "end")), 4) AS avg_end_adjustment,
-        round(max(abs(s5 - start)), 4) AS max_start_adjustment, round(max(abs(e5 - "end")), 4) AS max_end_adjustment, count_if(s5 = start AND e5 = "end")::BIGINT AS zero_adjustment_count FROM aligned""",
-    "double_boundary": _B + " SELECT video_id, seg_id, round(time, 6) AS time, type, EXISTS (SELECT 1 FROM segments s WHERE s.video_id = b.video_id AND s.seg_id % 5 = 0 AND abs(s.start + 0.4::DOUBLE - b.time) < 1) AS double_boundary FROM bounds b",
+    "align_stats": _ALIGN + """ SELECT count(*) AS total_clips, count_if(sb IS NOT NULL OR eb IS NOT NULL)::BIGINT AS professionally_aligned, round(avg((sb IS NOT NULL OR eb IS NOT NULL)::INT), 6) AS alignment_rate, round(avg(abs(s5 - start)), 6) AS avg_start_adjustment, round(avg(abs(e5 - "end")), 6) AS avg_end_adjustment,
+        round(max(abs(s5 - start)), 6) AS max_start_adjustment, round(max(abs(e5 - "end")), 6) AS max_end_adjustment, count_if(s5 = start AND e5 = "end")::BIGINT AS zero_adjustment_count FROM aligned""",
+    "double_boundary": _B + " SELECT video_id, seg_id, round(time, 6) AS time, type, EXISTS (SELECT 1 FROM segments s WHERE s.video_id = b.video_id AND abs(s.start + 0.4::DOUBLE + s.seg_id % 5 - b.time) < 1) AS double_boundary FROM bounds b",
     "clip_text": _B + f""" SELECT c.video_id, c.id, {_JOINED} AS text FROM talk_clips c JOIN segments s ON s.video_id = c.video_id AND s.start < c."end" AND s."end" > c.start GROUP BY ALL""",
     "context_window": _B + f""" SELECT c.video_id, c.id, {_JOINED} AS text FROM talk_clips c JOIN segments s ON s.video_id = c.video_id AND s.start >= (c.start + c."end") / 2 - 60 AND s."end" <= (c.start + c."end") / 2 + 60 GROUP BY ALL""",
     "transcript_lines": _B + f" SELECT video_id, string_agg('[' || {_TIME} || '] ' || trim(text), chr(10) ORDER BY seg_id) AS transcript FROM segments GROUP BY video_id",
@@ -126,5 +132,5 @@ ORACLE = {
     "clip_filenames": _B + f""" SELECT video_id, seg_id, CASE WHEN seg_id % 6 = 5 THEN 'clip' ELSE {_SLUG("text")} END || '_' || printf('%03d', seg_id + 1) || '_' || {_NAME("start")} || '-' || {_NAME('"end"')} AS name FROM segments""",
     "titles_hashtags": _B + f""" SELECT video_id, seg_id, CASE WHEN length(trim(text)) > 60 THEN left(trim(text), 57) || '...' ELSE trim(text) END AS title,
         array_to_string(list_transform(list_filter(regexp_split_to_array('#' || trim(text), '\\s+'), lambda w: w <> '')[1:5], lambda w: regexp_replace(w, '^#+', '')), ',') AS tags,
-        array_to_string(list_transform(regexp_split_to_array({_SLUG("left(text, 40)")}, '[-_]'), lambda w: replace(upper(w[1:1]), 'ẞ', 'SS') || lower(w[2:])), ' ') AS heading, left(text, 5) AS bare FROM segments""",
+        array_to_string(list_transform(regexp_split_to_array({_SLUG("text")}, '[-_]'), lambda w: replace(upper(w[1:1]), 'ẞ', 'SS') || lower(w[2:])), ' ') AS heading, text AS bare FROM segments""",
 }

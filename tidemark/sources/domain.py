@@ -53,8 +53,8 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talk_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips over segments: one for every fourth segment, from 1.3 s after its start, of 12 to 51 s."""
-    s = segments(spark, sf_dir).where("seg_id % 4 = 0")
+    """Clips over segments: one for each, from 1.3 s after its start, of 12 to 51 s."""
+    s = segments(spark, sf_dir)
     return s.select("video_id", F.col("seg_id").alias("id"), (F.col("start") + 1.3).alias("start"), (F.col("start") + 1.3 + 12 + F.col("seg_id") % 14 * 3).alias("end"))
 
 
@@ -70,5 +70,5 @@ frames AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_
 clips AS (SELECT video_id, event_id AS id, t - 12 AS start, t + 12 AS "end", (event_id % 11 * 5 + 40) / 100.0::DOUBLE AS interest_score FROM frames WHERE event_type = 'purchase'),
 energy_segments AS (SELECT video_id, event_id AS seg, t - 6 AS start, t + 6 AS "end", energy AS energy_score FROM frames WHERE event_type <> 'purchase' AND energy >= 0.5),
 cuts AS (SELECT video_id, event_id AS cut, t AS time FROM frames WHERE event_type = 'error'),
-talk_clips AS (SELECT video_id, seg_id AS id, start + 1.3::DOUBLE AS start, start + 1.3::DOUBLE + 12 + seg_id % 14 * 3 AS "end" FROM segments WHERE seg_id % 4 = 0)
+talk_clips AS (SELECT video_id, seg_id AS id, start + 1.3::DOUBLE AS start, start + 1.3::DOUBLE + 12 + seg_id % 14 * 3 AS "end" FROM segments)
 """
