@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import display, text
+from tidemark.functions import config, display, text
 from tidemark.operators import editorial, folds, joins, platforms, signal, talk
 from tidemark.sources import files
 from tidemark.streaming import events
@@ -37,29 +38,76 @@ def test_errors_and_parsing(spark):
     assert tuple(r) == (True, "File or directory not found.", "boom", 3.5, 16.0, "ValueError: b", "b", [1, 3, 5], "not_a_number", "too_small", None, "min_not_below_max", True, "string", "number", "json", "bool")
 
 
-def test_merge_duplicates_against_loop(spark):
+def survivors(rows: list[tuple], threshold: float) -> list[int]:
+    """Ids that stay, from the rule itself: the first of the rows (by start, then id) is settled against those behind it,
+    then the rest, less what it suppressed, by the same rule. rows: (start, end, score, id)."""
+    if not rows:
+        return []
+    first, rest = rows[0], rows[1:]
+    near = list(itertools.takewhile(lambda r: r[0] <= first[1], rest))
+    same = [r for r in near if min(first[1], r[1]) - max(first[0], r[0]) > threshold * min(first[1] - first[0], r[1] - r[0])]
+    better = next((k for k, r in enumerate(same) if r[2] > first[2]), None)
+    gone = set(same[:better])
+    return ([first[3]] if better is None else []) + survivors([r for r in rest if r not in gone], threshold)
+
+
+def test_merge_duplicates(spark):
     rng = random.Random(4)
     rows = [(v, i, float(s := rng.randrange(60)), float(s + rng.randrange(1, 30)), rng.randrange(5) / 4) for v in range(20) for i in range(rng.randrange(1, 15))]
-    got = {(r.video_id, r.id) for r in folds.merge_duplicates(spark.createDataFrame(rows, "video_id long, id long, start double, end double, interest_score double"), 0.5).collect()}
-    want = set()
-    for v in range(20):
-        mine = sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[1]))
-        skip = set()
-        for i, a in enumerate(mine):
-            for j in range(i + 1, len(mine)) if i not in skip else ():
-                b = mine[j]
-                if j in skip:
-                    continue
-                if b[2] > a[3]:
-                    break
-                if max(0, min(a[3], b[3]) - max(a[2], b[2])) / min(a[3] - a[2], b[3] - b[2]) > 0.5:
-                    if b[4] > a[4]:
-                        skip.add(i)
-                        break
-                    skip.add(j)
-            if i not in skip:
-                want.add((v, a[1]))
-    assert got == want
+    got = folds.merge_duplicates(spark.createDataFrame(rows, "video_id long, id long, start double, end double, interest_score double"), 0.5).collect()
+    want = {(v, i) for v in range(20) for i in survivors([(s, e, x, i) for s, i, e, x in sorted((s, i, e, x) for w, i, s, e, x in rows if w == v)], 0.5)}
+    assert {(r.video_id, r.id) for r in got} == want
+    # by hand: the later, better one wins, and what the first had suppressed before stays away
+    rows = [(1, 1, 0.0, 10.0, 0.5), (1, 2, 1.0, 11.0, 0.4), (1, 3, 2.0, 12.0, 0.9), (1, 4, 11.5, 20.0, 0.1)]
+    got = folds.merge_duplicates(spark.createDataFrame(rows, "video_id long, id long, start double, end double, interest_score double"), 0.5)
+    assert sorted(r.id for r in got.collect()) == [3, 4]
+
+
+def test_islands_and_running_values(spark):
+    rng = random.Random(6)
+    rows = [(v, i, s := rng.random() * 5000, s + rng.random() * 40) for v in range(2) for i in range(300)]
+    d = spark.createDataFrame(rows, "video_id long, id long, start double, end double")
+    got = {(r.video_id, r.id): r.island for r in joins.islands(d, ["start", "id"], F.col("end"), width=50.0).collect()}
+    for v in range(2):
+        reach = begin = None
+        for _, i, s, e in sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[1])):
+            begin = s if reach is None or s >= reach else begin
+            reach = e if reach is None else max(reach, e)
+            assert got[v, i] == begin
+
+
+def test_asof_without_a_distance(spark):
+    rng = random.Random(7)
+    left = [(rng.randrange(2), i, rng.random() * 9000) for i in range(80)]
+    right = [(rng.randrange(2), i, rng.random() * 9000) for i in range(25)]
+    a, b = spark.createDataFrame(left, "video_id long, id long, at double"), spark.createDataFrame(right, "video_id long, r long, time double")
+    for forward in (False, True):
+        for width in (7.0, 600.0):
+            got = {x.id: x.n_r for x in joins.asof(a, b, "at", "time", ["r"], "n", forward=forward, width=width).collect()}
+            for v, i, at in left:
+                ok = [y for y in right if y[0] == v and (y[2] >= at if forward else y[2] <= at)]
+                best = (min if forward else max)(ok, key=lambda y: y[2], default=None)
+                assert got[i] == (best[1] if best else None)
+
+
+def test_one_long_video_is_split(spark):
+    """The as-of join deals one video's rows out by time: no task has them all."""
+    a = spark.range(20000).select(F.lit(1).cast("long").alias("video_id"), F.col("id"), (F.col("id") * 1.0).alias("at"))
+    b = spark.range(20000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("r"), (F.col("id") * 1.0 + 0.5).alias("time"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joins.asof(a, b, "at", "time", ["r"], "n", within=10.0).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 8000
+
+
+def test_far_ends_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1e12)], "video_id long, start double, end double")
+    with pytest.raises(Exception, match="bins"):
+        rows.select(joins.bins(F.col("start"), F.col("end"), 24.0)).collect()
+    back = spark.createDataFrame([(1, 5.0, 1.0), (1, None, 1.0)], "video_id long, start double, end double")
+    assert back.select(joins.bins(F.col("start"), F.col("end"), 1.0)).count() == 0
 
 
 def test_interval_and_asof_joins_against_loops(spark):
@@ -133,9 +181,40 @@ def test_result_documents(spark, tmp_path):
 
 
 def test_clip_arguments(spark):
-    rows = spark.createDataFrame([(1, 10.0, 0.2, 4.0), (2, 10.0, 11.0, 12.0)], "id long, video_seconds double, start double, end double")
-    good, bad = platforms.clip_arguments(rows).orderBy("id").collect()
+    rows = spark.createDataFrame([(1, 10.0, 0.2, 4.0, "a.mp4", "s.wav", "o.mp4"), (2, 10.0, 11.0, 12.0, "a.mp4", "s.wav", "o.mp4")], "id long, video_seconds double, start double, end double, input string, audio_input string, output string")
+    good, bad = platforms.clip_arguments(rows, padding=0.5).orderBy("id").collect()
     assert (good.cut_start, good.cut_end, good.error) == (0.0, 4.5, None) and bad.error and bad.args is None
+    assert " ".join(good.args) == "-ss 0.000 -i a.mp4 -t 4.500 -c:v libx264 -crf 23 -preset medium -c:a aac -b:a 128k -movflags +faststart -y o.mp4"
+    plain, empty = platforms.clip_arguments(rows, copy=True).orderBy("id").collect()
+    assert " ".join(plain.args) == "-ss 0.200 -i a.mp4 -t 3.800 -c copy -avoid_negative_ts 1 -y o.mp4" and empty.error is None and empty.args
+    two = platforms.clip_arguments(rows, audio=True).orderBy("id").first().args
+    assert " ".join(two[:12]) == "-ss 0.200 -i a.mp4 -ss 0.200 -i s.wav -t 3.800 -map 0:v"
+    fast = platforms.clip_arguments(rows, audio=True, copy=True).orderBy("id").first().args
+    assert " ".join(fast[14:]) == "-c:v copy -c:a aac -b:a 128k -avoid_negative_ts 1 -y o.mp4"
+
+
+def test_thumbnails_and_audio(spark):
+    s = F.lit
+    r = one(spark, a=platforms.thumbnail_arguments(s(1.5), s("v"), s("o"), width=640), b=platforms.thumbnail_arguments(s(1.5), s("v"), s("o")), c=platforms.audio_arguments(s("v"), s("o"), s("wav"), rate=16000, mono=True), d=platforms.audio_arguments(s("v"), s("o"), s("ogg")))
+    assert [" ".join(x) for x in r] == ["-ss 1.500 -i v -frames:v 1 -vf scale=640:-1 -y o", "-ss 1.500 -i v -frames:v 1 -y o", "-i v -vn -acodec pcm_s16le -ar 16000 -ac 1 -y o", "-i v -vn -acodec libmp3lame -b:a 192k -y o"]
+
+
+def test_selection(spark):
+    rows = spark.range(1, 8).select(F.col("id").alias("index"))
+    assert [r["index"] for r in platforms.chosen(rows, "1,x, 3,9").orderBy("index").collect()] == [1, 3]
+    with pytest.raises(ValueError):
+        platforms.chosen(rows, "a,b")
+
+
+def test_config(spark):
+    s = F.lit
+    n = s(None).cast("string")
+    m = lambda **kv: F.create_map(*[s(x) for p in kv.items() for x in p])
+    r = one(spark, a=config.merged(m(x="1", y="2"), m(y="3", z="4")), b=config.key_error(n), c=config.key_error(s("pk")), d=config.key_error(s("sk-" + "x" * 40)), e=config.masked(s("sk-abc")), f=config.masked(s("plain")), g=config.option_errors(num_clips=s("0"), min_duration=s("30"), max_duration=s("20"), padding=n), h=config.preset(s("medium")), i=config.preset(s("x")), j=config.error_title(s("system"), s("DISK_FULL")), k=config.error_title(s("processing"), s("?")), l=config.colour(s("Red")), o=config.colour(s("blue")))
+    assert tuple(r) == ({"x": "1", "y": "3", "z": "4"}, "API_KEY_MISSING", "API_KEY_INVALID", None, "sk-" + "•" * 18, "plain", ["num_clips:too_small", "duration:min_not_below_max"], (30, 60), None, "Disk is full", "Processing failed", "FF0000", "FFFFFF")
+    e = lambda *x: F.array(*map(s, x)).cast("array<string>")
+    r = one(spark, a=display.error_summary(e(), e()), b=display.error_summary(e("T"), e("m")), c=display.error_summary(e("T", "U"), e("m", "n")), d=display.padded(s("ab"), 4), e=display.padded(s("abcde"), 4), f=display.bullets(e("x", "y")), g=display.megabytes(s(1048576)), h=display.megabytes(s(1500000), True))
+    assert tuple(r) == ("", "T\n   m", "2 errors found:\n1. T\n   m\n2. U\n   n\nFix these issues and try again", "ab  ", "abcde", "  • x\n  • y", 1.0, 1.5)
 
 
 def test_gate_bounds(spark):

@@ -81,6 +81,25 @@ def bullets(items: Column, indent: str = "  ") -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"{indent}• "), x)), "\n")
 
 
+def padded(label: Column, width: int) -> Column:
+    """A label filled up with blanks on the right; a longer one stays whole."""
+    return F.when(F.length(label) < width, F.rpad(label, width, " ")).otherwise(label)
+
+
+def error_summary(titles: Column, messages: Column) -> Column:
+    """A numbered list of errors under their number; nothing for none, a single one without a number."""
+    n = F.size(titles)
+    rows = F.transform(titles, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("\n   "), F.get(messages, i)))
+    one = F.concat(F.get(titles, F.lit(0)), F.lit("\n   "), F.get(messages, F.lit(0)))
+    many = F.concat(n.cast("string"), F.lit(" errors found:\n"), F.array_join(rows, "\n"), F.lit("\nFix these issues and try again"))
+    return F.when(n == 0, "").when(n == 1, one).otherwise(many)
+
+
+def megabytes(n: Column, decimal: bool = False) -> Column:
+    """Size in units of 1048576 bytes, or of a million, to two places."""
+    return F.round(n / (1e6 if decimal else 1048576.0), 2)
+
+
 def is_transient(message: Column) -> Column:
     return F.lower(message).rlike("|".join(TRANSIENT))
 

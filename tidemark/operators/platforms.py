@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.display import megabytes
+from tidemark.functions.intervals import midpoint, pad
+from tidemark.functions.text import clip_name
+
 #: Key, name, width, height, aspect ratio, longest seconds, largest bytes, video and audio rates, frames.
 PLATFORMS = (
     ("tiktok", "TikTok", 1080, 1920, "9:16", 180, 287_000_000, "5M", "128k", 30),
@@ -44,6 +48,7 @@ def plan(videos: DataFrame, strategy: str = "center", quality: bool = True) -> D
     action = F.when(same, "scale").when(wide, "crop_horizontal").otherwise("crop_vertical")
     vf = F.concat(fps, F.when(same, "").otherwise(crop), scale)
     buffer = F.concat((F.regexp_extract("bitrate", r"^(\d+)", 1).cast("int") * 2).cast("string"), F.lit("M"))
+    # fixed texts: preview sentences and the size warning
     said = F.when(same, "Video will be scaled to fit (no cropping)").when(wide, F.format_string("Video will be cropped horizontally (~%.0f%% removed from sides)", share)).otherwise(F.format_string("Video will be cropped vertically (~%.0f%% removed from top/bottom)", share))
     over = F.col("size") > F.col("max_file_size")
     limit = F.when(over, F.format_string("File size (%.1fMB) exceeds %s limit (%.1fMB)", F.col("size") / 1e6, F.col("name"), F.col("max_file_size") / 1e6))
@@ -57,13 +62,92 @@ def _offset(spare: Column, strategy: str, smart: float) -> Column:
     return {"center": F.floor(spare / 2).cast("int"), "top": F.lit(0)}.get(strategy, spare.cast("int"))
 
 
-def clip_arguments(clips: DataFrame, padding: float = 0.5, copy: bool = False) -> DataFrame:
-    """Padded and clamped bounds and encode arguments of each clip; an error where nothing is left. clips: video_seconds,
-    start, end. With ``copy`` the stream is not encoded anew (and an empty clip is no error)."""
-    start, end = F.greatest(F.col("start") - padding, F.lit(0.0)), F.least(F.col("end") + padding, F.col("video_seconds"))
+#: Audio codecs by format, and of other formats.
+AUDIO_CODECS, OTHER_CODEC = {"mp3": "libmp3lame", "wav": "pcm_s16le", "aac": "aac", "m4a": "aac", "flac": "flac"}, "libmp3lame"
+
+
+def seconds(x: Column) -> Column:
+    """Seconds as an argument, to the millisecond."""
+    return F.format_string("%.3f", x)
+
+
+def _words(*parts: Column | str) -> Column:
+    """An array of arguments: text as it is, columns by value."""
+    return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def clip_arguments(clips: DataFrame, padding: float = 0.0, copy: bool = False, audio: bool = False, codec: str = "libx264", crf: int = 23, preset: str = "medium", audio_codec: str = "aac") -> DataFrame:
+    """Padded and clamped bounds and arguments of each clip. clips: video_seconds, start, end, input, output and, with
+    ``audio``, audio_input: a second file that the sound comes from. With ``copy`` pictures are not encoded anew, and an
+    empty clip is no error; else an empty clip has an error and no arguments."""
+    start, end = pad(F.col("start"), F.col("end"), padding, F.col("video_seconds"))
     c = clips.withColumn("cut_start", start).withColumn("cut_end", end).withColumn("length", F.col("cut_end") - F.col("cut_start"))
-    seek, length = F.format_string("%.3f", "cut_start"), F.format_string("%.3f", "length")
-    codec = ("-c", "copy") if copy else ("-c:v", "libx264", "-c:a", "aac", "-movflags", "+faststart")
-    args = F.array(F.lit("-ss"), seek, F.lit("-t"), length, *map(F.lit, codec))
+    seek, length = seconds(F.col("cut_start")), seconds(F.col("length"))
+    source = ["-ss", seek, "-i", F.col("input")] + (["-ss", seek, "-i", F.col("audio_input")] if audio else []) + ["-t", length] + (["-map", "0:v", "-map", "1:a"] if audio else [])
+    if copy:
+        how = ["-c:v", "copy", "-c:a", "aac", "-b:a", "128k"] if audio else ["-c", "copy"]
+        how += ["-avoid_negative_ts", "1"]
+    else:
+        how = ["-c:v", codec, "-crf", str(crf), "-preset", preset, "-c:a", audio_codec, "-b:a", "128k", "-movflags", "+faststart"]
     bad = F.col("length") <= 0 if not copy else F.lit(False)
-    return c.withColumn("error", F.when(bad, "clip has no length")).withColumn("args", F.when(~bad, args))
+    said = F.format_string("Invalid clip duration: start=%s, end=%s", seek, seconds(F.col("cut_end")))
+    return c.withColumn("error", F.when(bad, said)).withColumn("args", F.when(~bad, _words(*source, *how, "-y", F.col("output"))))
+
+
+def thumbnail_arguments(time: Column, source: Column, output: Column, width: int | None = None, height: int | None = None) -> Column:
+    """One frame at a time, scaled where a width or height is given (the other follows)."""
+    scale = ["-vf", f"scale={width or -1}:{height or -1}"] if width or height else []
+    return _words("-ss", seconds(time), "-i", source, "-frames:v", "1", *scale, "-y", output)
+
+
+def audio_arguments(source: Column, output: Column, kind: Column, bitrate: str = "192k", rate: int | None = None, mono: bool = False) -> Column:
+    """The sound of a video in a format; wav has no bit rate."""
+    codec = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in AUDIO_CODECS.items() for v in kv]), kind), F.lit(OTHER_CODEC))
+    bits = F.when(F.coalesce(kind, F.lit("")) == "wav", F.array().cast("array<string>")).otherwise(_words("-b:a", bitrate))
+    more = (["-ar", str(rate)] if rate else []) + (["-ac", "1"] if mono else [])
+    return F.concat(_words("-i", source, "-vn", "-acodec", codec), bits, _words(*more, "-y", output))
+
+
+def render(clips: DataFrame, sizes: Column, folder: str = "clips", **how) -> DataFrame:
+    """Result rows of a batch: every clip has one, and one that cannot be cut has an error instead of arguments.
+
+    clips: video_id, index, title, start, end, video_seconds, input. sizes: bytes that an encoder reports for a clip.
+    """
+    name = clip_name(F.col("index"), F.col("title"), F.col("start"), F.col("end"))
+    rows = clips.withColumn("clip_id", name).withColumn("output", F.concat(F.lit(f"{folder}/"), name, F.lit(".mp4")))
+    done = clip_arguments(rows, **how).withColumn("success", F.col("error").isNull())
+    return done.withColumn("size_bytes", F.when(F.col("success"), sizes)).withColumn("size_mb", megabytes(F.col("size_bytes")))
+
+
+def clip_metadata(clips: DataFrame, results: DataFrame) -> DataFrame:
+    """Metadata of the clips that were cut: the two tables are joined by the clip's place in its video.
+
+    clips: video_id, index, title, start, end, reason, content_type, interest_score, hybrid_score, max_energy.
+    """
+    made = results.where("success").select("video_id", "index", "clip_id", "cut_start", "cut_end", "size_mb")
+    j = clips.join(made, ["video_id", "index"])
+    title = F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title"))
+    thumb = F.concat("clip_id", F.lit("_thumb.jpg"))
+    return j.select(
+        "video_id", "clip_id", F.col("index").alias("clip_number"), title.alias("title"), F.coalesce("reason", F.lit("")).alias("description"), F.coalesce("content_type", F.lit("general")).alias("content_type"), "cut_start", "cut_end", "size_mb",
+        F.struct(F.coalesce("interest_score", F.lit(0.0)).alias("ai_score"), F.coalesce("hybrid_score", F.lit(0.0)).alias("hybrid_score"), F.coalesce("max_energy", F.lit(0.0)).alias("energy_score")).alias("scores"),
+        thumb.alias("thumbnail"), midpoint(F.col("start"), F.col("end")).alias("thumbnail_time"),
+    )
+
+
+def render_totals(results: DataFrame) -> DataFrame:
+    """Successes, failures and megabytes of render results."""
+    return results.agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.round(F.coalesce(F.sum(F.when(F.col("success"), F.col("size_mb"))), F.lit(0.0)), 1).alias("total_mb"))
+
+
+def warnings(planned: DataFrame) -> DataFrame:
+    """The distinct warnings of a platform plan."""
+    return planned.where("warning IS NOT NULL").select("warning").distinct()
+
+
+def chosen(clips: DataFrame, selection: str) -> DataFrame:
+    """The clips whose index is in a list such as 1,3,5; ValueError where the list has no number."""
+    wanted = [int(x) for x in (p.strip() for p in selection.split(",")) if x.lstrip("+-").isdigit()]
+    if not wanted:
+        raise ValueError("Invalid clip selection")
+    return clips.where(F.col("index").isin(wanted))
