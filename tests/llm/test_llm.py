@@ -664,10 +664,10 @@ def test_contamination_in_small_automata(spark, docs, texts):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {k: brute_contamination(t, items)[:3] for k, t in list(texts.items())[:60]}
     some = docs.where(F.col("doc_id").isin(*want))
-    for states in (13, 400, 4_000_000):
+    for states in (26, 800, 4_000_000):
         blocks = list(contamination.item_blocks(bench, "item_id", "text", 13, 4 << 20, states))
-        assert max(sum(13 * max(1, len(t.split()) - 12) for _, t in b) for b in blocks) <= states
-        if states > 13:
+        assert max(sum(26 * max(1, len(t.split()) - 12) for _, t in b) for b in blocks) <= states
+        if states > 26:
             got = contamination.contaminated_words(some, bench, most_states=states)
             assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in got.collect()} == want
 

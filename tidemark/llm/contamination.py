@@ -2,9 +2,9 @@
 over each whole document; hits are mapped back to words and to code points of the original text.
 
 Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters. A window is ``width`` consecutive words of an
-item; an item of fewer words, but not none, is one window. The automaton's letters are the benchmark's words, numbered; a
-document's words become letters too (all unknown ones the same), so a window is ``width`` states and a match always covers
-whole words. An automaton holds at most ``MOST_STATES`` states and ``block_bytes`` of benchmark text, a checked bound on a
+item; an item of fewer words, but not none, is one window. The benchmark's words are numbered,
+and the automaton's letters are those numbers (two for a word); a document's words become letters too, so a window has
+``2 * width`` states however long its words are, and a match always covers whole words. An automaton holds at most ``MOST_STATES`` states and ``block_bytes`` of benchmark text, a checked bound on a
 worker's memory; a larger benchmark is taken in blocks, one automaton at a time, each of which scans some MB of documents
 before the next is built; hit words are united.
 
@@ -16,6 +16,7 @@ other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,45 +32,39 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 DOC_SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 #: States of one automaton (50 to 100 bytes each), and MB of documents that a task scans with each of several automata.
 MOST_STATES, SCAN_MB = 4_000_000, 32
-#: Letters of the automaton: code points but for 0 (unknown words) and surrogates.
-FIRST_SURROGATE, SURROGATES, LETTERS = 0xD800, 0x800, 0x10FFFF - 0x800
-
-
-class _Letters(dict):
-    """The letter of each known word; all others have the letter 0."""
-
-    def __missing__(self, word: bytes) -> str:
-        return "\0"
-
-    def add(self, word: bytes) -> None:
-        if word not in self:
-            k = len(self) + 1
-            self[word] = chr(k if k < FIRST_SURROGATE else k + SURROGATES)
+#: Letters that stand for a word.
+LETTERS = 2
 
 
 class Scanner:
-    """The automaton; built where it is used, from the (item id, text) pairs that were shipped."""
+    """The automaton; built where it is used, from the (item id, text) pairs that were shipped.
+
+    A known word is two letters of as many as the root of the number of words, so few edges leave a state; first and
+    second letters differ, so a match begins at a word. No window holds an unknown word: what lies between those is
+    scanned, where it is as long as the shortest window.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], width: int = WIDTH):
         import ahocorasick
 
-        self.letters = _Letters()
+        texts = [(item, words(text)) for item, text in items]
+        known = dict.fromkeys(x for _, w in texts for x in w)
+        base = math.isqrt(len(known)) + 1
+        self.letters = {x: chr(1 + k // base) + chr(1 + base + k % base) for k, x in enumerate(known)}
         owners: dict[str, set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for x in w:
-                self.letters.add(x)
+        for item, w in texts:
             line = "".join(map(self.letters.__getitem__, w))
-            for i in range(max(1, len(line) - width + 1) if line else 0):
-                who = owners.setdefault(line[i : i + width], set())
+            for i in range(max(1, len(w) - width + 1) if w else 0):
+                who = owners.setdefault(line[LETTERS * i : LETTERS * (i + width)], set())
                 if item is not None:
                     who.add(item)
         self.automaton = ahocorasick.Automaton()
         for window, who in owners.items():
-            self.automaton.add_word(window, (len(window), tuple(who)))
+            self.automaton.add_word(window, (len(window) // LETTERS, tuple(who)))
         self.empty = not owners
         if not self.empty:
             self.automaton.make_automaton()
+            self.runs = re.compile("[^\0]{%d,}" % min(map(len, owners)))
 
     def scan(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
         """Words, indexes of hit words, items."""
@@ -78,10 +73,17 @@ class Scanner:
             return len(w), np.zeros(0, np.int64), set()
         starts: dict[int, int] = {}
         items: set[str] = set()
-        for end, (n, who) in self.automaton.iter("".join(map(self.letters.__getitem__, w))):
-            at = end - n + 1
-            starts[at] = max(starts.get(at, 0), n)
-            items.update(who)
+        letters = self.letters.get
+        line = "".join([letters(x, "\0") for x in w])
+        for run in self.runs.finditer(line):
+            first = None
+            for end, (n, who) in self.automaton.iter(run[0]):
+                if first is None:  # unknown words are one letter
+                    unknown = line.count("\0", 0, run.start())
+                    first = unknown + (run.start() - unknown) // LETTERS
+                at = first + (end + 1) // LETTERS - n
+                starts[at] = max(starts.get(at, 0), n)
+                items.update(who)
         if not starts:
             return len(w), np.zeros(0, np.int64), items
         edge = np.zeros(len(w) + 1, np.int64)
@@ -107,14 +109,14 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, bl
     states. A longer item is taken in parts that overlap by a window less one word."""
     block: list[tuple[str | None, bytes]] = []
     used = states = 0
-    step = max(1, min(most_states // width, LETTERS - width))
+    step = max(1, most_states // (LETTERS * width))
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     for row in rows.where("t IS NOT NULL").toLocalIterator():
         w = words(bytes(row.t))
         for at in range(0, max(1, len(w) - width + 1) if w else 0, step):
             part = w[at : at + step + width - 1]
-            text, own = b" ".join(part), width * max(1, len(part) - width + 1)
-            if block and (used + len(text) > block_bytes or states + own > min(most_states, LETTERS)):
+            text, own = b" ".join(part), LETTERS * width * max(1, len(part) - width + 1)
+            if block and (used + len(text) > block_bytes or states + own > most_states):
                 yield block
                 block, used, states = [], 0, 0
             block.append((row.i, text))

@@ -46,7 +46,7 @@ ROWS = 1024
 BLOCK_MB, PART_MB, TEXT_MB = 16, 8, 1
 #: The sample that finds frequent shingles: tasks, documents and shingles of each; how many classes of the sample hold a
 #: frequent one; how many are kept at most (the most frequent).
-SAMPLE_TASKS, SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT, MOST_FREQUENT = 64, 128, 1 << 15, 16, 1 << 16
+SAMPLE_TASKS, SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT, MOST_FREQUENT = 16, 512, 1 << 16, 16, 1 << 16
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240229)
@@ -431,8 +431,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     does every row without words. Of rows whose id is null or repeated, the class of their set says which component they
     are in; the id alone says it of the others. Columns may have any names: rows travel as one struct."""
     docs, linked = _linked(df, id_col, text_col, SIMILARITY, ROWS)
-    some = docs.where("n > 0").join(linked, F.col("f") == F.col("node"), "left").select("i", "f", F.coalesce("root", "f").alias("root"))
-    found = materialize(some.groupBy("root", "i", "f").count(), "jaccard-rows")
+    some = docs.where("n > 0").join(linked, F.col("f") == F.col("node"), "left").select("i", other("f").alias("g"), F.coalesce("root", "f").alias("root"))
+    found = materialize(some.groupBy("root", "i", "g").count().select("root", "i", other("g").alias("f"), "count"), "jaccard-rows")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"))).alias("m")).select(other("root").alias("key"), F.col("m.i").alias("j"))
     best = found.join(first, other("root") == F.col("key")).where(F.col("i").eqNullSafe(F.col("j"))).select("root", "i", "f")
     more = found.groupBy("i").agg(F.sum("count").alias("rows")).where("rows > 1 OR i IS NULL").select(F.col("i").alias("j"))

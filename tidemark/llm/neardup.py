@@ -34,7 +34,7 @@ COSINE = 0.93
 DEPTH, SHARED = 10, 3
 #: Pivots: a multiple of the root of the number of vectors, within bounds (MB of them in single precision).
 LEAST_PIVOTS, PIVOT_MB, PER_ROOT = 64, 64, 1.0
-ROWS = 1024
+ROWS = 512
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
