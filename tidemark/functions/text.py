@@ -27,11 +27,11 @@ def _whole(x: Column) -> Column:
 
 def mm_ss(seconds: Column) -> Column:
     """MM:SS, truncated; minutes are unbounded."""
-    return F.format_string("%02d:%02d", _whole(seconds / 60), _whole(seconds % 60))
+    return F.format_string("%02d:%02d", _whole(seconds / 60), _whole(F.pmod(seconds, F.lit(60))))
 
 
 def mm_ss_name(seconds: Column) -> Column:
-    return F.format_string("%02dm%02ds", _whole(seconds / 60), _whole(seconds % 60))
+    return F.format_string("%02dm%02ds", _whole(seconds / 60), _whole(F.pmod(seconds, F.lit(60))))
 
 
 def srt_time(seconds: Column) -> Column:

@@ -40,6 +40,26 @@ def rank_changes(df: DataFrame, before: str = "interest_score", after: str = "hy
     return out.withColumn("changed", F.abs(F.col("ai_rank") - F.col("hybrid_rank")) > more_than)
 
 
+def hybrid_stats(scored: DataFrame, energy: DataFrame) -> DataFrame:
+    """Counts, averages to three places and ranking changes of each video. scored: as hybrid gives them."""
+    avg = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(0.0))
+    boosted = F.col("energy_boost") > 0
+    own = scored.groupBy("video_id").agg(
+        F.count("*").alias("total_ai_clips"), F.count("*").alias("total_hybrid_clips"), F.count_if("has_high_energy").alias("clips_with_high_energy"), F.count_if(boosted).alias("clips_with_energy_boost"),
+        avg("interest_score").alias("avg_ai_score"), avg("hybrid_score").alias("avg_hybrid_score"), avg(F.when(boosted, F.col("energy_boost"))).alias("avg_energy_boost"), F.coalesce(F.round(F.max("hybrid_score"), 3), F.lit(0.0)).alias("max_hybrid_score"),
+    )
+    segments = energy.groupBy("video_id").agg(F.count("*").alias("total_energy_segments"))
+    changes = rank_changes(scored).groupBy("video_id").agg(F.count_if("changed").alias("ranking_changes"))
+    out = own.join(segments, "video_id", "left").join(changes, "video_id", "left")
+    return out.na.fill({"total_energy_segments": 0, "ranking_changes": 0})
+
+
+def ranked_scores(df: DataFrame, score: str = "combined", tie: str = "id") -> DataFrame:
+    """df with its score to two places and the rank by that rounded score, ties in input order."""
+    out = df.withColumn(score, F.round(score, 2))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.col(score).desc(), tie)).cast("long"))
+
+
 def multi_signal(clips: DataFrame, energy: DataFrame, cuts: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
     """clips with ai, audio and visual scores and their weighted sum; 0.5 where a video has no such signal at all."""
     right = energy.select("video_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "energy_score")

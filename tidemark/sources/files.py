@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 
 WORD = "struct<word:string,start:double,end:double>"
 SEGMENT = "struct<id:long,start:double,end:double,text:string>"
-TRANSCRIPT = f"text string, language string, duration double, words array<{WORD}>, segments array<{SEGMENT}>"
-CLIP = "struct<id:string,title:string,start_time:double,end_time:double,duration:double,interest_score:double,hybrid_score:double,content_type:string>"
-ANALYSIS = f"video_path string, duration double, transcript_word_count long, clips array<{CLIP}>"
+TRANSCRIPT = f"video_id string, text string, language string, duration double, words array<{WORD}>, segments array<{SEGMENT}>"
+#: Clips as the engine writes them (start_time, interest_score) and as older documents have them (start, ai_score).
+CLIP = "struct<id:string,title:string,start_time:double,end_time:double,start:double,end:double,duration:double,interest_score:double,ai_score:double,hybrid_score:double,content_type:string>"
+ANALYSIS = f"video_id long, video_path string, duration double, transcript_word_count long, clips array<{CLIP}>"
 PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string>>, format struct<duration:string,size:string,bit_rate:string>"
 PROGRESS = "type string, stage string, progress double, message string"
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file, with its path as video_id."""
-    return spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path).withColumn("video_id", F.input_file_name())
+def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a document: of a file each, or (lines) of a line each. A document without a video_id has its file's path."""
+    rows = spark.read.schema(TRANSCRIPT).option("multiLine", not lines).json(path)
+    return rows.withColumn("video_id", F.coalesce("video_id", F.input_file_name()))
+
+
+def transcript_documents(segments: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """video_id, value: the transcript document of each video. segments: video_id, seg_id, start, end, text; words:
+    video_id, word_idx, word, start, end."""
+    own = F.array_sort(F.collect_list(F.struct(F.col("seg_id").alias("id"), "start", "end", "text")))
+    docs = segments.groupBy("video_id").agg(own.alias("segments"), F.max_by("end", "seg_id").alias("duration"))
+    if words is not None:
+        spoken = words.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.struct("word", "start", "end").alias("w")))).alias("ws"))
+        docs = docs.join(spoken.select("video_id", F.transform("ws", lambda w: w["w"]).alias("words")), "video_id", "left")
+    text = F.array_join(F.transform("segments", lambda s: F.trim(s["text"])), " ")
+    return docs.select("video_id", F.to_json(F.struct(F.col("video_id").cast("string").alias("video_id"), text.alias("text"), *[c for c in docs.columns if c != "video_id"])).alias("value"))
 
 
 def transcript_segments(transcripts: DataFrame) -> DataFrame:
@@ -48,16 +62,29 @@ def join_chunks(segments: DataFrame, length: float = 600.0) -> DataFrame:
     return segments.select("video_id", (F.row_number().over(order) - 1).cast("long").alias("seg_id"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), "text")
 
 
-def read_analysis(spark: SparkSession, path: str) -> DataFrame:
-    """The clips of analysis documents."""
-    return spark.read.schema(ANALYSIS).option("multiLine", True).json(path).select("video_path", F.inline("clips"))
+def read_analysis(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The clips of analysis documents of either shape, in one."""
+    docs = spark.read.schema(ANALYSIS).option("multiLine", not lines).json(path)
+    c = docs.select("video_id", "video_path", F.inline("clips"))
+    start, end = F.coalesce("start_time", "start"), F.coalesce("end_time", "end")
+    return c.select("video_id", "video_path", "id", "title", start.alias("start_time"), end.alias("end_time"), F.coalesce("duration", end - start).alias("duration"), F.coalesce("interest_score", "ai_score").alias("interest_score"), "hybrid_score", "content_type")
 
 
-def scene_times(lines: DataFrame, score: float = 0.4) -> DataFrame:
-    """Scene cuts of a detector's log lines (value): those with a time that can be read, in order."""
+def scene_times(lines: DataFrame, score: float = 0.4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Scene cuts of a detector's log lines (value): those with a time that can be read, in order within their keys."""
     hit = lines.where(F.col("value").contains("showinfo") & F.col("value").contains("pts_time:"))
     time = F.regexp_extract("value", r"pts_time:\s*([^\s]+)", 1).try_cast("double")
-    return hit.select(time.alias("time"), F.lit(score).alias("score"), F.lit("scene_change").alias("type")).where("time IS NOT NULL").orderBy("time")
+    return hit.select(*keys, time.alias("time"), F.lit(score).alias("score"), F.lit("scene_change").alias("type")).where("time IS NOT NULL").orderBy(*keys, "time")
+
+
+def scene_documents(cuts: DataFrame, threshold: float = 0.4, least: float = 2.0) -> DataFrame:
+    """video_id, value: the scene document of each video. cuts: video_id, time, score, type."""
+    times = F.array_sort(F.collect_list(F.struct("time", "score", "type")))
+    docs = cuts.groupBy("video_id").agg(times.alias("scenes"))
+    n = F.size("scenes")
+    mean = F.when(n > 1, (F.element_at("scenes", -1)["time"] - F.element_at("scenes", 1)["time"]) / (n - 1)).otherwise(0.0)
+    named = F.struct("video_id", F.lit(threshold).alias("threshold"), F.lit(least).alias("min_scene_duration"), n.alias("scene_count"), mean.alias("avg_scene_duration"), "scenes", F.struct(F.lit("ffmpeg_scene_filter").alias("detection_method"), F.lit("1.0").alias("version")).alias("metadata"))
+    return docs.select("video_id", F.to_json(named).alias("value"))
 
 
 def frame_rate(text: Column, missing: float = 0.0) -> Column:
@@ -92,9 +119,9 @@ def log_tail(lines: DataFrame, n: int) -> DataFrame:
 
 
 def log_stats(lines: DataFrame, n: int = 1000) -> DataFrame:
-    """Lines, errors and warnings among the last n."""
-    level = lambda name: F.count_if(F.col("value").contains(name))
-    return log_tail(lines, n).agg(F.count("*").alias("lines"), level("ERROR").alias("errors"), level("WARN").alias("warnings"))
+    """Lines, errors (level 3) and warnings (level 2) among the last n of a log of JSON lines."""
+    level = lambda k: F.count_if(F.col("value").contains(f'"level":{k}'))
+    return log_tail(lines, n).agg(F.count("*").alias("lines"), level(3).alias("errors"), level(2).alias("warnings"))
 
 
 def newest(files: DataFrame, n: int = 5) -> DataFrame:
@@ -110,6 +137,33 @@ def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
     return spark.read.parquet(path)
 
 
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """path, config: the settings of each JSON document as a map of texts (empty where it cannot be read)."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", "map<string,string>").alias("config"))
+    return rows.withColumn("config", F.coalesce("config", F.create_map().cast("map<string,string>")))
+
+
+def metadata_documents(clips: DataFrame) -> DataFrame:
+    """video_id, value: source and clips of each video. clips: video_id, source_video, rank, ..."""
+    row = F.struct(*[c for c in clips.columns if c not in ("video_id", "source_video")])
+    docs = clips.groupBy("video_id", "source_video").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("clip")))).alias("xs"))
+    return docs.select("video_id", F.to_json(F.struct("source_video", F.lit(0).alias("duration"), F.transform("xs", lambda x: x["clip"]).alias("clips"))).alias("value"))
+
+
+def hybrid_documents(clips: DataFrame, stats: DataFrame, ai: DataFrame, energy: DataFrame, weight: float = 0.3) -> DataFrame:
+    """video_id, value: clips in rank order, statistics, settings, and how many clips and energy segments there were.
+
+    clips: video_id, rank, ...; stats: one row a video; ai and energy: video_id, ... (counted only)."""
+    row = F.struct(*[c for c in clips.columns if c != "video_id"])
+    docs = clips.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("rank", row.alias("clip")))).alias("xs"))
+    count = lambda df, name: df.groupBy("video_id").agg(F.count("*").alias(name))
+    docs = docs.join(stats.select("video_id", F.struct(*[c for c in stats.columns if c != "video_id"]).alias("stats")), "video_id", "left")
+    docs = docs.join(count(ai, "n_ai"), "video_id", "left").join(count(energy, "n_energy"), "video_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    found = F.struct(zero("n_ai").alias("total_ai_clips"), zero("n_energy").alias("total_energy_segments"))
+    return docs.select("video_id", F.to_json(F.struct("video_id", F.transform("xs", lambda x: x["clip"]).alias("clips"), "stats", F.struct(F.lit(weight).alias("energy_weight")).alias("config"), found.alias("metadata"))).alias("value"))
+
+
 def result_documents(clips: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """One JSON document a video: its clips in rank order and their number; ``stats`` (one row a video) is put beside."""
     row = F.struct(*[c for c in clips.columns if c != "video_id"])
@@ -139,14 +193,3 @@ def srt(segments: DataFrame) -> DataFrame:
     block = F.format_string("%d\n%s --> %s\n%s\n", order, srt_time(F.col("start")), srt_time(F.col("end")), F.trim("text"))
     rows = segments.withColumn("_b", block)
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "_b"))), lambda r: r["_b"]), "\n").alias("srt"))
-
-
-def report(df: DataFrame, heading: str, line: Column, order: list[Column]) -> DataFrame:
-    """Text lines of a report: a heading, then one line a row; few rows, as it is read by people."""
-    rows = df.select((F.row_number().over(Window.orderBy(*order))).alias("at"), line.alias("value"))
-    return df.sparkSession.createDataFrame([(0, heading)], "at int, value string").unionByName(rows).orderBy("at").select("value")
-
-
-def render_totals(results: DataFrame) -> DataFrame:
-    """Successes, failures and megabytes of render results."""
-    return results.agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.round(F.sum(F.when(F.col("success"), F.col("size_bytes"))) / 1048576, 2).alias("total_mb"))
