@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.display import error_summary
+
 #: A scorer adds a layer's columns to a table; a model call is a mapInPandas behind the same signature.
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -86,19 +88,33 @@ def costs(usage: DataFrame) -> DataFrame:
 
 
 def stage_states(events: DataFrame) -> DataFrame:
-    """Status and progress of each stage of a run after all its updates. events: run, at, seq, stage, progress.
+    """Status and progress of each stage of a run after all its updates. events: run, at, seq, stage, progress and, if
+    there is one, failed.
 
     A stage's first update starts it and is not recorded; starting a stage completes the one before if it still runs;
-    an update of 100 or more completes; progress is kept within 0 and 100.
+    an update of 100 or more completes; progress is kept within 0 and 100. A failing update changes no progress and starts
+    nothing; the stage stays failed until an update of 100 or more.
     """
-    first = F.row_number().over(Window.partitionBy("run", "stage").orderBy("at", "seq"))
+    failed = F.coalesce("failed", F.lit(False)) if "failed" in events.columns else F.lit(False)
+    e = events.withColumn("failed", failed)
+    first = F.row_number().over(Window.partitionBy("run", "stage", "failed").orderBy("at", "seq"))
     order = F.row_number().over(Window.partitionBy("run").orderBy("at", "seq"))
-    e = events.withColumn("k", first).withColumn("o", order)
-    later = F.when(F.col("k") > 1, F.struct("o", F.least(F.greatest("progress", F.lit(0.0)), F.lit(100.0)).alias("p")))
-    done = F.when((F.col("k") > 1) & (F.col("progress") >= 100), F.col("o"))
-    s = e.groupBy("run", "stage").agg(F.min("o").alias("started"), F.max(later).alias("last"), F.min(done).alias("done"))
-    s = s.withColumn("next", F.lead("started").over(Window.partitionBy("run").orderBy("started")))
-    closed = F.col("next").isNotNull() & (F.col("done").isNull() | (F.col("done") > F.col("next")))
+    e = e.withColumn("k", first).withColumn("o", order)
+    update = ~F.col("failed") & (F.col("k") > 1)
+    later = F.when(update, F.struct("o", F.least(F.greatest("progress", F.lit(0.0)), F.lit(100.0)).alias("p")))
+    done, fault = F.when(update & (F.col("progress") >= 100), F.col("o")), F.when(F.col("failed"), F.col("o"))
+    s = e.groupBy("run", "stage").agg(F.min(F.when(~F.col("failed"), F.col("o"))).alias("started"), F.max(later).alias("last"), F.min(done).alias("done"), F.max(done).alias("done_last"), F.min(fault).alias("fault"), F.max(fault).alias("fault_last"))
+    s = s.withColumn("next", F.when(F.col("started").isNotNull(), F.lead("started").over(Window.partitionBy("run").orderBy(F.col("started").asc_nulls_last()))))
+    before = lambda c: F.col(c).isNotNull() & (F.col(c) < F.col("next"))
+    closed = F.col("next").isNotNull() & ~before("done") & ~before("fault")
+    bad = F.col("fault_last").isNotNull() & (F.col("done_last").isNull() | (F.col("done_last") < F.col("fault_last")))
     progress = F.when(closed & (F.col("last").isNull() | (F.col("last.o") < F.col("next"))), 100.0).otherwise(F.coalesce("last.p", F.lit(0.0)))
-    status = F.when(closed | F.col("done").isNotNull(), "completed").otherwise("in_progress")
+    status = F.when(bad, "failed").when(closed | F.col("done").isNotNull(), "completed").otherwise("in_progress")
     return s.select("run", "stage", status.alias("status"), progress.alias("progress"))
+
+
+def run_progress(states: DataFrame) -> DataFrame:
+    """run, overall (completed stages as a part of all, in per cent), failed (stages), summary of these by name."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.struct("stage", F.concat(F.lit("stopped at "), F.floor("progress").cast("string"), F.lit("%")).alias("said")))))
+    g = states.groupBy("run").agg((F.count_if(F.col("status") == "completed") / F.count("*") * 100).alias("overall"), rows.alias("xs"))
+    return g.select("run", "overall", F.size("xs").alias("failed"), error_summary(F.transform("xs", lambda x: x["stage"]), F.transform("xs", lambda x: x["said"])).alias("summary"))

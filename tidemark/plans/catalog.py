@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("ranking", "talk", "energy", "publishing", "streams", "documents")
+MODULES: tuple[str, ...] = ("ranking", "talk", "energy", "publishing", "streams", "documents", "layers")
 
 
 def _loaded():

@@ -105,12 +105,14 @@ def stage_state(spark, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (clip_validate, moment_parse, verdict_gate, gate_stats, editorial_topk, cost_rollup, platform_plan, platform_smart, platform_preview, display_forms, error_classify, retry_wait, stage_state)}
 
-_THOUGHTS = """WITH th AS (SELECT i AS id, i % 20 AS video_id, (i * 29 + n) % 100 / 100.0::DOUBLE AS interest, 100.0::DOUBLE AS s0, 120.0::DOUBLE + i % 50 AS e0, 100.0::DOUBLE + i % 41 - 20 AS s1, 120.0::DOUBLE + i % 50 + i % 23 - 11 AS e1, (i * 37 + quality) % 100 / 100.0::DOUBLE AS c1, CASE WHEN i % 3 = 0 THEN 'needs_context' END AS r1, i * 53 % 100 / 100.0::DOUBLE AS c2, CASE WHEN i % 2 = 0 THEN 'needs_context' END AS r2
+_LOOKS = """WITH th AS (SELECT i AS id, i % 20 AS video_id, (i * 29 + n) % 100 / 100.0::DOUBLE AS interest, 100.0::DOUBLE AS s0, 120.0::DOUBLE + i % 50 AS e0, 100.0::DOUBLE + i % 41 - 20 AS s1, 120.0::DOUBLE + i % 50 + i % 23 - 11 AS e1, (i * 37 + quality) % 100 / 100.0::DOUBLE AS c1, CASE WHEN i % 3 = 0 THEN 'needs_context' END AS r1, i * 53 % 100 / 100.0::DOUBLE AS c2, CASE WHEN i % 2 = 0 THEN 'needs_context' END AS r2
   FROM (SELECT l.doc_id AS i, quality, length(text) AS n FROM labels l JOIN documents USING (doc_id))),
-t2 AS (SELECT *, s1 + id % 5 - 2 AS s2, e1 + id % 7 - 3 AS e2 FROM th),
-way AS (SELECT *, CASE WHEN e1 - s1 < 15 OR e1 - s1 > 75 THEN 1 WHEN c1 >= 0.7 THEN 2 WHEN c1 < 0.4 THEN 3 WHEN abs(s0 - s1) > 15 OR abs(e0 - e1) > 15 THEN 4 WHEN e2 - s2 < 15 OR e2 - s2 > 75 THEN 5 WHEN c2 >= 0.7 THEN 6 WHEN c2 >= 0.4 THEN 7 ELSE 8 END AS w FROM t2),
+t2 AS (SELECT *, s1 + id % 5 - 2 AS s2, e1 + id % 7 - 3 AS e2 FROM th)"""
+#: The gate over two looks (t2: s0, e0, s1, e1, c1, r1, s2, e2, c2, r2), for clips of 15 to 75 seconds.
+_GATE = """way AS (SELECT *, CASE WHEN e1 - s1 < 15 OR e1 - s1 > 75 THEN 1 WHEN c1 >= 0.7 THEN 2 WHEN c1 < 0.4 THEN 3 WHEN abs(s0 - s1) > 15 OR abs(e0 - e1) > 15 THEN 4 WHEN e2 - s2 < 15 OR e2 - s2 > 75 THEN 5 WHEN c2 >= 0.7 THEN 6 WHEN c2 >= 0.4 THEN 7 ELSE 8 END AS w FROM t2),
 gated AS (SELECT *, CASE WHEN w IN (2, 6) THEN 'PASS' WHEN w = 7 THEN 'REVISE' ELSE 'REJECT' END AS verdict, CASE WHEN w IN (1, 5) THEN 'duration_constraint' WHEN w = 3 THEN r1 WHEN w = 4 THEN coalesce(r1, 'structural_issue') WHEN w = 8 THEN r2 END AS reason,
   CASE WHEN w IN (1, 3, 4) THEN s0 WHEN w IN (2, 5, 8) THEN s1 ELSE s2 END AS s, CASE WHEN w IN (1, 3, 4) THEN e0 WHEN w IN (2, 5, 8) THEN e1 ELSE e2 END AS e, CASE WHEN w <= 4 THEN c1 ELSE c2 END AS c FROM way)"""
+_THOUGHTS = _LOOKS + ",\n" + _GATE
 _P = "(VALUES " + ", ".join(f"('{p[0]}', '{p[1]}', {p[2]}, {p[3]}, {p[5] if p[5] is not None else 'NULL'}, {p[6]}, '{p[7]}', '{p[8]}')" for p in platforms.PLATFORMS) + ") p(platform, name, w, h, longest, largest, rate, audio)"
 _PLAN = f"""WITH v AS (SELECT c_custkey AS video, c_custkey % 7 * 240 + 480 AS sw, c_custkey % 5 * 300 + 480 AS sh, CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 25 END AS fps, c_custkey % 900 AS seconds, c_custkey * 1000003 % 700000000 AS size FROM customer),
 j AS (SELECT *, sw::DOUBLE / sh AS sa, w::DOUBLE / h AS ta, trunc(sh * w / h)::BIGINT AS nw, trunc(sw * h / w)::BIGINT AS nh FROM v CROSS JOIN {_P}),

@@ -107,21 +107,23 @@ hybrid AS (SELECT *, least(interest_score * (1 + 0.3::DOUBLE * energy_boost), 1)
 scored AS (SELECT video_id, id, start, start + 20 + id % 7 * 12 AS "end", interest_score AS score FROM clips)"""
 
 
-def _dedup(threshold: str) -> str:
-    """The fold as a recursion over (interval i, later interval j)."""
-    return f"""{_PAIRS},
-o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, id) AS p, count(*) OVER (PARTITION BY video_id) AS n FROM scored),
-arr AS (SELECT video_id, any_value(n) AS n, list(start ORDER BY p) AS s, list("end" ORDER BY p) AS e, list(score ORDER BY p) AS sc FROM o GROUP BY video_id),
-f AS (SELECT video_id, 1 AS i, 2 AS j, []::BIGINT[] AS skip FROM arr
+def _fold(threshold: str, source: str = "scored", p: str = "") -> str:
+    """The fold as a recursion over (interval i, later interval j); {p}kept has what stays."""
+    over = f"CASE WHEN list_contains(skip, i) OR j > n OR (NOT list_contains(skip, j) AND (s[j] > e[i] OR (r > {threshold}::DOUBLE AND sc[j] > sc[i])))"
+    return f"""{p}o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start, id) AS p, count(*) OVER (PARTITION BY video_id) AS n FROM {source}),
+{p}arr AS (SELECT video_id, any_value(n) AS n, list(start ORDER BY p) AS s, list("end" ORDER BY p) AS e, list(score ORDER BY p) AS sc FROM {p}o GROUP BY video_id),
+{p}f AS (SELECT video_id, 1 AS i, 2 AS j, []::BIGINT[] AS skip FROM {p}arr
   UNION ALL
-  SELECT f.video_id,
-    CASE WHEN list_contains(skip, i) OR j > n OR (NOT list_contains(skip, j) AND (s[j] > e[i] OR (r > {threshold}::DOUBLE AND sc[j] > sc[i]))) THEN i + 1 ELSE i END,
-    CASE WHEN list_contains(skip, i) OR j > n OR (NOT list_contains(skip, j) AND (s[j] > e[i] OR (r > {threshold}::DOUBLE AND sc[j] > sc[i]))) THEN i + 2 ELSE j + 1 END,
+  SELECT f.video_id, {over} THEN i + 1 ELSE i END, {over} THEN i + 2 ELSE j + 1 END,
     CASE WHEN list_contains(skip, i) OR j > n OR list_contains(skip, j) OR s[j] > e[i] OR r <= {threshold}::DOUBLE THEN skip WHEN sc[j] > sc[i] THEN list_append(skip, i) ELSE list_append(skip, j) END
-  FROM (SELECT f.*, arr.n, arr.s, arr.e, arr.sc, CASE WHEN j > arr.n THEN 0 ELSE greatest(least(arr.e[i], arr.e[j]) - greatest(arr.s[i], arr.s[j]), 0) / least(arr.e[i] - arr.s[i], arr.e[j] - arr.s[j]) END AS r FROM f JOIN arr USING (video_id)) f
+  FROM (SELECT f.*, a.n, a.s, a.e, a.sc, CASE WHEN j > a.n THEN 0 ELSE greatest(least(a.e[i], a.e[j]) - greatest(a.s[i], a.s[j]), 0) / least(a.e[i] - a.s[i], a.e[j] - a.s[j]) END AS r FROM {p}f f JOIN {p}arr a USING (video_id)) f
   WHERE i <= n),
-last AS (SELECT f.video_id, skip FROM f JOIN arr USING (video_id) WHERE i = n + 1),
-kept AS (SELECT o.* FROM o JOIN last USING (video_id) WHERE NOT list_contains(skip, p))
+{p}last AS (SELECT f.video_id, skip FROM {p}f f JOIN {p}arr a USING (video_id) WHERE i = n + 1),
+{p}kept AS (SELECT o.* EXCLUDE (p, n) FROM {p}o o JOIN {p}last USING (video_id) WHERE NOT list_contains(skip, p))"""
+
+
+def _dedup(threshold: str) -> str:
+    return f"""{_PAIRS}, {_fold(threshold)}
 SELECT video_id, id, printf('clip_%03d', row_number() OVER (PARTITION BY video_id ORDER BY score DESC, id)) AS clip, round(start, 6) AS start, round("end", 6) AS "end", round(score, 6) AS interest_score FROM kept"""
 
 

@@ -6,23 +6,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans import publishing
 from tidemark.sources.shared import scratch
 from tidemark.streaming import events
 
 
 def stream_windows(spark, sf: str) -> DataFrame:
-    return events.tumbling(events.event_table(spark, sf), "1 day")
+    w = events.tumbling(events.event_table(spark, sf), "1 day")
+    return w.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 def stream_sessions(spark, sf: str) -> DataFrame:
-    return events.sessions(events.event_table(spark, sf), "12 hours")
+    s = events.sessions(events.event_table(spark, sf), "12 hours")
+    return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
 def stream_stages(spark, sf: str) -> DataFrame:
+    """The last state of each stage that the stream gives (a run's states come once for each micro-batch)."""
     e = events.event_stream(spark, sf)
-    updates = e.select(F.col("user_id").alias("run"), F.unix_micros("at").alias("seq"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
-    return events.run_once(events.stage_tracker(updates), scratch(spark, "stream-stages"))
+    updates = e.select(F.col("user_id").alias("run"), F.unix_micros("at").alias("seq"), F.col("event_id").alias("tie"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
+    states = events.run_once(events.stage_tracker(updates), scratch(spark, "stream-stages"))
+    latest = states.groupBy("run", "stage").agg(F.max_by(F.struct("status", "progress"), "batch").alias("s"))
+    return latest.select("run", "stage", "s.status", F.round("s.progress", 6).alias("progress"))
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_stages)}
-ORACLE: dict[str, str] = {}
+#: Of the whole table. A stream in one micro-batch, as the test tables are, has the batch form's stages.
+ORACLE = {
+    "stream_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "stream_sessions": """SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 12 HOUR) AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
+        SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOUR)::INT, 0) AS new FROM events)) GROUP BY user_id, k""",
+    "stream_stages": publishing.ORACLE["stage_state"],
+}

@@ -99,15 +99,21 @@ raw AS (SELECT video_id, "end" AS time, 'sentence_end' AS type, 0.9::DOUBLE AS c
   UNION ALL SELECT video_id, "end", 'pause', 0.7, seg_id, 1 FROM nx WHERE next_start - "end" >= 0.5
   UNION ALL SELECT video_id, next_start, 'topic_transition', 0.85, seg_id, 2 FROM nx WHERE {_END} AND regexp_replace(regexp_extract(lower(trim(next_text)), '^(\\S+)', 1), '^[.,!?;:]+|[.,!?;:]+$', '', 'g') IN ({_WORDS})),
 bounds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, time ORDER BY confidence DESC, seg_id, place) AS k FROM raw) WHERE k = 1)"""
-_ALIGN = _B + """,
-a1 AS (SELECT c.*, CASE WHEN c.start - b.time <= 10 THEN b.time END AS sb, CASE WHEN c.start - b.time <= 10 THEN b.type END AS st FROM talk_clips c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c.start >= b.time),
+
+
+def _aligned_sql(source: str, least: int, most: int) -> str:
+    """The stages of alignment of a table with start and end; ``aligned`` has them all."""
+    return f"""a1 AS (SELECT c.*, CASE WHEN c.start - b.time <= 10 THEN b.time END AS sb, CASE WHEN c.start - b.time <= 10 THEN b.type END AS st FROM {source} c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c.start >= b.time),
 a2 AS (SELECT c.*, CASE WHEN b.time - c."end" <= 10 THEN b.time END AS eb, CASE WHEN b.time - c."end" <= 10 THEN b.type END AS et FROM a1 c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c."end" <= b.time),
 a3 AS (SELECT *, coalesce(sb, start) AS s1, CASE WHEN coalesce(eb, "end") <= coalesce(sb, start) THEN "end" ELSE coalesce(eb, "end") END AS e2 FROM a2),
 a4 AS (SELECT *, CASE WHEN bad THEN start ELSE s1 END AS s3, CASE WHEN bad THEN "end" ELSE e2 END AS e3 FROM (SELECT *, "end" - start > 0 AND e2 - s1 < ("end" - start) * 0.2::DOUBLE AS bad FROM a3)),
-a5 AS (SELECT c.*, CASE WHEN b.time - c.x <= 5 THEN b.time END AS xb FROM (SELECT *, s3 + 20 AS x, s3 + 40 AS y FROM a4) c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c.x <= b.time),
+a5 AS (SELECT c.*, CASE WHEN b.time - c.x <= 5 THEN b.time END AS xb FROM (SELECT *, s3 + {least} AS x, s3 + {most} AS y FROM a4) c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c.x <= b.time),
 a6 AS (SELECT c.*, CASE WHEN c.y - b.time <= 5 THEN b.time END AS tb FROM a5 c ASOF LEFT JOIN bounds b ON c.video_id = b.video_id AND c.y >= b.time),
-a7 AS (SELECT *, CASE WHEN e3 - s3 > 40 AND tb IS NOT NULL THEN tb WHEN e3 - s3 < 20 AND xb IS NOT NULL THEN xb ELSE e3 END AS e4 FROM a6),
+a7 AS (SELECT *, CASE WHEN e3 - s3 > {most} AND tb IS NOT NULL THEN tb WHEN e3 - s3 < {least} AND xb IS NOT NULL THEN xb ELSE e3 END AS e4 FROM a6),
 aligned AS (SELECT *, CASE WHEN e4 - s3 < 8 THEN start ELSE s3 END AS s5, CASE WHEN e4 - s3 < 8 THEN "end" ELSE e4 END AS e5 FROM a7)"""
+
+
+_ALIGN = _B + ",\n" + _aligned_sql("talk_clips", 20, 40)
 _SLUG = lambda x: f"(SELECT CASE WHEN v = '' THEN 'untitled' ELSE v END FROM (SELECT CASE WHEN length(u) > 50 THEN regexp_replace(u[1:50], '-[^-]*$', '') ELSE u END AS v FROM (SELECT regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '^-+|-+$', '', 'g') AS u)))"
 _NAME = lambda x: f"printf('%02dm%02ds', floor({x} / 60)::INT, floor({x} % 60)::INT)"
 _JOINED = "string_agg(trim(s.text), ' ' ORDER BY s.seg_id)"

@@ -36,9 +36,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("at", late).groupBy(w, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def track(current: str | None, stages: dict[str, list], stage: str, progress: float) -> str | None:
-    """One update of a run's stages (name: [status, progress]); gives the stage that now runs."""
+def track(current: str | None, stages: dict[str, list], stage: str, progress: float, failed: bool = False) -> str | None:
+    """One update of a run's stages (name: [status, progress]), in the order they started; gives the stage that now runs.
+    A failing update marks a stage that has started."""
     own = stages.get(stage)
+    if failed:
+        if own is not None:
+            own[0] = "failed"
+        return current
     if own is None:
         if current is not None and stages[current][0] == "in_progress":
             stages[current] = ["completed", 100.0]
@@ -51,18 +56,19 @@ def track(current: str | None, stages: dict[str, list], stage: str, progress: fl
 
 
 def stage_tracker(updates: DataFrame) -> DataFrame:
-    """Stage states after each micro-batch. updates: run, seq, stage, progress; state is one run's stages."""
+    """Stage states after each micro-batch (batch: the run's own count of them). updates: run, seq, tie (orders updates of one seq), stage, progress; state is one
+    run's stages."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, status, progress, current = state.get if state.exists else ([], [], [], None)
+        names, status, progress, current, batch = state.get if state.exists else ([], [], [], None, -1)
         stages = {n: [s, p] for n, s, p in zip(names, status, progress, strict=True)}
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+        for row in pd.concat(list(frames)).sort_values(["seq", "tie"], kind="stable").itertuples():
             current = track(current, stages, row.stage, row.progress)
-        state.update((list(stages), [v[0] for v in stages.values()], [v[1] for v in stages.values()], current))
-        yield pd.DataFrame({"run": key[0], "stage": list(stages), "status": [v[0] for v in stages.values()], "progress": [v[1] for v in stages.values()]})
+        state.update((list(stages), [v[0] for v in stages.values()], [v[1] for v in stages.values()], current, batch + 1))
+        yield pd.DataFrame({"run": key[0], "batch": batch + 1, "stage": list(stages), "status": [v[0] for v in stages.values()], "progress": [v[1] for v in stages.values()]})
 
-    kept = "names array<string>, status array<string>, progress array<double>, current string"
-    return updates.groupBy("run").applyInPandasWithState(step, "run long, stage string, status string, progress double", kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "names array<string>, status array<string>, progress array<double>, current string, batch long"
+    return updates.groupBy("run").applyInPandasWithState(step, "run long, batch long, stage string, status string, progress double", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
