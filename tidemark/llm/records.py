@@ -117,7 +117,8 @@ def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     doc = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     size = doc.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes), min(4 * spark.sparkContext.defaultParallelism, size >> 20))
-    doc.repartitionByRange(shards, "i").sortWithinPartitions("i").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    rows = doc.repartitionByRange(shards, "i").sortWithinPartitions("i").mapInArrow(write, MANIFEST)
+    rows.repartition(1 + shards // 10_000).write.parquet(f"{path}/manifest")  # a row for each shard
     return read_manifest(spark, path)
 
 
