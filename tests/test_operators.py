@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, display, text
-from tidemark.operators import editorial, folds, joins, platforms, signal, talk
+from tidemark.operators import editorial, folds, joins, model, platforms, signal, talk
 from tidemark.sources import files
 from tidemark.streaming import events
 
@@ -238,3 +238,99 @@ def test_track():
 def test_empty_transcripts(spark, blank):
     s = spark.createDataFrame([(1, 0, 0.0, 1.0, "  ")] if blank else [], "video_id long, seg_id long, start double, end double, text string")
     assert talk.boundaries(s).count() == 0 and talk.sessions(s).count() == int(blank)
+
+
+def test_analysis_documents_of_both_shapes(spark, tmp_path):
+    (tmp_path / "new.json").write_text(json.dumps({"video_path": "a.mp4", "clips": [{"id": "clip_001", "title": "t", "start_time": 1.0, "end_time": 9.5, "duration": 8.5, "interest_score": 0.5}]}))
+    (tmp_path / "old.json").write_text(json.dumps({"video_path": "b.mp4", "duration": 60, "clips": [{"id": 1, "title": "u", "start": 2, "end": 5, "ai_score": 0.25}]}))
+    got = files.read_analysis(spark, str(tmp_path)).orderBy("video_path").select("video_path", "id", "start_time", "end_time", "duration", "interest_score").collect()
+    assert [tuple(r) for r in got] == [("a.mp4", "clip_001", 1.0, 9.5, 8.5, 0.5), ("b.mp4", "1", 2.0, 5.0, 3.0, 0.25)]
+
+
+def test_answers_are_asked_again_after_rate_limits_only():
+    waits, asked = [], []
+
+    def call(prompt):
+        asked.append(prompt)
+        if prompt == "limit" and asked.count(prompt) < 3:
+            raise RuntimeError("429: try again in 1.5s" if asked.count(prompt) == 1 else "rate_limit_exceeded")
+        if prompt == "never":
+            raise RuntimeError("429")
+        if prompt == "bad":
+            raise ValueError("broken")
+        return prompt.upper()
+
+    assert model.answer(call, "ok", sleep=waits.append) == ("OK", 1) and model.answer(call, "bad", sleep=waits.append) == (None, 1)
+    assert model.answer(call, "limit", sleep=waits.append) == ("LIMIT", 3) and waits == [2.5, 4.0]
+    assert model.answer(call, "never", sleep=waits.append) == (None, 5) and waits[2:] == [2.0, 4.0, 8.0, 16.0]
+
+
+def test_caller_is_a_scorer(spark):
+    def call(prompt):
+        if prompt == "x":
+            raise ValueError("no")
+        return prompt + "!"
+
+    got = model.caller(call)(spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (4, "a")], "id long, prompt string")).orderBy("id").collect()
+    assert [(r.response, r.attempts) for r in got] == [("a!", 1), (None, 1), (None, 0), ("a!", 1)]
+
+
+def test_failed_chunks_give_no_clips(spark):
+    rows = [(1, i, i * 12.0, i * 12.0 + 10, "x" * 40) for i in range(60)]
+    s = spark.createDataFrame(rows, "video_id long, seg_id long, start double, end double, text string")
+    none = lambda df: df.withColumn("response", F.lit(None).cast("string"))
+    assert model.detect_clips(s, none, 3, budget=100).count() == 0 and model.four_layers(s, 3, ask=lambda kind: none).count() == 0
+    every = lambda df: df.withColumn("response", F.lit('[{"start_time": 1, "end_time": 20, "title": "a"}, {"start_time": 1, "end_time": 21, "title": "b", "interest_score": 0.9}]'))
+    one, many = model.detect_clips(s, every, 3).collect(), model.detect_clips(s, every, 3, budget=100).collect()
+    assert [r.title for r in sorted(one, key=lambda r: r["rank"])] == ["a", "b"] and [r.title for r in many] == ["b"]
+
+
+def test_layers_packages_and_lineage(spark):
+    rows = [(1, i, i * 12.0, i * 12.0 + 10, f"so this is line {i} of the talk " + "x" * (i % 13)) for i in range(80)]
+    s = spark.createDataFrame(rows, "video_id long, seg_id long, start double, end double, text string")
+    got = model.four_layers(s, 4).collect()
+    assert got and [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    for r in got:
+        m = r.metadata
+        assert len(r.title) <= 60 and len(m.hashtags) <= 5 and r.start <= m.thumbnail_time <= r.end and m.layer3.verdict == "PASS"
+        assert m.layer2.expanded_start <= m.layer1.rough_start and m.standalone_score >= 0.7
+
+
+def test_progress_is_told_by_batch(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    told = []
+    rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in" / "*"))
+    events.on_progress(rows, str(tmp_path / "out"), lambda k, n: told.append((k, n)))
+    assert sum(n for _, n in told) == 30 and [k for k, _ in told] == list(range(len(told)))
+
+
+def test_failing_updates():
+    stages: dict = {}
+    now = events.track(None, stages, "a", 10)
+    now = events.track(now, stages, "a", 0, failed=True)
+    now = events.track(now, stages, "b", 10)
+    assert stages == {"a": ["failed", 0.0], "b": ["in_progress", 0.0]} and events.track(now, stages, "c", 0, failed=True) == "b"
+    events.track(now, stages, "a", 100)
+    assert stages["a"] == ["completed", 100.0]
+
+
+def test_logs_and_layers(spark, tmp_path):
+    lines = spark.createDataFrame([(i, f'{{"level":{i % 4},"message":"m"}}' if i % 5 else " ") for i in range(40)], "at long, value string")
+    assert [r.at for r in files.log_tail(lines, 3).collect()] == [39, 38, 37]
+    assert tuple(files.log_stats(lines, 8).first()) == (8, 2, 2)  # 39 to 31 without 35: errors 39, 31; warnings 38, 34
+    files.write_layers({"a": spark.range(3)}, str(tmp_path / "l"))
+    assert spark.read.parquet(str(tmp_path / "l" / "a")).count() == 3
+    (tmp_path / "v").mkdir()
+    for n in ("a.mp4", "b.mp4", "c.txt"):
+        (tmp_path / "v" / n).write_text("x")
+    listed = files.list_videos(spark, str(tmp_path / "v"))
+    assert listed.count() == 2 and files.newest(listed, 1).count() == 1 and "content" not in listed.columns
+    (tmp_path / "c.json").write_text("not json")
+    assert files.read_config(spark, str(tmp_path / "c.json")).first().config == {}
+
+
+def test_levels(spark):
+    quiet, loud = F.array(F.lit(0.001), F.lit(-0.001)), F.array(F.lit(0.5), F.lit(-0.5))
+    r = one(spark, a=signal.louder(quiet), b=signal.louder(loud), c=signal.lifted(quiet), d=signal.lifted(loud), e=signal.louder(F.array(F.lit(0.0))))
+    assert abs(r.a[0] - (0.7 * 10 ** (-18 / 20) + 0.3 * 0.001)) < 1e-9 and r.b == [0.5, -0.5] and abs(r.c[0] - 0.064) < 1e-9 and r.d == [0.5, -0.5] and r.e == [0.0]

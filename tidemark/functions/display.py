@@ -123,7 +123,7 @@ def backoff(delay: Column, factor: Column, attempt: Column) -> Column:
 
 def error_line(output: Column) -> Column:
     """The first line with Error: or Exception:, else the last that is not blank."""
-    lines = F.filter(F.transform(F.split(output, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(output, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     named = F.filter(lines, lambda x: x.rlike("Error:|Exception:"))
     return F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(lines, F.lit(-1)))
 

@@ -30,11 +30,13 @@ def platforms(spark: SparkSession) -> DataFrame:
 def plan(videos: DataFrame, strategy: str = "center", quality: bool = True) -> DataFrame:
     """Each video on each platform: action, crop, filter and encode arguments, preview, size and length flags.
 
-    videos: video, src_w int, src_h int, src_fps double, seconds double, size long. The platforms are a fixed table of
-    seven rows, so that side is broadcast.
+    videos: video, src_w int, src_h int, src_fps double, seconds double, size long. A video without dimensions has a row
+    with an error on each platform and no plan. The platforms are a fixed table of seven rows, so that side is broadcast.
     """
     p = F.broadcast(platforms(videos.sparkSession))
-    j = videos.join(p, F.lit(True))
+    known = (F.col("src_w") > 0) & (F.col("src_h") > 0)
+    j = videos.withColumn("error", F.when(F.coalesce(known, F.lit(False)), None).otherwise("no video dimensions")).join(p, F.lit(True))
+    j = j.withColumn("src_w", F.when(F.col("error").isNull(), F.col("src_w"))).withColumn("src_h", F.when(F.col("error").isNull(), F.col("src_h")))
     source, target = F.col("src_w") / F.col("src_h"), F.col("width") / F.col("height")
     same = F.abs(source - target) <= 0.01
     wide = source > target
@@ -45,7 +47,7 @@ def plan(videos: DataFrame, strategy: str = "center", quality: bool = True) -> D
     crop = F.when(wide, F.format_string("crop=%d:%d:%d:0,", new_w, F.col("src_h"), x)).otherwise(F.format_string("crop=%d:%d:0:%d,", F.col("src_w"), new_h, y))
     fps = F.when(F.col("src_fps") != F.col("fps"), F.format_string("fps=%d,", "fps")).otherwise("")
     share = F.when(same, 0.0).when(wide, (1 - target / source) * 100).otherwise((1 - source / target) * 100)
-    action = F.when(same, "scale").when(wide, "crop_horizontal").otherwise("crop_vertical")
+    action = F.when(F.col("error").isNull(), F.when(same, "scale").when(wide, "crop_horizontal").otherwise("crop_vertical"))
     vf = F.concat(fps, F.when(same, "").otherwise(crop), scale)
     buffer = F.concat((F.regexp_extract("bitrate", r"^(\d+)", 1).cast("int") * 2).cast("string"), F.lit("M"))
     # fixed texts: preview sentences and the size warning
@@ -53,7 +55,7 @@ def plan(videos: DataFrame, strategy: str = "center", quality: bool = True) -> D
     over = F.col("size") > F.col("max_file_size")
     limit = F.when(over, F.format_string("File size (%.1fMB) exceeds %s limit (%.1fMB)", F.col("size") / 1e6, F.col("name"), F.col("max_file_size") / 1e6))
     args = F.array(*map(F.lit, ("-vf",)), vf, *map(F.lit, ("-c:v", "libx264", "-preset", "medium" if quality else "fast", "-b:v")), "bitrate", F.lit("-maxrate"), "bitrate", F.lit("-bufsize"), buffer, *map(F.lit, ("-c:a", "aac", "-b:a")), "audio_bitrate", *map(F.lit, ("-ar", "48000", "-movflags", "+faststart", "-y")))
-    return j.select("video", "platform", action.alias("action"), vf.alias("vf"), F.round(share, 1).alias("crop_percentage"), said.alias("description"), limit.alias("warning"), F.coalesce(F.col("seconds") > F.col("max_duration"), F.lit(False)).alias("too_long"), args.alias("args"))
+    return j.select("video", "platform", action.alias("action"), F.when(F.col("error").isNull(), vf).alias("vf"), F.round(share, 1).alias("crop_percentage"), F.when(F.col("error").isNull(), said).alias("description"), limit.alias("warning"), F.coalesce(F.col("seconds") > F.col("max_duration"), F.lit(False)).alias("too_long"), F.when(F.col("error").isNull(), args).alias("args"), "error")
 
 
 def _offset(spare: Column, strategy: str, smart: float) -> Column:

@@ -172,10 +172,30 @@ def rms(samples: Column) -> Column:
     return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x) / F.size(samples))
 
 
-def louder(samples: Column, target: float) -> Column:
-    """Seven parts brought to the target level and three as they were, where the level is under it."""
+def decibels(level: Column) -> Column:
+    """A level (root mean square) in decibels of full scale; null for silence."""
+    return F.when(level > 0, 20 * F.log10(level))
+
+
+def louder(samples: Column, target: float = -18.0) -> Column:
+    """Seven parts brought to the target loudness and three as they were, only where it is more than 3 under the target.
+    Loudness is the level in decibels, not weighted by ear."""
+    level = decibels(rms(samples))
+    gain = F.pow(F.lit(10.0), (target - level) / 20)
+    return F.when(level < target - 3, F.transform(samples, lambda x: 0.7 * (x * gain) + 0.3 * x)).otherwise(samples)
+
+
+def lifted(samples: Column, target: float = 0.08) -> Column:
+    """The plain form, for where loudness cannot be told: eight tenths of the way's gain to a target level, only where the
+    level is under half of it."""
     level = rms(samples)
-    return F.when((level > 0) & (level < target), F.transform(samples, lambda x: 0.7 * (x * (target / level)) + 0.3 * x)).otherwise(samples)
+    return F.when((level > 0) & (level < target * 0.5), F.transform(samples, lambda x: x * (target / level) * 0.8)).otherwise(samples)
+
+
+def energy_timeline(df: DataFrame, size: int, level: str = "rms", centroid: str = "centroid", crossings: str = "zcr") -> DataFrame:
+    """video_id, frame, t, combined: the three features, each normalised within its video, mixed and smoothed."""
+    mixed = timeline_mix(*(normalise(c) for c in (level, centroid, crossings)))
+    return smooth(df.withColumn("_mix", mixed), "_mix", size, "combined").select("video_id", "frame", "t", "combined")
 
 
 def should_enhance(level: Column, centroid: Column) -> Column:

@@ -50,7 +50,31 @@ def energy_top(spark, sf: str) -> DataFrame:
     return top(signal.peak_segments(d.frames(spark, sf), 10.0, 60.0), "energy_score", 3).select("video_id", "id", "rank", *r6("energy_score"))
 
 
-QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top)}
+def energy_timeline(spark, sf: str) -> DataFrame:
+    return signal.energy_timeline(_features(spark, sf), 5, "value").select("video_id", "frame", *r6("t", "combined"))
+
+
+def _samples(spark, sf):
+    """Each user's values in order as samples."""
+    e = d.frames(spark, sf).select("video_id", F.struct("frame", (F.col("value") / 512.0 - 0.06).alias("x")).alias("f"))
+    return e.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["x"]).alias("samples")).withColumn("rate", F.lit(8))
+
+
+def frame_features(spark, sf: str) -> DataFrame:
+    """Level, centroid and crossings of frames of eight samples, four apart."""
+    return signal.frame_features(_samples(spark, sf), 8, 4).select("video_id", "frame", *r6("t", "rms", "centroid", "zcr"))
+
+
+def sample_levels(spark, sf: str) -> DataFrame:
+    """Level and sum of samples as they are, compressed, made louder and lifted; whether they should be enhanced."""
+    x = F.col("samples")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    s = _samples(spark, sf).withColumn("level", signal.rms(x)).withColumn("quiet", F.transform(x, lambda v: v / 16))
+    out = s.select("video_id", "level", total(signal.compress(F.transform(x, lambda v: v * 4))).alias("compressed"), total(signal.louder(x)).alias("louder"), total(signal.lifted(F.col("quiet"))).alias("lifted"), signal.should_enhance(F.col("level"), F.col("video_id") * 50.0).alias("enhance"))
+    return out.select("video_id", *r6("level", "compressed", "louder", "lifted"), "enhance")
+
+
+QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, sample_levels)}
 
 _B = f"""WITH RECURSIVE {d.SQL.strip()},
 thr AS (SELECT video_id, greatest(quantile_cont(energy, 0.7), 0.5::DOUBLE) AS threshold FROM frames GROUP BY video_id)"""
@@ -79,6 +103,18 @@ ORACLE = {
     "energy_mix": _B + f""", k AS (SELECT *, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS centroid, (event_id * 104729 % 1000) / 1000.0::DOUBLE AS zcr FROM frames),
         n AS (SELECT video_id, frame, {_NORM('value')} AS a, {_NORM('centroid')} AS b, {_NORM('zcr')} AS c FROM k WINDOW v AS (PARTITION BY video_id))
         SELECT video_id, frame, round(0.7::DOUBLE * a + 0.3::DOUBLE * b, 6) AS peak_energy, round(0.70::DOUBLE * a + 0.25::DOUBLE * b + 0.05::DOUBLE * c, 6) AS timeline_energy FROM n""",
+    "energy_timeline": _B + f""", k AS (SELECT *, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS centroid, (event_id * 104729 % 1000) / 1000.0::DOUBLE AS zcr FROM frames),
+        n AS (SELECT video_id, frame, t, 0.70::DOUBLE * {_NORM('value')} + 0.25::DOUBLE * {_NORM('centroid')} + 0.05::DOUBLE * {_NORM('zcr')} AS energy FROM k WINDOW v AS (PARTITION BY video_id))
+        SELECT video_id, frame, round(t, 6) AS t, round({_SMOOTH(5, 2, 2)}, 6) AS combined FROM n WINDOW o AS (PARTITION BY video_id ORDER BY frame), w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "frame_features": _B + """, p AS (SELECT video_id, list_concat(list_concat([0.0::DOUBLE for _ in range(4)], list(value / 512.0::DOUBLE - 0.06::DOUBLE ORDER BY frame)), [0.0::DOUBLE for _ in range(4)]) AS x FROM frames GROUP BY video_id),
+        fr AS (SELECT video_id, f, x[f * 4 + 1:f * 4 + 8] AS y FROM (SELECT video_id, x, unnest(range(0, 1 + (len(x) - 8) // 4)) AS f FROM p WHERE len(x) > 8)),
+        s AS (SELECT video_id, f, y, unnest(range(0, 8)) AS n FROM fr),
+        v AS (SELECT video_id, f, n, y[n + 1] AS x, y[n + 1] * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n / 8)) AS h, CASE WHEN n < 7 THEN ((y[n + 1] < 0) <> (y[n + 2] < 0))::INT ELSE 0 END AS z FROM s),
+        m AS (SELECT video_id, f, k, sqrt(sum(h * cos(2 * pi() * k * n / 8)) ** 2 + sum(h * sin(2 * pi() * k * n / 8)) ** 2) AS mag FROM v, (SELECT unnest(range(0, 5)) AS k) GROUP BY ALL),
+        c AS (SELECT video_id, f, sum(mag * k) / sum(mag) AS centroid FROM m GROUP BY ALL), r AS (SELECT video_id, f, sqrt(avg(x * x)) AS rms, sum(z) / 8 AS zcr FROM v GROUP BY ALL)
+        SELECT video_id, f AS frame, f * 4 / 8.0::DOUBLE AS t, round(rms, 6) AS rms, round(centroid, 6) AS centroid, zcr::DOUBLE AS zcr FROM r JOIN c USING (video_id, f)""",
+    "sample_levels": _B + """, p AS (SELECT video_id, value / 512.0::DOUBLE - 0.06::DOUBLE AS x FROM frames), l AS (SELECT video_id, sqrt(avg(x * x)) AS level, sqrt(avg(x * x / 256)) AS low, sum(x) AS s, sum(greatest(-1, least(1, CASE WHEN abs(x * 4) > 0.3::DOUBLE THEN sign(x) * (0.3::DOUBLE + (abs(x * 4) - 0.3::DOUBLE) / 3) ELSE x * 4 END))) AS c FROM p GROUP BY video_id)
+        SELECT video_id, round(level, 6) AS level, round(c, 6) AS compressed, round(CASE WHEN 20 * log10(level) < -21 THEN s * (0.7::DOUBLE * 10 ** ((-18 - 20 * log10(level)) / 20) + 0.3::DOUBLE) ELSE s END, 6) AS louder, round(CASE WHEN low < 0.04::DOUBLE THEN s / 16 * (0.08::DOUBLE / low) * 0.8::DOUBLE ELSE s / 16 END, 6) AS lifted, level < 0.01::DOUBLE OR level > 0.5::DOUBLE OR video_id * 50 > 4000 AS enhance FROM l""",
     "energy_smoothed": _B + f" SELECT video_id, frame, round({_SMOOTH(5, 2, 2)}, 6) AS odd, round({_SMOOTH(4, 2, 1)}, 6) AS even FROM frames WINDOW o AS (PARTITION BY video_id ORDER BY frame), w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "energy_threshold": _B + " SELECT video_id, round(threshold, 6) AS threshold FROM thr",
     "energy_peaks": _PEAKS + " SELECT video_id, frame, round(t, 6) AS t, round(h, 6) AS height FROM peaks",

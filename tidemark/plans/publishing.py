@@ -75,6 +75,22 @@ def platform_preview(spark, sf: str) -> DataFrame:
     return p.select("video", "platform", "action", F.round("crop_percentage", 1).alias("crop_percentage"), F.col("warning").isNotNull().alias("too_large"))
 
 
+def platform_errors(spark, sf: str) -> DataFrame:
+    """A batch of which some videos have no dimensions: they have error rows."""
+    v = _videos(spark, sf).withColumn("src_w", F.when(F.col("video") % 4 != 0, F.col("src_w"))).withColumn("src_h", F.when(F.col("video") % 9 == 0, 0).otherwise(F.col("src_h")))
+    p = platforms.plan(v)
+    return p.select("video", "platform", "error", "action", "vf", F.col("args").isNotNull().alias("planned"))
+
+
+def error_lines(spark, sf: str) -> DataFrame:
+    """The line of a process's output that says what went wrong, video endings, rates and costs."""
+    k = F.col("event_id")
+    out = F.element_at(F.array(*map(F.lit, ("start\nValueError: bad\ndone", "a\n\n  last line  \n", "x\nKeyException: k", "\n \n"))), (k % 4 + 1).cast("int"))
+    path = F.element_at(F.array(*map(F.lit, ("/a/b.MP4", "c.mkv", "d.txt", "no ending", "e.mp4.part"))), (k % 5 + 1).cast("int"))
+    e = d.table(spark, sf, "events")
+    return e.select("event_id", x.error_line(out).alias("line"), x.is_video(path).alias("video"), x.rate(k % 50 + 1, F.lit(4.0)).alias("rate"), x.cost(k % 1000 / 4.0).alias("cost"), x.percentage(k % 100 / 100.0, 0).alias("share"), x.bullets(F.array(F.lit("a"), (k % 3).cast("string"))).alias("bullets"))
+
+
 def display_forms(spark, sf: str) -> DataFrame:
     o = d.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 90000).alias("k"))
     s = F.col("k") / 8.0
@@ -103,7 +119,7 @@ def stage_state(spark, sf: str) -> DataFrame:
     return editorial.stage_states(e).select("run", "stage", "status", *r6("progress"))
 
 
-QUERIES = {f.__name__: f for f in (clip_validate, moment_parse, verdict_gate, gate_stats, editorial_topk, cost_rollup, platform_plan, platform_smart, platform_preview, display_forms, error_classify, retry_wait, stage_state)}
+QUERIES = {f.__name__: f for f in (clip_validate, moment_parse, verdict_gate, gate_stats, editorial_topk, cost_rollup, platform_plan, platform_smart, platform_preview, platform_errors, error_lines, display_forms, error_classify, retry_wait, stage_state)}
 
 _LOOKS = """WITH th AS (SELECT i AS id, i % 20 AS video_id, (i * 29 + n) % 100 / 100.0::DOUBLE AS interest, 100.0::DOUBLE AS s0, 120.0::DOUBLE + i % 50 AS e0, 100.0::DOUBLE + i % 41 - 20 AS s1, 120.0::DOUBLE + i % 50 + i % 23 - 11 AS e1, (i * 37 + quality) % 100 / 100.0::DOUBLE AS c1, CASE WHEN i % 3 = 0 THEN 'needs_context' END AS r1, i * 53 % 100 / 100.0::DOUBLE AS c2, CASE WHEN i % 2 = 0 THEN 'needs_context' END AS r2
   FROM (SELECT l.doc_id AS i, quality, length(text) AS n FROM labels l JOIN documents USING (doc_id))),
@@ -139,6 +155,8 @@ ORACLE = {
     "platform_plan": _PLAN + f""" SELECT video, platform, action, {_CENTER} AS vf, '-vf ' || {_CENTER} || ' -c:v libx264 -preset medium -b:v ' || rate || ' -maxrate ' || rate || ' -bufsize ' || rtrim(rate, 'M')::INT * 2 || 'M -c:a aac -b:a ' || audio || ' -ar 48000 -movflags +faststart -y' AS args, coalesce(seconds > longest, false) AS too_long FROM k""",
     "platform_smart": _PLAN + f" SELECT video, platform, {_SMART} AS vf FROM k",
     "platform_preview": _PLAN + " SELECT video, platform, action, round(CASE action WHEN 'scale' THEN 0 WHEN 'crop_horizontal' THEN (1 - ta / sa) * 100 ELSE (1 - sa / ta) * 100 END, 1) AS crop_percentage, size > largest AS too_large FROM k",
+    "platform_errors": _PLAN + f""", b AS (SELECT *, video % 4 = 0 OR video % 9 = 0 AS bad FROM k) SELECT video, platform, CASE WHEN bad THEN 'no video dimensions' END AS error, CASE WHEN NOT bad THEN action END AS action, CASE WHEN NOT bad THEN {_CENTER} END AS vf, NOT bad AS planned FROM b""",
+    "error_lines": """SELECT event_id, (['ValueError: bad', 'last line', 'KeyException: k', NULL])[event_id % 4 + 1] AS line, event_id % 5 < 2 AS video, printf('%.1f/s', round(((event_id % 50 + 1) / 4.0::DOUBLE)::DECIMAL(18, 6), 1)::DOUBLE) AS rate, '$' || printf('%.2f', event_id % 1000 / 4.0::DOUBLE) AS cost, event_id % 100 || '%' AS share, '  • a' || chr(10) || '  • ' || event_id % 3 AS bullets FROM events""",
     "display_forms": f"""WITH o AS (SELECT o_orderkey, o_orderkey * 7919 % 90000 AS k FROM orders), s AS (SELECT *, k / 8.0::DOUBLE AS s, k / 8.0::DOUBLE + 100 AS e, k * 1000 AS b FROM o)
         SELECT o_orderkey, CASE WHEN s < 60 THEN floor(s + 0.5)::BIGINT || 's' ELSE CASE WHEN s >= 3600 THEN floor(s / 3600)::BIGINT || 'h ' ELSE '' END || floor(s % 3600 / 60)::BIGINT || 'm' || CASE WHEN floor(s % 60 + 0.5) > 0 THEN ' ' || floor(s % 60 + 0.5)::BIGINT || 's' ELSE '' END END AS duration,
         {_CLOCK('s')} AS clock, {_CLOCK('s')} || ' - ' || {_CLOCK('e')} AS span, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size, format('{{:,}}', k) AS thousands,

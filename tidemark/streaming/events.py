@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +76,14 @@ def run_once(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def on_progress(df: DataFrame, path: str, tell: Callable[[int, int], None]) -> None:
+    """Runs a stream over what is there now and tells the number and rows of each micro-batch as it ends; the rows go to a
+    table under path, a folder for each batch, so a batch that is repeated replaces its own."""
+
+    def batch(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")
+        tell(k, rows.sparkSession.read.parquet(f"{path}/rows/batch={k}").count())
+
+    df.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start().awaitTermination()
