@@ -45,6 +45,16 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores. Rows that take long each (as encoding texts does) would
+    keep most cores idle where a table has few files; larger tables, and plans that shuffle already, are left as they are."""
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, with underscores added until none is taken (Spark's names ignore case)."""
     used, out = {t.lower() for t in taken}, []
