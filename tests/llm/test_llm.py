@@ -727,3 +727,32 @@ def test_repeated_labelled_ids_are_fitted_once(spark):
     labels = [(k, int(k == 1)) for k in range(1, 20)]
     model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert isinstance(model, toxicity.OrdinalModel)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated and very long rows, clashing columns; no labels and no benchmark; no documents."""
+    import corpus_pipeline as p
+
+    for name, docs in (("odd", odd_documents(spark)), ("none", no_documents(spark))):
+        sf = tmp_path / name
+        docs.withColumn("_rank", F.lit(1)).withColumn("root", F.lit("r")).write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int").write.parquet(str(sf / "labels.parquet"))
+        spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(sf / "benchmark.parquet"))
+        got = p.run(spark, str(sf))
+        assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns)
+        if name == "none":
+            assert got.count() == 0
+        else:
+            # the repeated row is one; texts without words all stay (an end id each)
+            kept = got.groupBy("doc_id", "start").count()
+            assert got.where("doc_id = 91 AND start = 0").count() == 1 and got.where("doc_id IS NULL").count() >= 1 and kept.count() >= len(ODD) + 2
+            assert got.where("doc_id = 92").agg(F.sum("length")).first()[0] > 50000
+
+
+def test_guard_imports_everything():
+    """A library that is missing shows where the package is imported, not where its queries are listed."""
+    import sys
+
+    from tidemark.llm import catalog as c
+
+    assert all(m.__name__ in sys.modules for m in c.MODULES) and len(c.queries()) == 10

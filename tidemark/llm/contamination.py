@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_bytes, words
+from tidemark.sources.shared import spread
 
 WIDTH = 13
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -173,7 +174,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, id_col: str =
                 ["i", "n_words", "n_hit", "items", "spans"],
             )
 
-    doc = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     return doc.mapInArrow(judge, f"i {dict(documents.dtypes)[id_col]}, {DOC_SCHEMA}").withColumnRenamed("i", id_col)
 
 
@@ -185,7 +186,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
         for batch, _, n, hits, _ in scan(batches, text_col):
             yield batch.filter(pa.array([not (len(h) and 20 * len(h) >= k) for k, h in zip(n, hits, strict=True)], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return spread(documents).mapInArrow(keep, documents.schema)
 
 
 def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -36,7 +36,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import LOWER_BYTES, text_bytes
 from tidemark.llm.graph import components, local_roots, other
-from tidemark.sources.shared import discard, materialize, store
+from tidemark.sources.shared import discard, materialize, spread, store
 
 N = 5
 SIMILARITY = 75  # per cent
@@ -360,7 +360,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, similarity: int, rows: in
     """(i, n, f) of each document, and (node, root) of each linked class: the smallest class reachable."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     if size >= 1 << 60:  # the plan does not know its size: measure it
         size = doc.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, 2 * size // (BLOCK_MB << 20)))

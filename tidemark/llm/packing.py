@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces_of, text_bytes
 from tidemark.llm.tokens import encoder
-from tidemark.sources.shared import materialize
+from tidemark.sources.shared import materialize, spread
 
 SIZE = 2048
 
@@ -193,7 +193,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         if targets:
             wanted = df.sparkSession.createDataFrame([(q, max(0.0, float(g))) for q, g in targets.items()], "q string, g double")
             targets = {r.q: r.g for r in wanted.groupBy(queue(F.col("q")).alias("q")).agg(F.sum("g").alias("g")).collect()}
-    doc = df.select(F.col(id_col).alias("i"), queue(source).alias("q"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), queue(source).alias("q"), F.col(text_col).alias("t")))
     kind = dict(df.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER_BYTES, per_batch, text_bytes
+from tidemark.sources.shared import spread
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -312,7 +313,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spans = _spans(list(text_bytes(batch["t"])), net)
         return pa.RecordBatch.from_arrays([batch["i"], pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in spans], kind)], ["i", "spans"])
 
-    doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     return per_batch(doc, scan, f"i {dict(df.dtypes)[id_col]}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("i", id_col)
 
 
@@ -334,7 +335,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
                 texts[i] = "".join([*out, texts[i][end:]])
         return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return per_batch(df, clean, df.schema)
+    return per_batch(spread(df), clean, df.schema)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import per_batch, text_bytes
 from tidemark.llm.tokens import prefix_counter
+from tidemark.sources.shared import spread
 
 LIMIT = 1024
 
@@ -33,7 +34,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n, fit = zip(*(dp.count_and_fit(t, limit) for t in texts), strict=True)
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["i", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     return per_batch(doc, count, f"i {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long").withColumnRenamed("i", id_col)
 
 
@@ -46,7 +47,7 @@ def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         packed = [zlib.compress(np.diff(dp.counts(t)).astype("<i4").tobytes(), 1) for t in text_bytes(batch["t"])]
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(packed, pa.binary())], ["i", "prefix_counts"])
 
-    doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     return per_batch(doc, table, f"i {dict(df.dtypes)[id_col]}, prefix_counts binary").withColumnRenamed("i", id_col)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import per_batch, text_bytes, words
-from tidemark.sources.shared import materialize
+from tidemark.sources.shared import materialize, spread
 
 #: Bounds of the fit: labelled rows, terms.
 FIT_ROWS, TERMS = 6000, 512
@@ -163,7 +163,7 @@ def score_toxicity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
         each = -np.diff(np.hstack([np.ones((len(above), 1)), above, np.zeros((len(above), 1))]), axis=1)
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(each.argmax(axis=1).astype(np.int64)), pa.array(above[:, 0] >= 0.5)], ["i", "severity", "p_toxic", "grade", "toxic"])
 
-    doc = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
     return per_batch(doc, score, f"i {dict(df.dtypes)[id_col]}, severity double, p_toxic double, grade long, toxic boolean").withColumnRenamed("i", id_col)
 
 
@@ -173,7 +173,7 @@ def drop_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text") -> Da
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.above(list(text_bytes(batch[text_col])))[:, 0] < 0.5))
 
-    return per_batch(df, keep, df.schema)
+    return per_batch(spread(df), keep, df.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
