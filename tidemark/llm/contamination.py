@@ -199,5 +199,16 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
-#: SQL takes minutes on whole tables; the query is tested against a brute-force version.
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_decontamination": r"""
+WITH dw AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+pats AS (SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(ws[i:i + 12], ' ') AS pattern, ws[i] AS first FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)),
+d AS (SELECT row, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM dw),
+g AS (SELECT row, pos, w, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o, lead(w, 8) OVER o, lead(w, 9) OVER o, lead(w, 10) OVER o, lead(w, 11) OVER o, lead(w, 12) OVER o) AS whole FROM d WINDOW o AS (PARTITION BY row ORDER BY pos)),
+hits AS (SELECT row, pos, k, item_id FROM g JOIN pats ON k = 13 AND whole = pattern
+  UNION ALL SELECT row, pos, k, item_id FROM g JOIN pats ON k < 13 AND w = first AND starts_with(whole || ' ', pattern || ' ')),
+marked AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT row, pos, k FROM hits)) GROUP BY row),
+own AS (SELECT row, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM dw LEFT JOIN marked USING (row) LEFT JOIN own USING (row)""",
+}

@@ -455,4 +455,20 @@ def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE: dict[str, str] = {}
+#: All pairs of classes that share a shingle: for tables of some thousand documents.
+ORACLE = {
+    "op10_ngram_jaccard": r"""
+WITH RECURSIVE dw AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+d AS (SELECT row, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos, len(ws) AS n FROM dw),
+g AS (SELECT row, pos, n, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM d WINDOW o AS (PARTITION BY row ORDER BY pos)),
+sh AS MATERIALIZED (SELECT DISTINCT row, md5(s) AS s FROM g WHERE s IS NOT NULL UNION ALL SELECT row, md5(array_to_string(ws, ' ') || '#') FROM dw WHERE len(ws) BETWEEN 1 AND 4),
+sz AS MATERIALIZED (SELECT row, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS f FROM sh GROUP BY row),
+cls AS MATERIALIZED (SELECT f, min(row) AS c, any_value(n) AS n FROM sz GROUP BY f),
+cs AS MATERIALIZED (SELECT c, s FROM sh JOIN sz USING (row) JOIN cls USING (f) WHERE sh.row = c AND s IN (SELECT s FROM sh JOIN sz USING (row) GROUP BY s HAVING count(DISTINCT f) > 1)),
+link AS MATERIALIZED (SELECT a, b FROM (SELECT x.c AS a, y.c AS b, count(*) AS k FROM cs x JOIN cs y ON x.s = y.s AND x.c < y.c GROUP BY ALL) JOIN cls p ON p.c = a JOIN cls q ON q.c = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+edges AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c AS a, c AS b FROM cls UNION SELECT r.a, t.b FROM reach r JOIN edges t ON r.b = t.a),
+root AS (SELECT a AS c, min(b) AS r FROM reach GROUP BY a),
+ids AS (SELECT r, min(doc_id) AS component_id FROM dw JOIN sz USING (row) JOIN cls USING (f) JOIN root USING (c) GROUP BY r)
+SELECT doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, CASE WHEN sz.n > 0 THEN component_id ELSE doc_id END AS component_id FROM dw LEFT JOIN sz USING (row) LEFT JOIN cls USING (f) LEFT JOIN root USING (c) LEFT JOIN ids USING (r)""",
+}
