@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,10 +29,28 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[p
             yield batch.slice(at, rows)
 
 
-def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def release() -> None:
+    """Gives back what earlier tasks of this Python worker left: remembered units of texts, and memory that the allocators
+    hold. Workers outlive tasks, and an executor's memory is shared by its workers and the JVM."""
+    made = getattr(sys.modules.get("tidemark.llm.tokens"), "_made", None)
+    if made:
+        made.clear()
+    trim()
+
+
+def trim() -> None:
+    """Memory that is free goes back to the system (where the C library can)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, encodes: bool = False) -> DataFrame:
+    """mapInArrow with a function of one batch; unless it encodes, what encoding has remembered goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (trim if encodes else release)()
         for batch in pieces_of(batches):
             if (out := f(batch)) is not None:
                 yield out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes, words
+from tidemark.llm.common import pieces_of, release, text_bytes, words
 from tidemark.sources.shared import spread
 
 WIDTH = 13
@@ -133,6 +133,7 @@ def _shipped(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text
     shipped = [documents.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, width, block_bytes, most_states)]
 
     def scan(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+        release()
         held: list[pa.RecordBatch] = []
         size = 0
         scanner = Scanner(shipped[0].value, width) if len(shipped) == 1 else None
@@ -151,7 +152,7 @@ def _shipped(documents: DataFrame, benchmark: DataFrame, item_id: str, item_text
             for b, ts, x in zip(held, texts, found, strict=True):
                 yield b, ts, *x
 
-        for batch in batches:
+        for batch in pieces_of(batches):
             held.append(batch)
             size += batch.nbytes
             if scanner or size > SCAN_MB << 20:

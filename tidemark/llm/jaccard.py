@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import LOWER_BYTES, text_bytes
+from tidemark.llm.common import LOWER_BYTES, pieces_of, release, text_bytes
 from tidemark.llm.graph import components, local_roots, other
 from tidemark.sources.shared import discard, materialize, spread, store
 
@@ -158,9 +158,10 @@ def _deal(bits: int, kind: pa.DataType, frequent: np.ndarray):
     the class's block), and for each block the other shingles and their classes of a batch (no n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         turn = 0
-        for batch in batches:
+        for batch in pieces_of(batches):
             texts = list(text_bytes(batch["t"]))
             for at, part in _chunks(texts):
                 sets = shingle_sets(part)
@@ -233,6 +234,7 @@ def _shared(bits: int, kind: pa.DataType):
             yield _rows(kind, [x[0] for x in out], None, None, None, [x[1] for x in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             blob = batch["n"].is_null()
@@ -250,6 +252,7 @@ def _classes(kind: pa.DataType, similarity: int):
     """Rows by class to classes that may link: shared shingles rarest first; b is how many of them come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         size: dict[int, int] = {}
         own: dict[int, bytes] = {}
         parts = []

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of, text_bytes
-from tidemark.llm.tokens import encoder
+from tidemark.llm.common import pieces_of, release, text_bytes, trim
+from tidemark.llm.tokens import CACHE, encoder
 from tidemark.sources.shared import materialize, spread
 
 SIZE = 2048
@@ -183,8 +183,9 @@ class Schedule:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, end_id: int = 1, size: int = SIZE, targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) token_ids."""
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, end_id: int = 1, size: int = SIZE, targets: dict[str, float] | None = None, max_queues: int | None = None, with_ids: bool = False, units: int = CACHE) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) token_ids. units:
+    how many units of text a worker remembers the ids of; fewer take less memory and more time."""
     file = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col.lower() in [c.lower() for c in df.columns] else F.lit("")
     queue = lambda c: c
@@ -196,10 +197,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     doc = spread(df.select(F.col(id_col).alias("i"), queue(source).alias("q"), F.col(text_col).alias("t")))
     kind = dict(df.dtypes)[id_col]
 
+    dtype = encoder(file).dtype
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, at = TaskContext.get().partitionId(), encoder(file), {}
+        trim()
+        part, enc, at = TaskContext.get().partitionId(), encoder(file, units), {}
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in pieces_of(batches):
             ids = [enc.encode(t) + end for t in text_bytes(batch["t"])]
@@ -217,7 +221,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     schedule = Schedule({r.q: r.tokens for r in by_part.groupBy("q").agg(F.sum("tokens").alias("tokens")).collect()}, targets, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(file).dtype
+        release()
         names = ["i", *(c.split()[0] for c in PIECE.split(", ")), *["token_ids"] * with_ids]
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):

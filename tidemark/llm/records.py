@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import text_bytes, trim
 from tidemark.llm.tokens import encoder
 from tidemark.sources.shared import scratch
 
@@ -92,6 +92,7 @@ def write_records(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         shard, enc = TaskContext.get().partitionId(), encoder(file)
         fs, top = filesystem(path)
         name, out, offsets, at, tokens = f"shard-{shard:06d}-{uuid.uuid4().hex}", None, [], 0, 0

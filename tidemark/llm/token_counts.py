@@ -35,7 +35,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["i", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
-    return per_batch(doc, count, f"i {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long").withColumnRenamed("i", id_col)
+    return per_batch(doc, count, f"i {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", encodes=True).withColumnRenamed("i", id_col)
 
 
 def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([batch["i"], pa.array(packed, pa.binary())], ["i", "prefix_counts"])
 
     doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
-    return per_batch(doc, table, f"i {dict(df.dtypes)[id_col]}, prefix_counts binary").withColumnRenamed("i", id_col)
+    return per_batch(doc, table, f"i {dict(df.dtypes)[id_col]}, prefix_counts binary", encodes=True).withColumnRenamed("i", id_col)
 
 
 def _unpacked(table: bytes) -> np.ndarray:

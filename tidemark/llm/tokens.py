@@ -35,16 +35,16 @@ class Blank(Exception):
 
 
 class _Units(dict):
-    def __init__(self, make, prefix: str):
+    def __init__(self, make, prefix: str, most: int = CACHE):
         super().__init__()
-        self.make, self.prefix = make, prefix
+        self.make, self.prefix, self.most = make, prefix, most
 
     def __missing__(self, unit: bytes):
         text = unit.decode("utf-8")
         if self.prefix and (not text or text[0].isspace()):
             raise Blank
         value = self.make(self.prefix + text)
-        if len(self) < CACHE and len(unit) < 100:
+        if len(self) < self.most and len(unit) < 100:
             self[unit] = value
         return value
 
@@ -52,12 +52,12 @@ class _Units(dict):
 class Encoder:
     """ids of whole texts as bytes of little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: int = CACHE):
         self.tok = load(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.byte_level = type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
-        self.first, self.rest = _Units(self._ids, ""), _Units(self._ids, " " if self.byte_level else "")
+        self.first, self.rest = _Units(self._ids, "", units), _Units(self._ids, " " if self.byte_level else "", units)
         self.single: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -299,9 +299,9 @@ def _byte_chars() -> list[str]:
 _made: dict = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    return _made.get(("e", path)) or _made.setdefault(("e", path), Encoder(path))
+def encoder(path: str, units: int = CACHE) -> Encoder:
+    """One for each worker process, file and number of units."""
+    return _made.get(("e", path, units)) or _made.setdefault(("e", path, units), Encoder(path, units))
 
 
 def prefix_counter(path: str) -> PrefixCounter:
