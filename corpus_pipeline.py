@@ -18,6 +18,10 @@ from tidemark.llm.toxicity import drop_toxic, fit_toxicity
 from tidemark.sources.shared import materialize
 
 
+#: Units of text that a worker remembers in packing: fewer than alone, as the stages before have grown the JVM.
+UNITS = 400_000
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on labels, holds toxic go."""
     return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -41,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, mixed by source."""
-    return pack(docs)
+    return pack(docs, units=UNITS)
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
