@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import config, display
 from tidemark.operators import folds, reports, scoring, talk
 from tidemark.plans.ranking import _PAIRS, r6
-from tidemark.plans.talk import _ALIGN
+from tidemark.plans.talk import _ALIGN, _bounds
 from tidemark.sources import domain as d
 from tidemark.sources import files
 from tidemark.sources.shared import scratch
@@ -141,7 +141,7 @@ def scene_report_timed(spark, sf: str) -> DataFrame:
 
 def alignment_report(spark, sf: str) -> DataFrame:
     clips = d.talk_clips(spark, sf).withColumn("title", F.concat(F.lit("clip "), F.col("id").cast("string")))
-    a = talk.align(clips, talk.boundaries(d.segments(spark, sf)), least_length=20.0, most_length=40.0)
+    a = talk.align(clips, _bounds(spark, sf), least_length=20.0, most_length=40.0)
     whole = lambda c: F.floor(F.col(c)).cast("double").alias(c)
     a = a.select("video_id", "title", (F.col("id") + 1).cast("int").alias("n"), *[whole(c) for c in ("original_start", "original_end", "start", "end", "start_adjustment", "end_adjustment")], "start_boundary_type", "end_boundary_type", "professionally_aligned")
     return reports.alignment_report(a)
