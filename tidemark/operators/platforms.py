@@ -27,15 +27,21 @@ def platforms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PLATFORMS), SCHEMA)
 
 
+def _specifications() -> Column:
+    """The same as an array of structs."""
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(p, fields, strict=True)]) for p in PLATFORMS])
+
+
 def plan(videos: DataFrame, strategy: str = "center", quality: bool = True) -> DataFrame:
     """Each video on each platform: action, crop, filter and encode arguments, preview, size and length flags.
 
     videos: video, src_w int, src_h int, src_fps double, seconds double, size long. A video without dimensions has a row
-    with an error on each platform and no plan. The platforms are a fixed table of seven rows, so that side is broadcast.
+    with an error on each platform and no plan. The platforms are a fixed array of seven, so there is no join.
     """
-    p = F.broadcast(platforms(videos.sparkSession))
     known = (F.col("src_w") > 0) & (F.col("src_h") > 0)
-    j = videos.withColumn("error", F.when(F.coalesce(known, F.lit(False)), None).otherwise("no video dimensions")).join(p, F.lit(True))
+    j = videos.withColumn("error", F.when(F.coalesce(known, F.lit(False)), None).otherwise("no video dimensions")).withColumn("_p", F.explode(_specifications()))
+    j = j.select(*videos.columns, "error", "_p.*")
     j = j.withColumn("src_w", F.when(F.col("error").isNull(), F.col("src_w"))).withColumn("src_h", F.when(F.col("error").isNull(), F.col("src_h")))
     source, target = F.col("src_w") / F.col("src_h"), F.col("width") / F.col("height")
     same = F.abs(source - target) <= 0.01
