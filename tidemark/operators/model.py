@@ -84,7 +84,7 @@ def _timed_lines(prompt: Column, every: int) -> Column:
 
 
 def stand_in(kind: str) -> Scorer:
-    """A stand-in for a layer's model: clips, moments, thought, look or package. A prompt of a length divisible by eleven
+    """A stand-in for a layer's model: clips, moments, thought, look, package or title. A prompt of a length divisible by eleven
     fails (clips and moments)."""
     p = F.col("prompt")
     n = F.length(p)
@@ -101,6 +101,8 @@ def stand_in(kind: str) -> Scorer:
     elif kind == "package":
         words = F.filter(F.split(p, " "), lambda w: w != "")
         reply = F.to_json(F.struct(p.alias("title"), F.concat(F.size(words).cast("string"), F.lit(" words")).alias("description"), F.transform(F.slice(words, 1, 7), lambda w: F.concat(F.lit("#"), w)).alias("hashtags"), (F.col("start") + n % 90 - 5).alias("thumbnail_time")))
+    elif kind == "title":
+        reply = F.concat(F.lit('"'), p, F.lit('"'))
     else:
         raise ValueError(f"no stand-in for {kind}")
     return lambda df: df.withColumn("response", reply)

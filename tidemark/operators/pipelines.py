@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import title as as_title
+from tidemark.functions.text import unquote
 from tidemark.operators import folds, model, platforms, scoring, talk
 from tidemark.operators.editorial import Scorer
 from tidemark.sources.shared import materialize
 
 
-def align_all(clips: DataFrame, segments: DataFrame, cuts: DataFrame | None = None, least: float | None = None, most: float | None = None, retitle: bool = True, bounds: DataFrame | None = None) -> DataFrame:
+def align_all(clips: DataFrame, segments: DataFrame, cuts: DataFrame | None = None, least: float | None = None, most: float | None = None, retitle: Scorer | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """talk.align with flags and titles: ``on_cut`` where the boundary that a clip's start was moved to has a scene cut less
-    than a second away (cuts: video_id, cut, cut_time); with ``retitle`` an aligned clip's title is made of its new text,
-    and the old one kept beside."""
+    than a second away (cuts: video_id, cut, cut_time); with a scorer ``retitle`` an aligned clip's title is made of its new
+    text, without quotes around it and cut, and the old one kept beside (it stays where there is no text or no answer)."""
     bounds = talk.boundaries(segments) if bounds is None else bounds
     a = talk.align(clips, bounds, least_length=least, most_length=most)
     if cuts is None:
@@ -22,12 +23,13 @@ def align_all(clips: DataFrame, segments: DataFrame, cuts: DataFrame | None = No
     else:
         flags = talk.double_boundaries(bounds, cuts).where("double_boundary").select(F.col("video_id").alias("_v"), F.col("time").alias("_t"), F.lit(True).alias("_d"))
         a = a.join(flags, (F.col("video_id") == F.col("_v")) & (F.col("start") == F.col("_t")), "left").withColumn("on_cut", F.coalesce("_d", F.lit(False))).drop("_v", "_t", "_d")
-    if not retitle:
+    if retitle is None:
         return a
-    text = talk.text_in(a.select("video_id", "id", "start", "end"), segments).withColumnRenamed("text", "_text")
-    a = a.join(text, ["video_id", "id"], "left").withColumn("original_title", F.col("title"))
-    new = F.col("professionally_aligned") & (F.coalesce("_text", F.lit("")) != "")
-    return a.withColumn("title", F.when(new, as_title(F.col("_text"))).otherwise(F.col("title"))).drop("_text")
+    moved = a.where("professionally_aligned").select("video_id", "id", "start", "end")
+    asked = talk.text_in(moved, segments).where("text <> ''").withColumnRenamed("text", "prompt")
+    said = retitle(asked).select("video_id", "id", unquote(F.trim("response")).alias("_said"))
+    a = a.join(said, ["video_id", "id"], "left").withColumn("original_title", F.col("title"))
+    return a.withColumn("title", F.when(F.coalesce("_said", F.lit("")) != "", as_title(F.col("_said"))).otherwise(F.col("title"))).drop("_said")
 
 
 def analysed(segments: DataFrame, energy: DataFrame, n: int, ask: Scorer, least: float | None, most: float | None, budget: int, weight: float = 0.3) -> DataFrame:
@@ -38,13 +40,13 @@ def analysed(segments: DataFrame, energy: DataFrame, n: int, ask: Scorer, least:
     return scoring.top(scored, "hybrid_score", wanted, tie="found")
 
 
-def full_run(segments: DataFrame, energy: DataFrame, cuts: DataFrame | None, seconds: DataFrame, n: int, sizes: Column, ask: Scorer | None = None, least: float | None = None, most: float | None = None, budget: int = model.MOST_TOKENS, bounds: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+def full_run(segments: DataFrame, energy: DataFrame, cuts: DataFrame | None, seconds: DataFrame, n: int, sizes: Column, ask: Scorer | None = None, least: float | None = None, most: float | None = None, budget: int = model.MOST_TOKENS, bounds: DataFrame | None = None, retitle: Scorer | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """Analysis, alignment, the first n (by the rank before alignment), rendering plan and metadata.
 
     What the model found, and the aligned clips, are written once. Returns the render results and the metadata of those that could be cut. seconds: video_id, video_seconds.
     """
     best = materialize(analysed(segments, energy, n, ask or model.stand_in("clips"), least, most, budget), "analysed")
-    aligned = align_all(best, segments, cuts, least, most, bounds=bounds).where(F.col("rank") <= n)
+    aligned = align_all(best, segments, cuts, least, most, retitle or model.stand_in("title"), bounds).where(F.col("rank") <= n)
     clips = materialize(aligned, "aligned").withColumn("index", F.col("rank").cast("int")).join(seconds, "video_id").withColumn("input", F.concat(F.lit("video_"), F.col("video_id").cast("string"), F.lit(".mp4")))
     results = platforms.render(clips, sizes, **how)
     return results, platforms.clip_metadata(clips, results)

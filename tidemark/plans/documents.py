@@ -193,6 +193,14 @@ def video_files(spark, sf: str) -> DataFrame:
     return found.select(key.alias("n_nationkey"), F.col("length").cast("long").alias("length"))
 
 
+def video_checks(spark, sf: str) -> DataFrame:
+    """Paths that are asked for against those that there are."""
+    path = lambda k: F.concat(F.lit("/v/"), k.cast("string"), F.when(k % 4 == 0, ".txt").otherwise(".mp4"))
+    k = F.col("p_partkey")
+    parts = d.table(spark, sf, "part")
+    return files.check_videos(parts.select(k.alias("p_partkey"), path(k).alias("path")), parts.where(k % 3 != 0).select(path(k).alias("path")))
+
+
 def progress_lines(spark, sf: str) -> DataFrame:
     """Progress events among lines of other kinds."""
     line = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"type":"progress","stage":"', event_type, '","progress":', event_id % 101, ',"message":"m', event_id, '"}') WHEN 1 THEN concat('{"type":"result","stage":"', event_type, '"}') WHEN 2 THEN 'plain text' ELSE '{broken' END""")
@@ -263,7 +271,7 @@ def layer_tables(spark, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (transcript_segments, transcript_words, transcript_info, chunked_transcript, chunk_spans, srt_text, analysis_clips, hybrid_document, rank_change_count, scene_log, scene_document, scene_report, scene_report_timed, alignment_report, hybrid_report, summary_report, diagnostics_report, media_probe, video_files, progress_lines, log_tail, log_stats, newest_logs, config_settings, config_files, cached_transcript, metadata_document, layer_tables)
+    for f in (transcript_segments, transcript_words, transcript_info, chunked_transcript, chunk_spans, srt_text, analysis_clips, hybrid_document, rank_change_count, scene_log, scene_document, scene_report, scene_report_timed, alignment_report, hybrid_report, summary_report, diagnostics_report, media_probe, video_files, video_checks, progress_lines, log_tail, log_stats, newest_logs, config_settings, config_files, cached_transcript, metadata_document, layer_tables)
 }
 
 _SEG = f"WITH {d.SQL.strip()}"
@@ -338,6 +346,7 @@ ORACLE = {
     "media_probe": """SELECT k AS video, k % 900 + 0.5::DOUBLE AS duration, k * 1000 AS size_bytes, NULL::BIGINT AS bitrate, CASE WHEN k % 11 <> 0 THEN (k % 7 * 240 + 480)::INT END AS width, CASE WHEN k % 11 <> 0 THEN (k % 5 * 300 + 480)::INT END AS height, CASE WHEN k % 11 <> 0 THEN 'h264' END AS video_codec, CASE WHEN k % 3 <> 0 THEN 'aac' END AS audio_codec,
         CASE WHEN k % 11 = 0 THEN 0 WHEN k % 4 = 0 THEN round(30000 / 1001.0::DOUBLE, 6) WHEN k % 4 = 1 THEN 25 WHEN k % 4 = 2 THEN 0 ELSE 30 END::DOUBLE AS fps, k % 3 <> 0 AS has_audio FROM (SELECT c_custkey AS k FROM customer)""",
     "video_files": "SELECT n_nationkey, (length(n_name) + 1)::BIGINT AS length FROM nation",
+    "video_checks": "SELECT p_partkey, '/v/' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '.txt' ELSE '.mp4' END AS path, CASE WHEN p_partkey % 3 = 0 THEN 'VIDEO_NOT_FOUND' WHEN p_partkey % 4 = 0 THEN 'INVALID_VIDEO_FORMAT' END AS error FROM part",
     "progress_lines": "SELECT 'progress' AS type, event_type AS stage, (event_id % 101)::DOUBLE AS progress, 'm' || event_id AS message FROM events WHERE event_id % 4 = 0",
     "log_tail": """SELECT event_id AS at, '{"level":' || event_id % 4 || ',"message":"m' || event_id || '"}' AS value FROM events WHERE event_id % 10 <> 9 ORDER BY event_id DESC LIMIT 50""",
     "log_stats": "SELECT count(*) AS lines, count_if(event_id % 4 = 3)::BIGINT AS errors, count_if(event_id % 4 = 2)::BIGINT AS warnings FROM (SELECT event_id FROM events WHERE event_id % 10 <> 9 ORDER BY event_id DESC LIMIT 1000)",

@@ -76,7 +76,7 @@ def _cuts(spark, sf):
 def aligned_flags(spark, sf: str) -> DataFrame:
     """Alignment of all clips with flags for scene cuts and titles made anew."""
     clips = d.talk_clips(spark, sf).withColumn("title", F.concat(F.lit("clip "), F.col("id").cast("string")))
-    a = pipelines.align_all(clips, d.segments(spark, sf), _cuts(spark, sf), 20.0, 40.0, bounds=talk_plans._bounds(spark, sf))
+    a = pipelines.align_all(clips, d.segments(spark, sf), _cuts(spark, sf), 20.0, 40.0, model.stand_in("title"), talk_plans._bounds(spark, sf))
     return a.select("video_id", "id", *r6("start", "end"), "professionally_aligned", "on_cut", "title", "original_title")
 
 

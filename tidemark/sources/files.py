@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.display import is_video
+
 WORD = "struct<word:string,start:double,end:double>"
 SEGMENT = "struct<id:long,start:double,end:double,text:string>"
 TRANSCRIPT = f"video_id string, text string, language string, duration double, words array<{WORD}>, segments array<{SEGMENT}>"
@@ -108,6 +110,13 @@ def list_videos(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).drop("content")
 
 
+def check_videos(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """wanted (path) with what is wrong: null, VIDEO_NOT_FOUND or INVALID_VIDEO_FORMAT. found: path, as list_videos gives it."""
+    have = found.select("path").distinct().withColumn("_have", F.lit(True))
+    bad = F.when(F.col("_have").isNull(), "VIDEO_NOT_FOUND").when(~is_video(F.col("path")), "INVALID_VIDEO_FORMAT")
+    return wanted.join(have, "path", "left").withColumn("error", bad).drop("_have")
+
+
 def progress_events(lines: DataFrame) -> DataFrame:
     """Progress events of a stream or table of text lines; other lines drop out."""
     return lines.select(F.from_json("value", PROGRESS).alias("e")).where("e.type = 'progress'").select("e.*")
