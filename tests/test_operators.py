@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import config, display, text
 from tidemark.operators import editorial, folds, joins, model, platforms, signal, talk
-from tidemark.sources import files
+from tidemark.sources import files, shared
 from tidemark.streaming import events
 
 
@@ -334,3 +334,19 @@ def test_levels(spark):
     quiet, loud = F.array(F.lit(0.001), F.lit(-0.001)), F.array(F.lit(0.5), F.lit(-0.5))
     r = one(spark, a=signal.louder(quiet), b=signal.louder(loud), c=signal.lifted(quiet), d=signal.lifted(loud), e=signal.louder(F.array(F.lit(0.0))))
     assert abs(r.a[0] - (0.7 * 10 ** (-18 / 20) + 0.3 * 0.001)) < 1e-9 and r.b == [0.5, -0.5] and abs(r.c[0] - 0.064) < 1e-9 and r.d == [0.5, -0.5] and r.e == [0.0]
+
+
+def test_scans_of_few_files_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert shared.spread(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and shared.spread(rows).count() == 100
+    grouped = rows.groupBy("id").count()
+    assert shared.spread(grouped) is grouped
+
+
+def test_tables_in_the_shared_folder(spark):
+    df, path = shared.store(spark.range(5), "t")
+    assert path.startswith(shared.shared_dir(spark)) and df.count() == 5
+    shared.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.intervals import overlaps
+
 
 #: An interval with a far or wrong end would be copied into very many bins; beyond so many it is refused.
 MOST_BINS = 100_000
@@ -27,7 +29,7 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float, inclusive: boo
     a = left.withColumn("_bin", bins(F.col("start"), F.col("end"), width))
     b = right.withColumn("_bin", bins(F.col("r_start"), F.col("r_end"), width))
     begins = F.col("_bin") == F.floor(F.greatest("start", "r_start") / width)
-    meet = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) if inclusive else (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    meet = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) if inclusive else overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
     return a.join(b, ["video_id", "_bin"]).where(begins & meet).drop("_bin")
 
 

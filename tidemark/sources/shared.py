@@ -53,14 +53,3 @@ def spread(df: DataFrame) -> DataFrame:
     if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
-
-
-def fresh(taken: list[str], *names: str) -> list[str]:
-    """The names, with underscores added until none is taken (Spark's names ignore case)."""
-    used, out = {t.lower() for t in taken}, []
-    for name in names:
-        while name.lower() in used:
-            name += "_"
-        used.add(name.lower())
-        out.append(name)
-    return out
