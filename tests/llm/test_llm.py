@@ -65,6 +65,9 @@ def test_op1(spark, texts):
     for r in catalog.queries()["op1_token_counts"](spark, SF).collect():
         n = len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+        if len(texts[r.doc_id]) < 400:  # the library at every prefix
+            table = [len(tok.encode(texts[r.doc_id][:i], add_special_tokens=False).ids) for i in range(len(texts[r.doc_id]) + 1)]
+            assert r.prefix_crc32 == zlib.crc32(np.array(table, "<u4").tobytes()) and r.fit_chars == max(i for i, k in enumerate(table) if k <= 1024)
     odd = token_counts.token_counts(odd_documents(spark)).collect()
     assert len(odd) == len(ODD) + 5 and token_counts.token_counts(no_documents(spark)).count() == 0
 

@@ -1,6 +1,6 @@
 """Token counts: exact counts at every prefix of every text by prefix dynamic programming (see tokens.PrefixCounter).
 
-``token_counts`` answers totals, limits and truncation points; ``prefix_tables`` stores the count at every prefix as a
+``token_counts`` answers totals, limits and truncation points from each text's table; ``prefix_tables`` stores the count at every prefix as a
 compact column, which ``tokens_at`` and ``chars_within`` read, so later budgets need neither the text nor the tokenizer.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row; an empty table gives an empty result.
@@ -25,17 +25,24 @@ LIMIT = 1024
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit and fit_chars (code points of the longest prefix within the limit)."""
+    """id, n_bytes, n_tokens, over_limit, fit_chars (code points of the longest prefix within the limit) and prefix_crc32 (of
+    the whole prefix table: the count at every code-point prefix, the empty one first, as little-endian 32-bit integers).
+    All are read off the table."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         dp = prefix_counter(path)
         texts = list(text_bytes(batch["t"]))
-        n, fit = zip(*(dp.count_and_fit(t, limit) for t in texts), strict=True)
-        return pa.RecordBatch.from_arrays([batch["i"], pa.array(list(map(len, texts)), pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["i", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+        rows = []
+        for t in texts:
+            counts, fit = dp.counts_and_fit(t, limit)
+            n = int(counts[-1])
+            rows.append((len(t), n, n > limit, fit, zlib.crc32(counts.astype("<u4").tobytes())))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([batch["i"], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["i", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_crc32"])
 
     doc = spread(df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")))
-    return per_batch(doc, count, f"i {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", encodes=True).withColumnRenamed("i", id_col)
+    return per_batch(doc, count, f"i {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_crc32 long", encodes=True).withColumnRenamed("i", id_col)
 
 
 def prefix_tables(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 
 from tidemark.llm.common import LOWER_BYTES
 
+#: Last bytes of units that may end with a blank.
+MAYBE_BLANK = frozenset(bytes([b]) for b in [*range(9, 14), *range(28, 33), *range(128, 256)])
 #: Units that one worker remembers; beyond it, units are encoded anew each time.
 CACHE = 1_000_000
 LATER = re.compile(r"(?= \S)")
@@ -105,7 +107,7 @@ class PrefixCounter:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.stable: dict[tuple[int, int], bool] = {}
         self.tables: dict[bytes, list[int]] = {}
-        self.first, self.rest = _Units(self.total, ""), _Units(self.total, " ")
+        self.first, self.rest = _Units(self.packed, ""), _Units(self.packed, " ")
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b stays as it is behind token a (or at the start, a = -1).
@@ -242,50 +244,56 @@ class PrefixCounter:
             ahead, blanks, base = base, piece if piece.isspace() else "", base + table[-1]
         return out
 
-    def units(self, text: bytes) -> tuple[list[bytes], list[int]]:
-        """The units of a text and their token counts."""
+    def packed(self, text: str) -> bytes | array:
+        """unit() without the empty prefix, in a byte for each where all counts fit."""
+        counts = self.unit(text)[1:]
+        return bytes(counts) if max(counts, default=0) < 256 else array("I", counts)
+
+    def units(self, text: bytes) -> tuple[list[bytes], list[bytes | array]]:
+        """The units of a text (without the space before each but the first) and their prefix tables."""
         head, *tail = text.split(b" ")
         try:
             return [head, *tail], [self.first[head], *map(self.rest.__getitem__, tail)]
         except Blank:
             parts = LATER.split(text.decode("utf-8"))
-            return [x.encode("utf-8")[k > 0 :] for k, x in enumerate(parts)], [self.total(x) for x in parts]
+            return [x.encode("utf-8")[k > 0 :] for k, x in enumerate(parts)], [self.packed(x) for x in parts]
 
     def count(self, text: bytes) -> int:
-        return sum(self.units(text)[1])
-
-    def _joined(self, units: list[bytes], k: int) -> list[int]:
-        """The prefix table of unit k in its place: a lone space behind blanks belongs to their pre-token."""
-        text = lambda i: " " * (i > 0) + units[i].decode("utf-8")
-        table = self.unit(text(k))
-        if k and text(k - 1)[-1:].isspace():
-            table = [table[0], self.total(text(k - 1) + " ") - self.total(text(k - 1)), *table[2:]]
-        return table
+        return sum(t[-1] for t in self.units(text)[1] if t)
+
+    def _space_behind(self, unit: bytes, first: bool) -> int | None:
+        """What a lone space behind a unit adds, where the unit ends with a blank: the space belongs to that pre-token."""
+        text = " " * (not first) + unit.decode("utf-8")
+        return self.total(text + " ") - self.total(text) if text[-1:].isspace() else None
+
+    def _counts(self, units: list[bytes], tables: list[bytes | array]) -> np.ndarray:
+        sizes = np.fromiter(map(len, tables), np.int64, len(tables))
+        each = np.frombuffer(b"".join(tables), np.uint8)
+        if len(each) != sizes.sum():  # some tables have wide counts
+            each = np.concatenate([np.frombuffer(t, np.uint8 if isinstance(t, bytes) else np.uint32).astype(np.int64) for t in tables])
+        ends = np.cumsum(sizes)
+        some = sizes > 0
+        last = np.zeros(len(tables), np.int64)
+        last[some] = each[ends[some] - 1]
+        base = np.cumsum(last) - last
+        out = np.zeros(len(each) + 1, np.int64)
+        out[1:] = each + np.repeat(base, sizes)
+        for k in range(1, len(units)):
+            if units[k - 1][-1:] in MAYBE_BLANK and (more := self._space_behind(units[k - 1], k == 1)) is not None:
+                out[1 + ends[k] - sizes[k]] = base[k] + more
+        return out
 
     def counts(self, text: bytes) -> np.ndarray:
         """Exact token count of every code-point prefix, from the empty one to the whole text."""
-        units, totals = self.units(text)
-        out, base = [np.zeros(1, np.int64)], 0
-        for k, n in enumerate(totals):
-            out.append(base + np.array(self._joined(units, k)[1:], np.int64))
-            base += n
-        return np.concatenate(out)
-
-    def count_and_fit(self, text: bytes, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and code points of its longest prefix of at most ``budget`` tokens."""
-        units, totals = self.units(text)
-        total = sum(totals)
-        if total <= budget:
-            return total, len(text.decode("utf-8"))
-        k = base = 0
-        while base + totals[k] <= budget:
-            base += totals[k]
-            k += 1
-        fit = len(b" ".join(units[:k]).decode("utf-8"))
-        return total, fit + max(i for i, n in enumerate(self._joined(units, k)) if base + n <= budget)
+        return self._counts(*self.units(text))
+
+    def counts_and_fit(self, text: bytes, budget: int) -> tuple[np.ndarray, int]:
+        """counts(text), and code points of its longest prefix of at most ``budget`` tokens."""
+        counts = self.counts(text)
+        return counts, int(np.flatnonzero(counts <= max(budget, 0))[-1])
 
     def fit(self, text: bytes, budget: int) -> int:
-        return self.count_and_fit(text, budget)[1]
+        return self.counts_and_fit(text, budget)[1]
 
 
 def _byte_chars() -> list[str]:
