@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -35,14 +34,8 @@ def release() -> None:
     made = getattr(sys.modules.get("tidemark.llm.tokens"), "_made", None)
     if made:
         made.clear()
-    trim()
-
-
-def trim() -> None:
-    """Memory that is free goes back to the system (where the C library can)."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
         ctypes.CDLL(None).malloc_trim(0)
 
 
@@ -50,7 +43,8 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     """mapInArrow with a function of one batch; unless it encodes, what encoding has remembered goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (trim if encodes else release)()
+        if not encodes:
+            release()
         for batch in pieces_of(batches):
             if (out := f(batch)) is not None:
                 yield out

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces_of, release, text_bytes, trim
+from tidemark.llm.common import pieces_of, release, text_bytes
 from tidemark.llm.tokens import CACHE, encoder
 from tidemark.sources.shared import materialize, spread
 
@@ -202,7 +202,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trim()
         part, enc, at = TaskContext.get().partitionId(), encoder(file, units), {}
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in pieces_of(batches):
