@@ -172,21 +172,15 @@ class PrefixCounter:
         if (known := self.tables.get(piece)) is not None:
             return known
         size, get, follows = len(piece), self.trie.get, self.follows
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
-        for start in range(size):
+        count, last = [0] * (size + 1), [-1] * (size + 1)
+        for start in range(size):  # what ends here is settled: longer tokens, from earlier starts, came first
+            before, n = last[start], count[start] + 1
             for end in range(start + 1, size + 1):
                 token = get(piece[start:end])
                 if token is None:
                     break
-                if token >= 0:
-                    ends[end].append((start, token))
-        count, last = [0], [-1]
-        for end in range(1, size + 1):
-            for start, token in ends[end]:  # longest first
-                if follows(last[start], token):
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
+                if token >= 0 and not count[end] and follows(before, token):
+                    count[end], last[end] = n, token
         if len(self.tables) < CACHE // 4 and len(piece) < 100:
             self.tables[piece] = count
         return count
@@ -235,7 +229,10 @@ class PrefixCounter:
         for piece in self.pieces(text):
             data = piece.encode("utf-8")
             table = self.table(data)
-            mine = [base + table[i + 1] for i in range(len(data)) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80]
+            if len(data) == len(piece):
+                mine = [base + n for n in table[1:]]
+            else:
+                mine = [base + table[i + 1] for i in range(len(data)) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80]
             if blanks and piece[0].isspace():  # up to here the blanks are one pre-token
                 mine[0] = ahead + self.table((blanks + piece[0]).encode("utf-8"))[-1]
             if piece in ("'re", "'ve", "'ll"):  # cut short, the apostrophe and the letter are two
@@ -246,7 +243,7 @@ class PrefixCounter:
 
     def packed(self, text: str) -> bytes | array:
         """unit() without the empty prefix, in a byte for each where all counts fit."""
-        counts = self.unit(text)[1:]
+        counts = self.unit(text)[1:] if self.special and any(s in text for s in self.special) else self.plain(text)[1:]
         return bytes(counts) if max(counts, default=0) < 256 else array("I", counts)
 
     def units(self, text: bytes) -> tuple[list[bytes], list[bytes | array]]:
@@ -278,8 +275,8 @@ class PrefixCounter:
         base = np.cumsum(last) - last
         out = np.zeros(len(each) + 1, np.int64)
         out[1:] = each + np.repeat(base, sizes)
-        for k in range(1, len(units)):
-            if units[k - 1][-1:] in MAYBE_BLANK and (more := self._space_behind(units[k - 1], k == 1)) is not None:
+        for k, unit in enumerate(units[:-1], 1):
+            if unit[-1:] in MAYBE_BLANK and (more := self._space_behind(unit, k == 1)) is not None:
                 out[1 + ends[k] - sizes[k]] = base[k] + more
         return out
 
