@@ -1,2 +1,3 @@
 """Training-data operators: token counts, URL filters, binary output, decontamination, secrets, packing, near-duplicates,
-toxicity, WARC revisits and n-gram joins. Nothing else in the library imports this subpackage."""
+toxicity, WARC revisits, n-gram joins, vector codes, SentencePiece ids and
+periodic runs. Nothing else in the library imports this subpackage."""

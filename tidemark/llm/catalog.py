@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 # imported here, so that a missing library shows where this module is imported
-from tidemark.llm import contamination, jaccard, neardup, packing, records, secrets, token_counts, toxicity, urls, warc
+from tidemark.llm import contamination, jaccard, neardup, packing, periodic_runs, records, secrets, sentence_pieces, token_counts, toxicity, urls, vector_codes, warc
 
-MODULES = (token_counts, urls, records, contamination, secrets, packing, neardup, toxicity, warc, jaccard)
+MODULES = (token_counts, urls, records, contamination, secrets, packing, neardup, toxicity, warc, jaccard, vector_codes, sentence_pieces, periodic_runs)
 
 
 def queries() -> dict[str, Callable]:
