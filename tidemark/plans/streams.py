@@ -1,5 +1,5 @@
-"""Streaming operators over the events table as it is now: windows and sessions of the whole table, the last ones included
-(their watermark is for live streams), and the stage tracker as a stream (checked by rows)."""
+"""Streams over the whole events table as it is now, in micro-batches out of order: windows, sessions and the stage tracker,
+each run to the end of its input. Their SQL is that of the table."""
 
 from __future__ import annotations
 
@@ -11,27 +11,32 @@ from tidemark.sources.shared import scratch
 from tidemark.streaming import events
 
 
+def _run(spark, sf: str, name: str, build) -> DataFrame:
+    """A stream of four micro-batches, the latest quarter of time first, run to its end. build: of the stream and how late rows are."""
+    path = scratch(spark, name)
+    rows, late = events.backwards(spark, sf, f"{path}/input")
+    return events.run_to_end(rows, lambda e: build(e, late), path)
+
+
 def stream_windows(spark, sf: str) -> DataFrame:
-    w = events.tumbling(events.event_table(spark, sf), "1 day")
+    w = _run(spark, sf, "stream-windows", lambda e, late: events.tumbling(e, "1 day", late))
     return w.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 def stream_sessions(spark, sf: str) -> DataFrame:
-    s = events.sessions(events.event_table(spark, sf), "12 hours")
+    s = _run(spark, sf, "stream-sessions", lambda e, late: events.sessions(e, "12 hours", late))
     return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
 def stream_stages(spark, sf: str) -> DataFrame:
-    """The last state of each stage that the stream gives (a run's states come once for each micro-batch)."""
-    e = events.event_stream(spark, sf)
-    updates = e.select(F.col("user_id").alias("run"), F.unix_micros("at").alias("seq"), F.col("event_id").alias("tie"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
-    states = events.run_once(events.stage_tracker(updates), scratch(spark, "stream-stages"))
+    """The last state of each stage that the stream gives (a run's states come each time that updates are applied)."""
+    updates = lambda e: e.select(F.col("user_id").alias("run"), "at", F.col("event_id").alias("tie"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
+    states = _run(spark, sf, "stream-stages", lambda e, late: events.stage_tracker(updates(e), late))
     latest = states.groupBy("run", "stage").agg(F.max_by(F.struct("status", "progress"), "batch").alias("s"))
     return latest.select("run", "stage", "s.status", F.round("s.progress", 6).alias("progress"))
 
 
 QUERIES = {f.__name__: f for f in (stream_windows, stream_sessions, stream_stages)}
-#: Of the whole table. A stream in one micro-batch, as the test tables are, has the batch form's stages.
 ORACLE = {
     "stream_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "stream_sessions": """SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 12 HOUR) AS "end", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
