@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import peaks as blocks
 from tidemark.operators.joins import overlap_join
 
 
@@ -103,29 +104,10 @@ def _lower_before(x: np.ndarray, at: list[int], levels: list[float]) -> list[int
     return out
 
 
-def peaks(df: DataFrame, name: str = "energy", distance: int = 3, prominence: float = 0.1, floor: float = 0.5) -> DataFrame:
-    """video_id, peak (1, 2, ... by time), frame, t, height, start_t, end_t (while at half the height or more), last_t.
-
-    One video's frames are one numpy group (the thinning is sequential, and an hour is some hundred thousand frames); it is
-    passed over a fixed number of times, whatever its peaks.
-    """
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame")
-        x, t = table[name].to_numpy(), table["t"].to_numpy()
-        found = find_peaks(x, max(float(np.percentile(x, 70)), floor), distance, prominence)
-        n, half = len(x), (x[found] * 0.5).tolist()
-        first = _lower_before(x, found.tolist(), half)
-        last = _lower_before(x[::-1], (n - 1 - found)[::-1].tolist(), half[::-1])[::-1]
-        out: dict[str, list] = {c: [] for c in ("video_id", "peak", "frame", "t", "height", "start_t", "end_t", "last_t")}
-        for k, p in enumerate(found.tolist()):
-            a, b = first[k] + 1, n - 2 - last[k]
-            for c, v in zip(out, (table["video_id"][0].as_py(), k + 1, p, t[p], x[p], t[a], t[b], t[-1]), strict=True):
-                out[c].append(v)
-        return pa.table({c: pa.array(v, pa.int64() if c in ("video_id", "peak", "frame") else pa.float64()) for c, v in out.items()})
-
-    rows = df.select("video_id", "frame", "t", F.col(name).cast("double").alias(name)).where(F.col(name).isNotNull())
-    return rows.groupBy("video_id").applyInArrow(one, "video_id long, peak long, frame long, t double, height double, start_t double, end_t double, last_t double")
+def peaks(df: DataFrame, name: str = "energy", distance: int = 3, prominence: float = 0.1, floor: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
+    """video_id, peak (1, 2, ... by time), frame, t, height, start_t, end_t (while at half the height or more), last_t: the
+    peaks that find_peaks gives of a video's frames, found block by block (see operators/peaks.py)."""
+    return blocks.find(df, name, distance, prominence, floor, block)
 
 
 def peak_segments(df: DataFrame, least: float, most: float, name: str = "energy", width: float = 24.0, **how) -> DataFrame:
