@@ -175,7 +175,9 @@ def _long(rows: DataFrame, id_col: str, kind: str, least: int, times: int, cells
     lags = F.greatest(F.lit(least_lags), F.floor(F.lit(cells) / F.col("n"))).cast("long")
     most = F.floor(F.col("n") / times).cast("long")
     ranges = words.where(most >= 1).withColumn("low", F.explode(F.sequence(F.lit(1).cast("long"), most, lags))).withColumn("high", F.least(F.col("low") + lags, most + 1))
-    found, _ = store(ranges.repartition(F.col("k"), F.col("low")).mapInArrow(scan, "k string, start long, length long, period long"), "runs-found")
+    # a number of its own, so that small ranges, which take long, are not put together into few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, _ = store(ranges.repartition(tasks, "k", "low").mapInArrow(scan, "k string, start long, length long, period long"), "runs-found")
     discard(rows.sparkSession, path)
     runs = found.groupBy(F.reverse("k").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     runs = runs.withColumn("runs", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))))
