@@ -133,39 +133,51 @@ def digest(books: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
 
-def _numbers(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, PARTS, size // PARTS)
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row: a state's numbers as plain bytes take the JVM far less than arrays."""
+    flat = np.ascontiguousarray(rows).reshape(len(rows), -1)
+    return pa.Array.from_buffers(pa.binary(flat.shape[1] * flat.itemsize), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _vectors(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    """Rows x parts x width of a batch's vectors, as they come or packed by the round before."""
+    flat = column.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(column.type) else _unpacked(column, kind)
+    return flat.astype(kind).reshape(-1, PARTS, size // PARTS)
+
+
+def _bounds(batch: pa.RecordBatch) -> Bounds:
+    both = _unpacked(batch["bounds"], "<f8").reshape(-1, 2, PARTS)
+    return Bounds(_unpacked(batch["code"], "u1").reshape(-1, PARTS).astype(np.int64), both[:, 0], both[:, 1])
 
 
 #: A round's table: vectors with codes and bounds, and rows of sums (decimal strings: they may outgrow 64 bits).
-STATE = "id {id}, label {label}, v array<double>, code binary, upper array<double>, lower array<double>, scans long, at array<int>, total array<string>"
+STATE = "id {id}, label {label}, v binary, code binary, bounds binary, scans long, at array<int>, total array<string>"
 
 
-def _round(books: np.ndarray, moved: np.ndarray | None, size: int, names: list[str]):
+def _round(books: np.ndarray, moved: np.ndarray | None, size: int, kind: str, names: list[str]):
     """One task of a round: vectors with new codes and bounds, and rows of the task's sums at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, scans, last = None, 0, None
         for batch in pieces_of(batches, 4000):
-            x = whole(_numbers(batch["v"], size))
-            before = None
-            if moved is not None:
-                code = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64)
-                upper, lower = (batch[c].flatten().to_numpy().reshape(-1, PARTS) for c in ("upper", "lower"))
-                before = Bounds(code, upper, lower)
-            now = assign(x, books, before, moved)
+            v = _vectors(batch["v"], size, kind)
+            x = whole(v.astype(float))
+            now = assign(x, books, None if moved is None else _bounds(batch), moved)
             mine = sums(x, now.code, books.shape[1]).astype(object)
             total, scans, last = mine if total is None else total + mine, scans + now.scans, batch
-            codes = [c.tobytes() for c in now.code.astype(np.uint8)]
-            bounds = [pa.FixedSizeListArray.from_arrays(pa.array(b.ravel()), PARTS).cast(pa.list_(pa.float64())) for b in (now.upper, now.lower)]
-            none = [pa.nulls(len(codes), t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["v"], pa.array(codes, pa.binary()), *bounds, *none], names)
+            state = [_packed(v), _packed(now.code.astype(np.uint8)), _packed(np.stack([now.upper, now.lower], 1))]
+            none = [pa.nulls(len(v), t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], *state, *none], names)
         if total is not None:
             parts, entries, width = total.shape
             at = [[p, e] for p in range(parts) for e in range(entries)]
             told = [[str(t) for t in total[p, e].tolist()] for p, e in at]
             n = len(at)
-            none = [pa.nulls(n, last.schema.field(c).type) for c in ("id", "label", "v")] + [pa.nulls(n, t) for t in (pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))]
+            none = [pa.nulls(n, last.schema.field(c).type) for c in ("id", "label")] + [pa.nulls(n, pa.binary())] * 3
             yield pa.RecordBatch.from_arrays([*none, pa.array([scans] + [0] * (n - 1), pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(told, pa.list_(pa.string()))], names)
 
     return run
@@ -191,10 +203,12 @@ def vector_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     equal labels, nulls together) and codebooks (hash of all entries). told, a list, gets how many parts each pass compared
     with all entries."""
     spark, kinds = df.sparkSession, dict(df.dtypes)
+    single = kinds[vector_col] == "array<float>"
+    kind = "<f4" if single else "<f8"
     if {id_col, label_col} & {"code", "error", "label_error", "codebooks"}:
         raise ValueError("no id or label column may be called code, error, label_error or codebooks")
     v = F.col(vector_col)
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), (v if single else v.cast("array<double>")).alias("v"))
     rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     first = rows.orderBy(F.col("id").asc_nulls_last(), "v").limit(1).select(F.size("v").alias("n")).collect()
     size = first[0].n if first else 0
@@ -208,7 +222,7 @@ def vector_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if start:
         books = np.ascontiguousarray(whole(np.array(start, float).reshape(len(start), PARTS, -1)).transpose(1, 0, 2))
         for _ in range(rounds):
-            state, before = (stored := store(state.mapInArrow(_round(books, moved, size, names), schema), "vector-codes"))[0], path
+            state, before = (stored := store(state.mapInArrow(_round(books, moved, size, kind, names), schema), "vector-codes"))[0], path
             path = stored[1]
             if before:
                 discard(spark, before)
@@ -222,15 +236,11 @@ def vector_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 4000):
-            x = whole(_numbers(batch["v"], size))
-            before = None
-            if final is not None:
-                code = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64)
-                before = Bounds(code, *(batch[c].flatten().to_numpy().reshape(-1, PARTS) for c in ("upper", "lower")))
-            now = assign(x, whole_books, before, final)
+            x = whole(_vectors(batch["v"], size, kind).astype(float))
+            now = assign(x, whole_books, None if final is None else _bounds(batch), final)
             a, b = _fitting(x, whole_books)
             error = _squares(a, b[np.arange(PARTS), now.code]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([c.tobytes() for c in now.code.astype(np.uint8)], pa.binary()), pa.array([int(e) for e in error], pa.int64())], ["id", "label", "code", "error"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], _packed(now.code.astype(np.uint8)), pa.array([int(e) for e in error], pa.int64())], ["id", "label", "code", "error"])
 
     if books is None:
         done = used.select("id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"))
