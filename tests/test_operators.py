@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import json
 import math
@@ -350,3 +351,93 @@ def test_tables_in_the_shared_folder(spark):
     shared.discard(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def test_peaks_over_blocks_equal_one_array(spark):
+    """Blocks of a few frames, plateaus over several blocks, ties, one and no frames, missing values."""
+    rng = np.random.default_rng(3)
+    signals = {v: np.repeat(rng.integers(0, m := (3, 8, 1000)[v % 3], n) / m, 4 if v % 5 == 0 else 1)[:n] for v in range(24) if (n := int(rng.integers(1, 160)))}
+    rows = [(v, i, i * 0.5, float(x)) for v, xs in signals.items() for i, x in enumerate(xs)] + [(90, 0, 0.0, None), (90, 1, 0.5, math.nan)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, t double, energy double")
+    for distance, block in ((3, 7), (10, 16)):
+        got: dict[int, list] = {}
+        for r in signal.peaks(df, distance=distance, floor=0.3, block=block).collect():
+            got.setdefault(r.video_id, []).append(r)
+        assert set(got) <= set(signals)
+        for v, x in signals.items():
+            own = sorted(got.get(v, []), key=lambda r: r.peak)
+            assert [r.frame for r in own] == signal.find_peaks(x, max(float(np.percentile(x, 70)), 0.3), distance, 0.1).tolist()
+            for r in own:
+                under = np.flatnonzero(x < x[r.frame] * 0.5)
+                first, last = max([-1, *under[under < r.frame]]) + 1, min([len(x), *under[under > r.frame]]) - 1
+                assert (r.t, r.height, r.start_t, r.end_t, r.last_t) == (r.frame * 0.5, x[r.frame], first * 0.5, last * 0.5, (len(x) - 1) * 0.5)
+
+
+def test_one_long_signal_is_many_tasks(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame"), (F.col("id") / 100).alias("t"), (F.abs(F.sin(F.col("id") / 37.0)) * (F.xxhash64("id") % 1000 / 4000.0 + 0.75)).alias("energy"))
+    x = np.array([r.energy for r in df.orderBy("frame").select("energy").collect()])
+    got = sorted(r.frame for r in signal.peaks(df, distance=188, block=8192).collect())
+    assert got == signal.find_peaks(x, max(float(np.percentile(x, 70)), 0.5), 188, 0.1).tolist()
+
+
+def test_exact_quantiles_by_ranges(spark):
+    from tidemark.operators import peaks
+
+    rng = random.Random(5)
+    values = {k: [rng.choice([rng.gauss(0, 1), 1.0, 1e9]) for _ in range(rng.randrange(1, 60))] for k in range(12)}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in [*xs, None]], "video_id long, x double")
+    for share in (0.0, 0.5, 0.7, 1.0):
+        got = {r.video_id: r["quantile"] for r in peaks.quantile(df, "x", share).collect()}
+        assert all(math.isclose(got[k], float(np.quantile(xs, share)), rel_tol=1e-12, abs_tol=1e-12) for k, xs in values.items())
+
+
+def test_suppression_and_merging_in_one_island(spark):
+    """Islands over many batches against the rules, and a chain of 20,000 intervals in one island."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        rng = random.Random(8)
+        rows = [(v, i, float(s := rng.randrange(300)), float(s + rng.randrange(40)), rng.randrange(5) / 4) for v in range(4) for i in range(120)]
+        df = spark.createDataFrame(rows, "video_id long, id long, start double, end double, score double")
+        for limit in (0.3, 0.7, 1.0):
+            merged = {(r.video_id, r.id) for r in folds.merge_duplicates(df, limit, "score").collect()}
+            assert merged == {(v, i) for v in range(4) for i in survivors([(s, e, x, i) for s, i, e, x in sorted((s, i, e, x) for w, i, s, e, x in rows if w == v)], limit)}
+            want = set()
+            for v in range(4):
+                kept: list[tuple[float, float]] = []
+                for _, i, s, e, _ in sorted((r for r in rows if r[0] == v), key=lambda r: (-r[4], r[1])):
+                    if not any((short := min(e - s, b - a)) > 0 and (min(e, b) - max(s, a)) / short > limit for a, b in kept):
+                        kept.append((s, e))
+                        want.add((v, i))
+            assert {(r.video_id, r.id) for r in folds.suppress(df, limit).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    chain = spark.range(20_000).select(F.lit(1).cast("long").alias("video_id"), "id", F.col("id").cast("double").alias("start"), (F.col("id") + 2.5).alias("end"), F.lit(0.5).alias("score"))
+    assert folds.suppress(chain).count() == 10_000 and folds.merge_duplicates(chain, 0.5, "score").count() == 10_000
+
+
+def test_streams_in_any_order(spark, tmp_path):
+    """Updates of one file a micro-batch, in a random order: the stages are those of all updates by time; what is later than the
+    watermark is dropped."""
+    rng = random.Random(6)
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k // 2), k % 3, rng.choice("abcd"), float(rng.randrange(-20, 130)), None) for k in range(200)]
+    shuffled = rng.sample(rows, len(rows))
+    for k in range(5):
+        spark.createDataFrame(shuffled[k * 40 : k * 40 + 40], events.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = events.event_stream(spark, str(tmp_path), 1)
+    updates = lambda e: e.select(F.col("user_id").alias("run"), "at", F.col("event_id").alias("tie"), F.col("event_type").alias("stage"), F.col("value").alias("progress"))
+    states = events.run_to_end(stream, lambda e: events.stage_tracker(updates(e), "1 hour"), str(tmp_path / "out"))
+    got = {(r.run, r.stage): (r.s.status, r.s.progress) for r in states.groupBy("run", "stage").agg(F.max_by(F.struct("status", "progress"), "batch").alias("s")).collect()}
+    want = {}
+    for run in range(3):
+        stages, now = {}, None
+        for _, _, _, stage, progress, _ in (r for r in rows if r[2] == run):
+            now = events.track(now, stages, stage, progress)
+        want |= {(run, s): tuple(v) for s, v in stages.items()}
+    assert got == want
+    counted = events.run_to_end(stream, lambda e: events.tumbling(e, "10 seconds", "1 hour"), str(tmp_path / "windows"))
+    assert counted.agg(F.sum("n")).first()[0] == 200
+    met = events.run_to_end(stream, lambda e: events.sessions(e, "1 second", "1 hour"), str(tmp_path / "sessions"))
+    assert met.agg(F.sum("n")).first()[0] == 200
+    strict = events.run_to_end(stream, lambda e: events.tumbling(e, "10 seconds", "0 seconds"), str(tmp_path / "strict"))
+    assert 0 < strict.agg(F.sum("n")).first()[0] < 200
