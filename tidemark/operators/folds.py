@@ -2,8 +2,8 @@
 
 What cannot reach each other is folded apart: a video is cut into islands where no interval spans (or, for gaps, where two
 rows are the gap apart). Suppression and merging run over an island's rows in order and hold little of it: the kept
-intervals in an index, or those that are open. Minimum gaps and token chunks are an aggregate() over a sorted array: an
-island's times, and one video's token numbers.
+intervals in an index, or those that are open. Minimum gaps are an aggregate() over an island's sorted times. Token chunks
+are in operators/chunks.py.
 """
 
 from __future__ import annotations
@@ -157,24 +157,3 @@ def minimum_gap(df: DataFrame, gap: float, time: str = "time", tie: str = "cut")
     empty = F.filter("xs", lambda x: F.lit(False))
     kept = F.aggregate("xs", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x[time] - F.element_at(acc, -1)[time] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
     return g.select(F.inline(kept))
-
-
-def token_chunks(df: DataFrame, budget: int, overlap: float = 0.10) -> DataFrame:
-    """video_id, chunk, first and last (positions from 1) of greedy chunks of at most ``budget`` tokens; a chunk begins
-    with the last ``int(rows * overlap)`` rows of the one before. df: video_id, seg_id, tokens."""
-    g = _gathered(df, [F.col("seg_id")], ["tokens"])
-    n = F.size("xs")
-    init = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(1).alias("first"), F.lit(0).cast("long").alias("used"))
-
-    def step(s: Column, i: Column) -> Column:
-        own = F.element_at("xs", i)["tokens"].cast("long")
-        full = (s["used"] + own > budget) & (i > s["first"])
-        carry = F.floor((i - s["first"]) * F.lit(overlap)).cast("int")
-        again = F.aggregate(F.when(carry > 0, F.slice("xs", i - carry, carry)).otherwise(F.slice("xs", 1, 0)), F.lit(0).cast("long"), lambda t, x: t + x["tokens"])
-        return F.when(full, F.struct(F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (i - 1).alias("last")))).alias("done"), (i - carry).alias("first"), (again + own).alias("used"))).otherwise(
-            F.struct(s["done"].alias("done"), s["first"].alias("first"), (s["used"] + own).alias("used"))
-        )
-
-    ended = F.aggregate(F.sequence(F.lit(1), n), init, step, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), n.alias("last")))))
-    rows = g.select("video_id", F.posexplode(ended).alias("chunk", "c"))
-    return rows.select("video_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.first").cast("long").alias("first"), F.col("c.last").cast("long").alias("last"))

@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tidemark.functions.intervals import clamp
 from tidemark.functions.text import estimated_tokens, shorten
 from tidemark.operators import editorial, folds, scoring, talk
+from tidemark.operators.chunks import token_chunks
 from tidemark.operators.editorial import Scorer
 from tidemark.sources.shared import materialize
 
@@ -116,7 +117,7 @@ def chunk_prompts(segments: DataFrame, budget: int = MOST_TOKENS) -> DataFrame:
     all of it fits)."""
     place = F.row_number().over(Window.partitionBy("video_id").orderBy("seg_id")).cast("long")
     rows = segments.withColumn("place", place)
-    chunks = folds.token_chunks(talk.line_tokens(segments), budget)
+    chunks = token_chunks(talk.line_tokens(segments), budget)
     n = chunks.groupBy("video_id").agg(F.count("*").alias("chunks"))
     each = chunks.join(n, "video_id").withColumn("place", F.explode(F.sequence("first", "last"))).select("video_id", "chunk", "chunks", "place")
     lines = each.join(rows, ["video_id", "place"])

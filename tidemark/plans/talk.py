@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
-from tidemark.operators import folds, joins, talk
+from tidemark.operators import chunks, joins, talk
 from tidemark.plans.ranking import r6
 from tidemark.sources import domain as d
 from tidemark.sources.shared import materialize
@@ -66,7 +66,7 @@ def transcript_lines(spark, sf: str) -> DataFrame:
 
 
 def token_chunks(spark, sf: str) -> DataFrame:
-    return folds.token_chunks(talk.line_tokens(d.segments(spark, sf)), 300)
+    return chunks.token_chunks(talk.line_tokens(d.segments(spark, sf)), 300)
 
 
 def fixed_chunks(spark, sf: str) -> DataFrame:
