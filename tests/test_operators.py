@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, display, text
-from tidemark.operators import editorial, folds, joins, model, platforms, signal, talk
+from tidemark.operators import chunks, editorial, folds, joins, model, platforms, signal, talk
 from tidemark.sources import files, shared
 from tidemark.streaming import events
 
@@ -441,3 +441,29 @@ def test_streams_in_any_order(spark, tmp_path):
     assert met.agg(F.sum("n")).first()[0] == 200
     strict = events.run_to_end(stream, lambda e: events.tumbling(e, "10 seconds", "0 seconds"), str(tmp_path / "strict"))
     assert 0 < strict.agg(F.sum("n")).first()[0] < 200
+
+
+def chunks_by_the_rule(tokens: list[int], budget: int, overlap: float) -> list[tuple[int, int]]:
+    out, first, used = [], 1, 0
+    for i, own in enumerate(tokens, 1):
+        if used + own > budget and i > first:
+            out.append((first, i - 1))
+            first = i - int((i - first) * overlap)
+            used = sum(tokens[first - 1 : i])
+        else:
+            used += own
+    return [*out, (first, len(tokens))]
+
+
+@pytest.mark.parametrize(("budget", "overlap", "block"), [(20, 0.1, 7), (15, 0.45, 5), (3, 0.3, 8), (21000, 0.1, 10), (20, 0.6, 7)])
+def test_token_chunks_over_blocks(spark, budget, overlap, block):
+    """Videos of many blocks, rows over the budget, rows without tokens, gaps between ids."""
+    rng = random.Random(budget)
+    videos = {v: [rng.choice([0, 0, 1, 2, 3, 5, 9, 40] if v % 2 else [1, 2, 3]) for _ in range(rng.randrange(1, 120))] for v in range(16)}
+    videos |= {97: [0] * 30 + [30] + [0] * 30 + [1] * 20, 98: [50] * 30, 99: [0] * 60}
+    rows = [(v, i * 3 if v % 3 == 0 else i, t) for v, ts in videos.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "video_id long, seg_id long, tokens int")
+    got: dict[int, list] = {}
+    for r in chunks.token_chunks(df, budget, overlap, block).orderBy("video_id", "chunk").collect():
+        got.setdefault(r.video_id, []).append((r.chunk, r.first, r.last))
+    assert got == {v: [(k, *c) for k, c in enumerate(chunks_by_the_rule(ts, budget, overlap))] for v, ts in videos.items()}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import discard, store
+from tidemark.sources.shared import discard, spread, store
 
 BLOCK = 65_536
 #: Rows with tokens behind the first that does not fit any more: a chunk that begins again with more than the budget is cut
@@ -110,7 +110,7 @@ def token_chunks(df: DataFrame, budget: int, overlap: float = 0.10, block: int =
     at = F.floor(F.col("seg_id") / block) if overlap < 0.5 else F.lit(0).cast("long")
     rows = df.select("video_id", at.alias("block"), F.struct("seg_id", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")).alias("r"))
     grouped = rows.groupBy("video_id", "block").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["tokens"]).alias("t"))
-    held, _ = store(grouped, "chunks-blocks")
+    held = spread(store(grouped, "chunks-blocks")[0])
     blocks = held.groupBy("video_id").agg(F.count("*").alias("k"))
     short = _folded(held.join(blocks.where("k = 1"), "video_id", "left_semi"), budget, overlap)
     held = held.join(blocks.where("k > 1"), "video_id", "left_semi")

@@ -6,10 +6,12 @@ block finds its local maxima alone, also plateaus that reach over its end. Thinn
 among peaks nearer than the distance to each other: it goes by islands of such peaks, never by frames. Prominence and the
 walk to half the height ask for the nearest frame above or below a level: it is in the peak's own block, or else the
 summaries name the block that holds it, and the question is sent there; the blocks between count by their lowest values.
+Videos of one block are worked out where they lie.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import islands
-from tidemark.sources.shared import discard, store
+from tidemark.sources.shared import discard, spread, store
 
 BLOCK = 65_536
 #: Ranges of values in which the exact percentile is looked for.
 RANGES = 4096
 
 
+def find_peaks(x: np.ndarray, height: float, distance: int, prominence: float) -> np.ndarray:
+    """Indexes of local maxima (the middle of a plateau) of a height, thinned to a distance from the highest down (of
+    equal ones the later first), that stand out by a prominence."""
+    n = len(x)
+    edge = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], n) - 1
+    inner = np.flatnonzero((edge > 0) & (ends < n - 1))
+    tops = inner[(x[edge[inner] - 1] < x[edge[inner]]) & (x[ends[inner] + 1] < x[edge[inner]])]
+    peaks = (edge[tops] + ends[tops]) // 2
+    peaks = peaks[x[peaks] >= height]
+    keep = np.ones(len(peaks), bool)
+    low, high = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance, "left")
+    for i in np.argsort(x[peaks], kind="stable")[::-1]:
+        if keep[i]:
+            keep[low[i] : high[i]] = False
+            keep[i] = True
+    found = peaks[keep]
+    if not len(found):
+        return found.astype(np.int64)
+    left, right = _base(x), _base(x[::-1])[::-1]
+    return found[x[found] - np.maximum(left[found], right[found]) >= prominence].astype(np.int64)
+
+
+def _base(x: np.ndarray) -> np.ndarray:
+    """The lowest value from each frame back to the nearest higher one: one pass with a falling stack."""
+    out = np.empty(len(x))
+    tops: list[tuple[float, float]] = []  # value, lowest since the one below it in the stack
+    for i, v in enumerate(x.tolist()):
+        low = v
+        while tops and tops[-1][0] <= v:
+            low = min(low, tops.pop()[1])
+        tops.append((v, low))
+        out[i] = low
+    return out
+
+
+def _lower_before(x: np.ndarray, at: list[int], levels: list[float]) -> list[int]:
+    """The last frame before each of ``at`` (rising) that is under its level, -1 if none: one pass with a rising stack."""
+    out: list[int] = []
+    low: list[float] = []
+    frames: list[int] = []
+    want = iter([*zip(at, levels, strict=True), (-1, 0.0)])
+    p, level = next(want)
+    for i, v in enumerate(x.tolist()):
+        if i == p:
+            k = bisect.bisect_left(low, level) - 1
+            out.append(frames[k] if k >= 0 else -1)
+            p, level = next(want)
+        while low and low[-1] >= v:
+            low.pop()
+            frames.pop()
+        low.append(v)
+        frames.append(i)
+    return out
+
+
 def quantile(df: DataFrame, name: str, share: float, key: str = "video_id") -> DataFrame:
     """key, quantile: the exact quantile, interpolated between neighbours. Values are counted by ranges between a key's least
     and greatest; only the ranges that hold the two neighbours are ordered, so no task sees all of a key."""
@@ -167,8 +225,6 @@ LOCAL = "video_id long, pos long, t double, height double, left_low double, righ
 
 def _nearest_below(x: np.ndarray, at: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The last place before each of ``at`` (rising) whose value is under its level; -1 if there is none."""
-    from tidemark.operators.signal import _lower_before
-
     return np.array(_lower_before(x, at.tolist(), level.tolist()), np.int64).reshape(-1)
 
 
@@ -226,15 +282,42 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([batch["video_id"][k].as_py()] * len(q), pa.int64()), pa.array(pos), pa.array(kind), pa.array(np.where(np.isfinite(out), out, np.nan), from_pandas=True)], ["video_id", "pos", "kind", "value"])
 
 
+PEAKS = "video_id long, peak long, frame long, t double, height double, start_t double, end_t double, last_t double"
+
+
+def _of_whole_videos(distance: int, prominence: float, floor: float):
+    """Peaks of videos that are one block each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for video, x, t in zip(batch["video_id"].to_pylist(), _arrays(batch["x"]), _arrays(batch["t"]), strict=True):
+                p = find_peaks(x, max(float(np.percentile(x, 70)), floor), distance, prominence)
+                half, n = x[p] * 0.5, len(x)
+                first = _nearest_below(x, p, half) + 1
+                last = n - 2 - _nearest_below(x[::-1], (n - 1 - p)[::-1], half[::-1])[::-1]
+                parts.append((np.full(len(p), video), np.arange(1, len(p) + 1), p, t[p], x[p], t[first], t[last], np.full(len(p), t[-1])))
+            kinds = [np.int64] * 3 + [float] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts] or [[]]).astype(kind)) for k, kind in enumerate(kinds)], [c.split()[0] for c in PEAKS.split(", ")])
+
+    return run
+
+
 def find(df: DataFrame, name: str, distance: int, prominence: float, floor: float, block: int = BLOCK) -> DataFrame:
     """video_id, peak (1, 2, ... by time), frame, t, height, start_t, end_t (while at half the height or more), last_t. frame
     counts the frames that have a value. Frames without one, and frames that are no number, are left out."""
     spark = df.sparkSession
-    blocks, blocks_path = store(_blocks(df, name, block), "peaks-blocks")
+    stored = spread(store(_blocks(df, name, block), "peaks-blocks")[0])
+    many = stored.groupBy("video_id").agg(F.count("*").alias("k"))
+    short = stored.join(many.where("k = 1"), "video_id", "left_semi").mapInArrow(_of_whole_videos(distance, prominence, floor), PEAKS)
+    many = many.where("k > 1").select("video_id")
+    if many.isEmpty():
+        return short
+    blocks = stored.join(many, "video_id", "left_semi")
     kind = dict(df.dtypes)["video_id"]
     summaries = blocks.mapInArrow(_summaries, f"video_id {kind}, block long, " + ", ".join(f"{c} {t}" for c, t in SUMMARY.items()))
     around, around_path = store(_with_summaries(blocks, summaries).withColumn("start", F.aggregate(F.filter("around", lambda b: b["block"] < F.col("block")), F.lit(0).cast("long"), lambda s, b: s + b["n"])), "peaks-around")
-    level = quantile(df.where(~F.isnan(F.col(name).cast("double"))), name, 0.7).select("video_id", F.greatest("quantile", F.lit(floor)).alias("floor"))
+    level = quantile(df.where(~F.isnan(F.col(name).cast("double"))).join(many, "video_id", "left_semi"), name, 0.7).select("video_id", F.greatest("quantile", F.lit(floor)).alias("floor"))
     tops = around.join(level, "video_id").select("video_id", "block", "x", "around", "floor").mapInArrow(_tops, f"video_id {kind}, pos long, height double")
     apart = islands(tops, ["pos"], F.col("pos"), distance, float(block))
     kept = apart.repartition("video_id", "island").sortWithinPartitions("video_id", "island", "pos").mapInArrow(_thinned(distance), f"video_id {kind}, pos long")
@@ -252,6 +335,6 @@ def find(df: DataFrame, name: str, distance: int, prominence: float, floor: floa
     high = whole.where(F.col("height") - base >= prominence)
     out = high.select("video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("pos")).cast("long").alias("peak"), F.col("pos").alias("frame"), "t", "height", F.coalesce("a2", "start_t").alias("start_t"), F.coalesce("a3", "end_t").alias("end_t"), "last_t")
     done, _ = store(out, "peaks")
-    for path in (blocks_path, around_path, local_path):
+    for path in (around_path, local_path):
         discard(spark, path)
-    return done
+    return short.unionByName(done)

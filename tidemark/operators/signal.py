@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import peaks as blocks
 from tidemark.operators.joins import overlap_join
+from tidemark.operators.peaks import find_peaks as find_peaks  # of one array
 
 
 def normalise(name: str, key: str = "video_id") -> Column:
@@ -48,62 +48,6 @@ def threshold(df: DataFrame, name: str = "energy", share: float = 0.7, floor: fl
     return df.groupBy("video_id").agg(F.greatest(F.percentile(name, share), F.lit(floor)).alias("threshold"))
 
 
-def find_peaks(x: np.ndarray, height: float, distance: int, prominence: float) -> np.ndarray:
-    """Indexes of local maxima (the middle of a plateau) of a height, thinned to a distance from the highest down (of
-    equal ones the later first), that stand out by a prominence."""
-    n = len(x)
-    edge = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if n else np.zeros(0, np.int64)
-    ends = np.append(edge[1:], n) - 1
-    inner = np.flatnonzero((edge > 0) & (ends < n - 1))
-    tops = inner[(x[edge[inner] - 1] < x[edge[inner]]) & (x[ends[inner] + 1] < x[edge[inner]])]
-    peaks = (edge[tops] + ends[tops]) // 2
-    peaks = peaks[x[peaks] >= height]
-    keep = np.ones(len(peaks), bool)
-    low, high = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance, "left")
-    for i in np.argsort(x[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            keep[low[i] : high[i]] = False
-            keep[i] = True
-    found = peaks[keep]
-    if not len(found):
-        return found.astype(np.int64)
-    left, right = _base(x), _base(x[::-1])[::-1]
-    return found[x[found] - np.maximum(left[found], right[found]) >= prominence].astype(np.int64)
-
-
-def _base(x: np.ndarray) -> np.ndarray:
-    """The lowest value from each frame back to the nearest higher one: one pass with a falling stack."""
-    out = np.empty(len(x))
-    tops: list[tuple[float, float]] = []  # value, lowest since the one below it in the stack
-    for i, v in enumerate(x.tolist()):
-        low = v
-        while tops and tops[-1][0] <= v:
-            low = min(low, tops.pop()[1])
-        tops.append((v, low))
-        out[i] = low
-    return out
-
-
-def _lower_before(x: np.ndarray, at: list[int], levels: list[float]) -> list[int]:
-    """The last frame before each of ``at`` (rising) that is under its level, -1 if none: one pass with a rising stack."""
-    out: list[int] = []
-    low: list[float] = []
-    frames: list[int] = []
-    want = iter([*zip(at, levels, strict=True), (-1, 0.0)])
-    p, level = next(want)
-    for i, v in enumerate(x.tolist()):
-        if i == p:
-            k = bisect.bisect_left(low, level) - 1
-            out.append(frames[k] if k >= 0 else -1)
-            p, level = next(want)
-        while low and low[-1] >= v:
-            low.pop()
-            frames.pop()
-        low.append(v)
-        frames.append(i)
-    return out
-
-
 def peaks(df: DataFrame, name: str = "energy", distance: int = 3, prominence: float = 0.1, floor: float = 0.5, block: int = blocks.BLOCK) -> DataFrame:
     """video_id, peak (1, 2, ... by time), frame, t, height, start_t, end_t (while at half the height or more), last_t: the
     peaks that find_peaks gives of a video's frames, found block by block (see operators/peaks.py)."""
