@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, display, text
-from tidemark.operators import chunks, editorial, folds, joins, model, platforms, signal, talk
+from tidemark.operators import chunks, editorial, folds, joins, ledger, model, platforms, signal, talk
 from tidemark.sources import files, shared
 from tidemark.streaming import events
 
@@ -467,3 +468,46 @@ def test_token_chunks_over_blocks(spark, budget, overlap, block):
     for r in chunks.token_chunks(df, budget, overlap, block).orderBy("video_id", "chunk").collect():
         got.setdefault(r.video_id, []).append((r.chunk, r.first, r.last))
     assert got == {v: [(k, *c) for k, c in enumerate(chunks_by_the_rule(ts, budget, overlap))] for v, ts in videos.items()}
+
+
+def test_ledger_asks_each_prompt_once(spark, tmp_path):
+    """Repeated rows, null prompts, second runs and repeated tasks make no second call; failed prompts are asked again."""
+    told, path = str(tmp_path / "calls"), f"file://{tmp_path}/ledger"
+
+    def call(prompt: str) -> str:
+        with open(told, "a") as f:
+            f.write(prompt + "\n")
+        if prompt.startswith("bad"):
+            raise ValueError("no")
+        return prompt.upper()
+
+    def calls() -> list[str]:
+        with open(told) as f:
+            return sorted(f.read().split("\n")[:-1])
+
+    ask = ledger.recorded(call, path, together=4, tasks=3)
+    rows = [(k, f"p{k % 40}") for k in range(100)] + [(200, None), (201, "bad")]
+    df = spark.createDataFrame(rows, "id long, prompt string")
+    got = {r.id: (r.response, r.attempts) for r in ask(df).collect()}
+    assert got == {k: (None, 0) if p is None else (None, 1) if p == "bad" else (p.upper(), 1) for k, p in rows}
+    assert calls() == sorted({p for _, p in rows if p})
+    more = spark.createDataFrame([(1, "p1"), (2, "new"), (3, "bad")], "id long, prompt string")
+    assert {r.id: r.response for r in ask(more).collect()} == {1: "P1", 2: "NEW", 3: None}
+    assert calls() == sorted([*{p for _, p in rows if p}, "new", "bad"])
+    batch = pa.RecordBatch.from_pydict({"_key": [f"k{k}" for k in range(10)], "prompt": [f"q{k}" for k in range(10)]})
+    run = ledger._asks(call, f"{tmp_path}/other", 1, 4, 0.0)
+    first = [b.to_pylist() for b in run(iter([batch]))]
+    before = len(calls())
+    assert [b.to_pylist() for b in run(iter([batch]))] == first and len(calls()) == before
+    assert [r["response"] for b in first for r in b] == [f"Q{k}" for k in range(10)]
+
+
+def test_pace_holds_the_rate():
+    clock = [0.0]
+    pace = ledger.Pace(0.5, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    begins = []
+    for k in range(6):
+        pace.wait()
+        begins.append(clock[0])
+        clock[0] += 0.1 if k != 3 else 2.0
+    assert all(b - a >= 0.5 - 1e-9 for a, b in zip(begins, begins[1:])) and begins[4] - begins[3] == 2.0

@@ -3,17 +3,19 @@ alignment with flags, the full run and the older one."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import config, display
-from tidemark.operators import editorial, model, pipelines, platforms, scoring
+from tidemark.operators import editorial, ledger, model, pipelines, platforms, scoring
 from tidemark.plans import talk as talk_plans
 from tidemark.plans.publishing import _GATE, _PLAN, _VF, _videos
 from tidemark.plans.ranking import _PAIRS, _fold, r6
 from tidemark.sources import domain as d
 from tidemark.sources.files import local_duration
-from tidemark.sources.shared import materialize
+from tidemark.sources.shared import materialize, scratch
 
 #: Tokens of a chunk (small, so that most transcripts take several), clips and moments wanted, shortest and longest clip.
 BUDGET, CLIPS, MOMENTS, SHORT, LONG = 300, 6, 8, 20.0, 50.0
@@ -167,9 +169,20 @@ def run_progress(spark, sf: str) -> DataFrame:
     return editorial.run_progress(states).select("run", F.round("overall", 6).alias("overall"), "failed", "summary")
 
 
+def _digest(prompt: str) -> str:
+    """Stands in for a service."""
+    return f"{hashlib.md5(prompt.encode()).hexdigest()}:{len(prompt)}"
+
+
+def recorded_answers(spark, sf: str) -> DataFrame:
+    """Whole texts as prompts, asked through a ledger."""
+    prompts = d.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return ledger.recorded(_digest, scratch(spark, "ledger"))(prompts).select("doc_id", "response", "attempts")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (model_clips, model_moments, model_thoughts, thought_expansion, model_looks, four_layer_run, layer_usage, aligned_flags, full_run, render_results, render_totals, media_arguments, plan_warnings, platform_texts, chosen_clips, ranked_signals, scored_run, option_checks, run_progress)
+    for f in (model_clips, model_moments, model_thoughts, thought_expansion, model_looks, four_layer_run, layer_usage, aligned_flags, full_run, render_results, render_totals, media_arguments, plan_warnings, platform_texts, chosen_clips, ranked_signals, scored_run, option_checks, run_progress, recorded_answers)
 }
 
 _CHUNKS = (
@@ -247,6 +260,7 @@ _S3 = lambda x: f"printf('%.3f', round(({x})::DECIMAL(18, 6), 3)::DOUBLE)"  # no
 _NUMBER_ERROR = lambda name, x, low, high: f"CASE WHEN {x} IS NULL THEN NULL WHEN try_cast({x} AS DOUBLE) IS NULL THEN '{name}:not_a_number' WHEN try_cast({x} AS DOUBLE) < {low} THEN '{name}:too_small' WHEN try_cast({x} AS DOUBLE) > {high} THEN '{name}:too_large' END"
 _TITLES = "CASE kind " + " ".join(f"WHEN '{k}' THEN CASE code " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in titles.items()) + f" ELSE '{other}' END" for k, (titles, other) in config.TITLES.items()) + " END"
 ORACLE = {
+    "recorded_answers": "SELECT doc_id, md5(text) || ':' || length(text) AS response, (text IS NOT NULL)::BIGINT AS attempts FROM documents",
     "model_clips": _det(CLIPS) + """ SELECT video_id, rank, name AS id, start, "end", score AS interest_score, title, reason, 'talk' AS content_type FROM det""",
     "model_moments": _MOM.replace("@n@", str(MOMENTS)) + " SELECT video_id, id, rs AS rough_start, re AS rough_end, score AS interest_score, idea AS core_idea, 'general' AS content_type FROM mom",
     "model_thoughts": _THO.replace("@n@", str(MOMENTS)) + " SELECT video_id, id, s0 AS expanded_start, e0 AS expanded_end, confidence, summary AS thought_summary FROM tho",
