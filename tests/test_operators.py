@@ -511,3 +511,16 @@ def test_pace_holds_the_rate():
         begins.append(clock[0])
         clock[0] += 0.1 if k != 3 else 2.0
     assert all(b - a >= 0.5 - 1e-9 for a, b in zip(begins, begins[1:])) and begins[4] - begins[3] == 2.0
+
+
+def test_frames_of_a_long_recording_some_at_a_time(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(0, 0.2, 9001)
+    padded = np.pad(y, 32)
+    want = np.lib.stride_tricks.sliding_window_view(padded, 64)[::16]
+    df = spark.createDataFrame([(1, 8000, y.tolist()), (2, 8000, [0.5] * 3), (3, 8000, None)], "video_id long, rate int, samples array<double>")
+    rows = sorted(tuple(r) for r in signal.frame_features(df, 64, 16).collect())
+    own = [r for r in rows if r[0] == 1]
+    assert len(own) == len(want) == 563 and [r[1] for r in own] == list(range(563)) and len(rows) == 564
+    assert np.allclose([r[3] for r in own], np.sqrt((want**2).mean(axis=1)), rtol=1e-12)
+    assert np.allclose([r[5] for r in own], (np.diff(np.signbit(want), axis=1) != 0).sum(axis=1) / 64)

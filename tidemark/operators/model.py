@@ -135,7 +135,7 @@ def detect_clips(segments: DataFrame, ask: Scorer, n: int, least: float | None =
     """video_id, rank, id, start, end, title, reason, interest_score, content_type: clips that a model finds."""
     answers = ask(chunk_prompts(segments, budget)).select("video_id", "chunk", "chunks", "response")
     rows = editorial.parse_clips(answers, least=least, most=most).withColumnRenamed("id", "name")
-    rows = rows.withColumn("id", F.col("chunk") * 100000 + F.substring("name", 6, 20).cast("long")).withColumnRenamed("start_time", "start").withColumnRenamed("end_time", "end")
+    rows = rows.withColumn("id", F.struct("chunk", F.substring("name", 6, 20).cast("long").alias("place"))).withColumnRenamed("start_time", "start").withColumnRenamed("end_time", "end")
     merged = _merged(rows, 0.7, n)
     name = F.when(F.col("chunks") == 1, F.col("name")).otherwise(F.format_string("clip_%03d", "rank"))
     return merged.select("video_id", "rank", name.alias("id"), "start", "end", "title", "reason", "interest_score", "content_type")
@@ -144,7 +144,7 @@ def detect_clips(segments: DataFrame, ask: Scorer, n: int, least: float | None =
 def detect_moments(segments: DataFrame, ask: Scorer, n: int, budget: int = MOST_TOKENS) -> DataFrame:
     """video_id, id (moment_001, ...), rough_start, rough_end, core_idea, interest_score, content_type."""
     answers = ask(chunk_prompts(segments, budget)).select("video_id", "chunk", "chunks", "response")
-    rows = editorial.parse_moments(answers).withColumn("id", F.col("chunk") * 100000 + F.col("pos")).withColumnRenamed("rough_start", "start").withColumnRenamed("rough_end", "end")
+    rows = editorial.parse_moments(answers).withColumn("id", F.struct("chunk", "pos")).withColumnRenamed("rough_start", "start").withColumnRenamed("rough_end", "end")
     one = scoring.top(rows.where("chunks = 1"), "interest_score", 1 << 30)
     many = _merged(rows.where("chunks > 1"), 0.5, n)
     both = one.unionByName(many.select(*one.columns))

@@ -70,20 +70,35 @@ def peak_segments(df: DataFrame, least: float, most: float, name: str = "energy"
     return p.join(means, ["video_id", "peak"], "left").select("video_id", F.format_string("energy_%03d", "peak").alias("id"), "start", "end", F.col("t").alias("peak_time"), F.col("height").alias("energy_score"), "avg_energy")
 
 
+#: Frames whose windows a worker holds at once.
+FRAMES = 512
+
+
 def frame_features(samples: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
     """video_id, frame, t, rms, centroid, zcr of centred frames. samples: video_id, rate int, samples array<float>."""
 
+    shape = np.hanning(frame + 1)[:-1]
+    names = ["video_id", "frame", "t", "rms", "centroid", "zcr"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for video, rate, y in zip(*(batch[c].to_pylist() for c in ("video_id", "rate", "samples")), strict=True):
-                y = np.pad(np.array(y or [], float), frame // 2)
-                n = 1 + (len(y) - frame) // hop if len(y) > frame else 0
-                rows = np.lib.stride_tricks.sliding_window_view(y, frame)[::hop][:n] if n else np.zeros((0, frame))
-                size = np.abs(np.fft.rfft(rows * np.hanning(frame + 1)[:-1], axis=1))
-                total = size.sum(axis=1)
-                centroid = np.where(total > 0, (size * np.fft.rfftfreq(frame, 1 / rate)).sum(axis=1) / np.where(total > 0, total, 1), 0.0)
-                zcr = (np.diff(np.signbit(rows), axis=1) != 0).sum(axis=1) / frame
-                yield pa.RecordBatch.from_arrays([pa.array([video] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.arange(n) * hop / rate), pa.array(np.sqrt((rows**2).mean(axis=1))), pa.array(centroid), pa.array(zcr)], ["video_id", "frame", "t", "rms", "centroid", "zcr"])
+            for k, (video, rate) in enumerate(zip(batch["video_id"].to_pylist(), batch["rate"].to_pylist(), strict=True)):
+                held = batch["samples"][k]
+                y = held.values.to_numpy(zero_copy_only=False) if held.is_valid else np.zeros(0)
+                n = 1 + (len(y) + frame // 2 * 2 - frame) // hop if len(y) + frame // 2 * 2 > frame else 0
+                step = np.fft.rfftfreq(frame, 1 / rate) if n else None
+                for first in range(0, n, FRAMES):  # some frames at a time: their windows are four times the samples and more
+                    count = min(FRAMES, n - first)
+                    begin = first * hop - frame // 2
+                    end = begin + (count - 1) * hop + frame
+                    part = np.pad(np.asarray(y[max(begin, 0) : end], float), (max(-begin, 0), max(end - len(y), 0)))
+                    rows = np.lib.stride_tricks.sliding_window_view(part, frame)[::hop][:count]
+                    size = np.abs(np.fft.rfft(rows * shape, axis=1))
+                    total = size.sum(axis=1)
+                    centroid = np.where(total > 0, (size * step).sum(axis=1) / np.where(total > 0, total, 1), 0.0)
+                    zcr = (np.diff(np.signbit(rows), axis=1) != 0).sum(axis=1) / frame
+                    at = np.arange(first, first + count)
+                    yield pa.RecordBatch.from_arrays([pa.array([video] * count, pa.int64()), pa.array(at), pa.array(at * hop / rate), pa.array(np.sqrt((rows**2).mean(axis=1))), pa.array(centroid), pa.array(zcr)], names)
 
     return samples.select("video_id", "rate", "samples").mapInArrow(run, "video_id long, frame long, t double, rms double, centroid double, zcr double")
 
