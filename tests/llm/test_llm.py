@@ -758,4 +758,4 @@ def test_guard_imports_everything():
 
     from tidemark.llm import catalog as c
 
-    assert all(m.__name__ in sys.modules for m in c.MODULES) and len(c.queries()) == 10
+    assert all(m.__name__ in sys.modules for m in c.MODULES) and len(c.queries()) == 13
