@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import signal
 from tidemark.plans.ranking import r6
 from tidemark.sources import domain as d
+from tidemark.sources import sound
+from tidemark.sources.shared import scratch
 
 
 def _features(spark, sf):
@@ -65,6 +67,26 @@ def frame_features(spark, sf: str) -> DataFrame:
     return signal.frame_features(_samples(spark, sf), 8, 4).select("video_id", "frame", *r6("t", "rms", "centroid", "zcr"))
 
 
+def _blocks(spark, sf, size: int = 16, rate: int = 8):
+    """The same samples in blocks."""
+    f = d.frames(spark, sf).select("video_id", F.expr(f"frame div {size} * {size}").alias("first"), F.struct("frame", (F.col("value") / 512.0 - 0.06).alias("x")).alias("f"))
+    return f.groupBy("video_id", "first").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["x"]).alias("samples")).withColumn("rate", F.lit(rate))
+
+
+def frame_features_blocks(spark, sf: str) -> DataFrame:
+    """The same features of the same samples in blocks of sixteen."""
+    return signal.frame_features(_blocks(spark, sf), 8, 4).select("video_id", "frame", *r6("t", "rms", "centroid", "zcr"))
+
+
+def wave_blocks(spark, sf: str) -> DataFrame:
+    """Samples written as WAV files, two or more for each video, and read back in blocks of sixteen."""
+    path = scratch(spark, "waves")
+    sound.write_waves(_blocks(spark, sf), path, 64)
+    whole = F.transform("samples", lambda x: F.round(x * 32768).cast("long"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    return sound.read_waves(spark, path, 16).select("video_id", "first", F.size("samples").cast("long").alias("n"), total(whole).alias("total"), total(F.transform(whole, lambda x, i: x * (i + 1))).alias("weighted"))
+
+
 def sample_levels(spark, sf: str) -> DataFrame:
     """Level and sum of samples as they are, compressed, made louder and lifted; whether they should be enhanced."""
     x = F.col("samples")
@@ -74,7 +96,7 @@ def sample_levels(spark, sf: str) -> DataFrame:
     return out.select("video_id", *r6("level", "compressed", "louder", "lifted"), "enhance")
 
 
-QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, sample_levels)}
+QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, frame_features_blocks, wave_blocks, sample_levels)}
 
 _B = f"""WITH RECURSIVE {d.SQL.strip()},
 thr AS (SELECT video_id, greatest(quantile_cont(energy, 0.7), 0.5::DOUBLE) AS threshold FROM frames GROUP BY video_id)"""
@@ -121,3 +143,6 @@ ORACLE = {
     "energy_segments": _SEGS + """ SELECT video_id, printf('energy_%03d', peak) AS id, round(start, 6) AS start, round("end", 6) AS "end", round(t, 6) AS peak_time, round(h, 6) AS energy_score, round(avg_energy, 6) AS avg_energy FROM segs""",
     "energy_top": _PEAKS + """ SELECT video_id, id, rank, round(h, 6) AS energy_score FROM (SELECT *, printf('energy_%03d', peak) AS id, row_number() OVER (PARTITION BY video_id ORDER BY h DESC, peak) AS rank FROM peaks) WHERE rank <= 3""",
 }
+ORACLE["frame_features_blocks"] = ORACLE["frame_features"]
+ORACLE["wave_blocks"] = _B + """, q AS (SELECT video_id, frame // 16 * 16 AS first, frame % 16 + 1 AS i, greatest(-32768, least(32767, round((value / 512.0::DOUBLE - 0.06::DOUBLE) * 32768)))::BIGINT AS x FROM frames)
+    SELECT video_id, first, count(*) AS n, sum(x)::BIGINT AS total, sum(x * i)::BIGINT AS weighted FROM q GROUP BY ALL"""

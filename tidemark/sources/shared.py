@@ -45,6 +45,21 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def filesystem(uri: str):
+    """pyarrow's file system for a path or URI as Spark writes it, and the path in it; ValueError for an unknown scheme."""
+    from pyarrow import ArrowInvalid, fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri.rstrip("/")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].strip("/")
+    scheme, rest = uri.split("://", 1)
+    try:
+        return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest.rstrip('/')}")
+    except ArrowInvalid as e:
+        raise ValueError(f"no file system for {scheme}://: {e}") from None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan over at least as many partitions as there are cores. Rows that take long each (as encoding texts does) would
     keep most cores idle where a table has few files; larger tables, and plans that shuffle already, are left as they are."""
