@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import signal
+from tidemark.operators import loudness, signal
 from tidemark.sources import sound
 
 
@@ -95,3 +95,56 @@ def test_frames_over_blocks(spark):
     with pytest.raises(Exception, match="shorter than a frame"):
         signal.frame_features(blocks_of(spark, made[:1], {1: [100, 120]}), 64, 16).collect()
     assert signal.frame_features(blocks_of(spark, made[:1], {}).withColumn("samples", F.lit(None).cast("array<double>")), 64, 16).count() == 0
+
+
+def plain_loudness(y, rate, weights):
+    """One recording, sample by sample."""
+    for top, low in weights(rate):
+        out, s, u = [], 0.0, 0.0
+        for x in y:
+            v = top[0] * x + s
+            s, u = top[1] * x - low[1] * v + u, top[2] * x - low[2] * v
+            out.append(v)
+        y = out
+    n = round((len(y) / rate - 0.4) / 0.1) + 1 if len(y) / rate >= 0.4 else 0
+    power = [sum(v * v for v in y[int(0.1 * j * rate + 1e-9) : int(0.1 * (j + 4) * rate + 1e-9)]) / (0.4 * rate) for j in range(n)]
+    loud = lambda z: -0.691 + 10 * np.log10(z)
+    past = [z for z in power if z > 0 and loud(z) >= -70]
+    past = [z for z in past if loud(z) > loud(np.mean(past)) - 10 and loud(z) > -70]
+    return n, len(past), loud(np.mean(past)) if past else None
+
+
+def test_published_coefficients():
+    """The published filters at 48 kHz, as near as the frequencies in whole Hertz allow."""
+    (top, low), (_, pass_low) = loudness.ear(48000)
+    assert np.allclose(top, [1.53512485958697, -2.69169618940638, 1.19839281085285], atol=0.05)
+    assert np.allclose(low, [1, -1.69065929318241, 0.73248077421585], atol=0.05)
+    assert np.allclose(pass_low, [1, -1.99004745483398, 0.99007225036621], atol=1e-3)
+
+
+def test_gated_loudness(spark):
+    """Any cut into blocks, odd rates, silence, short recordings and tones equal the plain form."""
+    rng = np.random.default_rng(3)
+    tone = np.sin(np.arange(20000) * 2 * np.pi * 997 / 8000)
+    made = [(1, 8000, tone), (2, 8000, rng.normal(size=9000) * np.repeat([1, 1e-3, 1e-5], 3000)), (3, 8000, np.zeros(5000)), (4, 8000, tone[:3199]), (5, 8000, tone[:3200]), (6, 11025, rng.normal(size=15001) * 0.01), (7, 7350, rng.normal(size=8000) * 1e-9), (8, 8000, tone[:3650])]
+    cuts = {1: [5000, 10000, 10100, 10101, 15000], 2: [3000, 6000], 6: list(range(1000, 15000, 1000)), 8: [1]}
+    got = {r.video_id: r for r in loudness.gated_loudness(blocks_of(spark, made, cuts)).collect()}
+    for video, rate, y in made:
+        n, gated, level = plain_loudness(y.tolist(), rate, loudness.ear)
+        r = got[video]
+        assert (r.blocks, r.gated) == (n, gated)
+        assert r.loudness is None if level is None else abs(r.loudness - level) < 1e-8
+    assert abs(got[1].loudness - -3.01) < 0.3 and got[3].loudness is None and got[4].loudness is None
+
+
+def test_louder(spark):
+    tone = np.sin(np.arange(8000) * 2 * np.pi * 500 / 8000)
+    made = [(1, 8000, tone * 0.01), (2, 8000, tone), (3, 8000, np.zeros(4000)), (4, 8000, tone[:1000] * 0.01)]
+    rows = blocks_of(spark, made, {1: [4000]}).withColumn("extra", F.lit("x"))
+    gain = {r.video_id: r.gain for r in loudness.gains(rows).collect()}
+    level = plain_loudness((tone * 0.01).tolist(), 8000, loudness.ear)[2]
+    assert abs(gain[1] - (0.7 * 10 ** ((-18 - level) / 20) + 0.3)) < 1e-6 and gain[2] == gain[3] == 1
+    assert abs(gain[4] - 0.08 / np.sqrt(np.mean((tone[:1000] * 0.01) ** 2)) * 0.8) < 1e-6
+    out = loudness.louder(rows).where("video_id = 1 AND first = 4000").first()
+    assert np.allclose(out.samples, tone[4000:] * 0.01 * gain[1]) and out.extra == "x"
+    assert loudness.gated_loudness(rows.limit(0)).count() == 0

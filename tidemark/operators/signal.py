@@ -218,6 +218,11 @@ def lifted(samples: Column, target: float = 0.08) -> Column:
     return F.when((level > 0) & (level < target * 0.5), F.transform(samples, lambda x: x * (target / level) * 0.8)).otherwise(samples)
 
 
+def lifted_gain(level: Column, target: float = 0.08) -> Column:
+    """The factor that ``lifted`` takes at a level."""
+    return F.when((level > 0) & (level < target * 0.5), target / level * 0.8).otherwise(1.0)
+
+
 def energy_timeline(df: DataFrame, size: int, level: str = "rms", centroid: str = "centroid", crossings: str = "zcr") -> DataFrame:
     """video_id, frame, t, combined: the three features, each normalised within its video, mixed and smoothed."""
     mixed = timeline_mix(*(normalise(c) for c in (level, centroid, crossings)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import signal
+from tidemark.operators import loudness, signal
 from tidemark.plans.ranking import r6
 from tidemark.sources import domain as d
 from tidemark.sources import sound
@@ -87,6 +87,25 @@ def wave_blocks(spark, sf: str) -> DataFrame:
     return sound.read_waves(spark, path, 16).select("video_id", "first", F.size("samples").cast("long").alias("n"), total(whole).alias("total"), total(F.transform(whole, lambda x, i: x * (i + 1))).alias("weighted"))
 
 
+#: Samples a second of the loudness queries, and the frequencies of their weighting, which lie lower than by ear.
+RATE = 40
+
+
+def _weights(rate: int):
+    return loudness.high_shelf(rate, at=5.0), loudness.high_pass(rate, at=1.0)
+
+
+def gated_loudness(spark, sf: str) -> DataFrame:
+    """Gating blocks, those past the gates, and loudness of samples in blocks of sixteen."""
+    return loudness.gated_loudness(_blocks(spark, sf, 16, RATE), _weights).select("video_id", "blocks", "gated", *r6("loudness"))
+
+
+def louder_blocks(spark, sf: str) -> DataFrame:
+    """Sums of the samples of each block, an eighth as loud, brought to the target loudness."""
+    quiet = _blocks(spark, sf, 16, RATE).withColumn("samples", F.transform("samples", lambda x: x / 8))
+    return loudness.louder(quiet, weights=_weights).select("video_id", "first", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x).alias("total")).select("video_id", "first", *r6("total"))
+
+
 def sample_levels(spark, sf: str) -> DataFrame:
     """Level and sum of samples as they are, compressed, made louder and lifted; whether they should be enhanced."""
     x = F.col("samples")
@@ -96,7 +115,7 @@ def sample_levels(spark, sf: str) -> DataFrame:
     return out.select("video_id", *r6("level", "compressed", "louder", "lifted"), "enhance")
 
 
-QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, frame_features_blocks, wave_blocks, sample_levels)}
+QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, frame_features_blocks, wave_blocks, gated_loudness, louder_blocks, sample_levels)}
 
 _B = f"""WITH RECURSIVE {d.SQL.strip()},
 thr AS (SELECT video_id, greatest(quantile_cont(energy, 0.7), 0.5::DOUBLE) AS threshold FROM frames GROUP BY video_id)"""
@@ -146,3 +165,22 @@ ORACLE = {
 ORACLE["frame_features_blocks"] = ORACLE["frame_features"]
 ORACLE["wave_blocks"] = _B + """, q AS (SELECT video_id, frame // 16 * 16 AS first, frame % 16 + 1 AS i, greatest(-32768, least(32767, round((value / 512.0::DOUBLE - 0.06::DOUBLE) * 32768)))::BIGINT AS x FROM frames)
     SELECT video_id, first, count(*) AS n, sum(x)::BIGINT AS total, sum(x * i)::BIGINT AS weighted FROM q GROUP BY ALL"""
+
+
+def _loud_sql(scale: str) -> str:
+    """Loudness in SQL: each filter a recursion over the samples, then both gates."""
+    stage = lambda k, f: f"""{k} AS (SELECT video_id, frame, {f[0][0]!r}::DOUBLE * x AS y, {f[0][1] - f[1][1] * f[0][0]!r}::DOUBLE * x AS s, {f[0][2] - f[1][2] * f[0][0]!r}::DOUBLE * x AS u FROM {{}} WHERE frame = 0
+      UNION ALL SELECT i.video_id, i.frame, {f[0][0]!r}::DOUBLE * i.x + r.s, {f[0][1]!r}::DOUBLE * i.x - {f[1][1]!r}::DOUBLE * ({f[0][0]!r}::DOUBLE * i.x + r.s) + r.u, {f[0][2]!r}::DOUBLE * i.x - {f[1][2]!r}::DOUBLE * ({f[0][0]!r}::DOUBLE * i.x + r.s) FROM {k} r JOIN {{}} i ON i.video_id = r.video_id AND i.frame = r.frame + 1)"""
+    one, two = (stage(k, f).format(src, src) for k, f, src in zip(("w1", "w2"), _weights(RATE), ("xs", "ys"), strict=True))
+    return f"""{_B}, xs AS (SELECT video_id, frame, (value / 512.0::DOUBLE - 0.06::DOUBLE) * {scale} AS x FROM frames), {one}, ys AS (SELECT video_id, frame, y AS x FROM w1), {two},
+    len AS (SELECT video_id, count(*) AS n, CASE WHEN count(*) / 40.0::DOUBLE >= 0.4::DOUBLE THEN round_even((count(*) / 40.0::DOUBLE - 0.4::DOUBLE) / 0.1::DOUBLE, 0)::BIGINT + 1 ELSE 0 END AS blocks FROM xs GROUP BY video_id),
+    z AS (SELECT l.video_id, b AS block, (SELECT sum(y * y) / 16 FROM w2 WHERE w2.video_id = l.video_id AND w2.frame >= b * 4 AND w2.frame < b * 4 + 16) AS power FROM (SELECT video_id, unnest(range(0, blocks)) AS b FROM len) l),
+    a AS (SELECT *, -0.691::DOUBLE + 10 * log10(power) AS level FROM z WHERE power > 0 AND -0.691::DOUBLE + 10 * log10(power) >= -70),
+    g AS (SELECT video_id, -10.691::DOUBLE + 10 * log10(avg(power)) AS gate FROM a GROUP BY video_id),
+    loud AS (SELECT video_id, count(*) AS gated, -0.691::DOUBLE + 10 * log10(avg(power)) AS loudness FROM a JOIN g USING (video_id) WHERE level > gate AND level > -70 GROUP BY video_id)"""
+
+
+ORACLE["gated_loudness"] = _loud_sql("1") + " SELECT video_id, blocks, coalesce(gated, 0) AS gated, round(loudness, 6) AS loudness FROM len LEFT JOIN loud USING (video_id)"
+ORACLE["louder_blocks"] = _loud_sql("0.125::DOUBLE") + """, lv AS (SELECT video_id, sqrt(avg(x * x)) AS level FROM xs GROUP BY video_id),
+    gain AS (SELECT video_id, CASE WHEN loudness IS NULL THEN CASE WHEN level > 0 AND level < 0.04::DOUBLE THEN 0.08::DOUBLE / level * 0.8::DOUBLE ELSE 1 END WHEN loudness < -21 THEN 0.7::DOUBLE * 10 ** ((-18 - loudness) / 20) + 0.3::DOUBLE ELSE 1 END AS gain FROM len JOIN lv USING (video_id) LEFT JOIN loud USING (video_id))
+    SELECT video_id, frame // 16 * 16 AS first, round(sum(x) * any_value(gain), 6) AS total FROM xs JOIN gain USING (video_id) GROUP BY ALL"""
