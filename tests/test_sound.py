@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import loudness, signal
+from tidemark.operators import loudness, noise, signal
 from tidemark.sources import sound
 
 
@@ -148,3 +148,64 @@ def test_louder(spark):
     out = loudness.louder(rows).where("video_id = 1 AND first = 4000").first()
     assert np.allclose(out.samples, tone[4000:] * 0.01 * gain[1]) and out.extra == "x"
     assert loudness.gated_loudness(rows.limit(0)).count() == 0
+
+
+def plain_reduced(y, level, frames, cuts):
+    """A whole recording, frame by frame; the floor is read from the frames that no cut crosses."""
+    how, length, hop = noise.LEVELS[level], frames.length, frames.hop
+    window = np.hanning(length + 1)[:-1]
+    wide = 2 * length + frames.times * hop
+    wide += -wide % hop
+    z = np.pad(y, (wide, 2 * wide))
+    starts = range(0, len(z) - length, hop)
+    spectra = np.array([np.fft.rfft(z[a : a + length] * window) for a in starts])
+    level_db = 20 * np.log10(np.maximum(np.abs(spectra), 1e-30))
+    bounds = [0, *cuts, len(y)]
+    inside = [k for k, a in enumerate(starts) if any(lo <= a - wide and a - wide + length <= hi for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))]
+    floor = []
+    for band in range(length // 2 + 1):
+        held = sorted(int(np.floor(v)) for v in level_db[inside, band] if v >= noise.LOWEST)
+        floor.append(held[int(np.ceil(how.share * len(held))) - 1] + 1 if held else noise.LOWEST)
+    mask = np.clip((level_db - floor - how.margin) / how.slope, 0, 1)
+    b, t = frames.bands // 2, frames.times // 2
+    mask = np.array([[np.mean([row[min(max(j, 0), len(row) - 1)] for j in range(i - b, i + b + 1)]) for i in range(len(row))] for row in mask])
+    mask = np.array([mask[max(0, i - t) : i + t + 1].mean(axis=0) for i in range(len(mask))])
+    out, weight = np.zeros(len(z)), np.zeros(len(z))
+    for a, s, m in zip(starts, spectra, mask, strict=True):
+        out[a : a + length] += np.fft.irfft(s * (1 - how.amount * (1 - m)), length) * window
+        weight[a : a + length] += window**2
+    return (out / np.maximum(weight, 1e-12))[wide : wide + len(y)]
+
+
+def test_noise_over_blocks(spark):
+    """Blocks give what the whole recording gives."""
+    rng = np.random.default_rng(4)
+    made = [(v, 8000, rng.normal(size=n) * 0.01 + np.sin(np.arange(n) * 0.3) * (np.arange(n) % 900 > 600)) for v, n in ((1, 4000), (2, 1500), (3, 64), (4, 300))]
+    cuts = {1: [1003, 2000, 3300, 3990], 2: [640], 4: [290]}
+    rows = blocks_of(spark, made, cuts).withColumn("extra", F.lit("x"))
+    frames = noise.Frames(64, 16, 3, 5)
+    for level in noise.LEVELS:
+        got = noise.reduced(rows, level, frames).collect()
+        assert len(got) == rows.count() and {r.extra for r in got} == {"x"}
+        for video, _, y in made:
+            own = np.concatenate([r.samples for r in sorted((r for r in got if r.video_id == video), key=lambda r: r.first)])
+            assert np.allclose(own, plain_reduced(y, level, frames, cuts.get(video, [])), atol=1e-9)
+    odd = spark.createDataFrame([(1, 8, 0, [0.5, 0.25]), (2, 8, 0, []), (3, 8, 0, None), (None, 8, 0, [1.0])], "video_id long, rate int, first long, samples array<double>")
+    assert sorted(map(str, noise.reduced(odd).collect())) == sorted(str(r) for r in odd.select("video_id", "first", "rate", "samples").collect())
+    with pytest.raises(Exception, match="shorter than"):
+        noise.reduced(blocks_of(spark, made[:1], {1: [1000, 1010]}), "gentle", frames).collect()
+
+
+def test_noise_falls_and_talk_stays(spark):
+    rng = np.random.default_rng(5)
+    n = 60000
+    talk = np.sin(np.arange(n) * 2 * np.pi * 440 / 16000) * 0.3
+    talk[(np.arange(n) // 10000) % 2 == 0] = 0
+    y = talk + rng.normal(size=n) * 0.005
+    quiet = np.concatenate([np.arange(a + 2000, a + 8000) for a in (0, 20000, 40000)])
+    loud = quiet + 10000
+    for level, share in (("gentle", 0.8), ("moderate", 0.95), ("strong", 0.98)):
+        got = noise.reduced(blocks_of(spark, [(1, 16000, y)], {1: [20000, 40000]}), level).collect()
+        out = np.concatenate([r.samples for r in sorted(got, key=lambda r: r.first)])
+        assert (out[quiet] ** 2).sum() < (1 - share) * (y[quiet] ** 2).sum()
+        assert 0.95 < (out[loud] ** 2).sum() / (talk[loud] ** 2).sum() < 1.01

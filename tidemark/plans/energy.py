@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import loudness, signal
+from tidemark.operators import loudness, noise, signal
 from tidemark.plans.ranking import r6
 from tidemark.sources import domain as d
 from tidemark.sources import sound
@@ -106,6 +106,14 @@ def louder_blocks(spark, sf: str) -> DataFrame:
     return loudness.louder(quiet, weights=_weights).select("video_id", "first", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x).alias("total")).select("video_id", "first", *r6("total"))
 
 
+def reduced_noise(spark, sf: str) -> DataFrame:
+    """Sums of each block's samples, plain and weighted by place, after noise reduction with spectra of eight samples."""
+    out = noise.reduced(_blocks(spark, sf), "gentle", noise.Frames(8, 4, 1, 1))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    sums = out.select("video_id", "first", total(F.col("samples")).alias("total"), total(F.transform("samples", lambda x, i: x * (i + 1))).alias("weighted"))
+    return sums.select("video_id", "first", *r6("total", "weighted"))
+
+
 def sample_levels(spark, sf: str) -> DataFrame:
     """Level and sum of samples as they are, compressed, made louder and lifted; whether they should be enhanced."""
     x = F.col("samples")
@@ -115,7 +123,7 @@ def sample_levels(spark, sf: str) -> DataFrame:
     return out.select("video_id", *r6("level", "compressed", "louder", "lifted"), "enhance")
 
 
-QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, frame_features_blocks, wave_blocks, gated_loudness, louder_blocks, sample_levels)}
+QUERIES = {f.__name__: f for f in (energy_normalised, energy_mix, energy_smoothed, energy_threshold, energy_peaks, energy_segments, energy_top, energy_timeline, frame_features, frame_features_blocks, wave_blocks, gated_loudness, louder_blocks, reduced_noise, sample_levels)}
 
 _B = f"""WITH RECURSIVE {d.SQL.strip()},
 thr AS (SELECT video_id, greatest(quantile_cont(energy, 0.7), 0.5::DOUBLE) AS threshold FROM frames GROUP BY video_id)"""
@@ -184,3 +192,13 @@ ORACLE["gated_loudness"] = _loud_sql("1") + " SELECT video_id, blocks, coalesce(
 ORACLE["louder_blocks"] = _loud_sql("0.125::DOUBLE") + """, lv AS (SELECT video_id, sqrt(avg(x * x)) AS level FROM xs GROUP BY video_id),
     gain AS (SELECT video_id, CASE WHEN loudness IS NULL THEN CASE WHEN level > 0 AND level < 0.04::DOUBLE THEN 0.08::DOUBLE / level * 0.8::DOUBLE ELSE 1 END WHEN loudness < -21 THEN 0.7::DOUBLE * 10 ** ((-18 - loudness) / 20) + 0.3::DOUBLE ELSE 1 END AS gain FROM len JOIN lv USING (video_id) LEFT JOIN loud USING (video_id))
     SELECT video_id, frame // 16 * 16 AS first, round(sum(x) * any_value(gain), 6) AS total FROM xs JOIN gain USING (video_id) GROUP BY ALL"""
+_HANN = "(0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * {} / 8))"
+ORACLE["reduced_noise"] = _B + f""", xs AS (SELECT video_id, frame, value / 512.0::DOUBLE - 0.06::DOUBLE AS x FROM frames), len AS (SELECT video_id, count(*) AS n FROM xs GROUP BY video_id),
+    smp AS (SELECT k.video_id, k, i, n, coalesce(x, 0) * {_HANN.format("i")} AS h FROM (SELECT video_id, n, unnest(range(-1, (n - 1) // 4 + 1)) AS k FROM len) k CROSS JOIN (SELECT unnest(range(0, 8)) AS i) LEFT JOIN xs ON xs.video_id = k.video_id AND xs.frame = k * 4 + i),
+    spec AS (SELECT video_id, k, n, b, sum(h * cos(2 * pi() * b * i / 8)) AS re, -sum(h * sin(2 * pi() * b * i / 8)) AS im FROM smp, (SELECT unnest(range(0, 5)) AS b) GROUP BY ALL),
+    lv AS (SELECT *, 20 * log10(greatest(sqrt(re * re + im * im), 1e-30)) AS db FROM spec),
+    fl AS (SELECT video_id, b, list(floor(db) ORDER BY floor(db))[ceil(0.25::DOUBLE * count(*))::INT] + 1 AS floor FROM lv WHERE k >= 0 AND k * 4 // 16 = (k * 4 + 7) // 16 AND k * 4 + 7 < n AND db >= -150 GROUP BY video_id, b),
+    cut AS (SELECT video_id, k, b, re * g AS re, im * g AS im FROM (SELECT lv.*, 1 - 0.8::DOUBLE * (1 - greatest(0, least(1, (db - coalesce(floor, -150) - 9) / 6))) AS g FROM lv LEFT JOIN fl USING (video_id, b))),
+    back AS (SELECT video_id, k * 4 + i AS frame, i, sum((CASE WHEN b IN (0, 4) THEN 1 ELSE 2 END) * (re * cos(2 * pi() * b * i / 8) - im * sin(2 * pi() * b * i / 8))) / 8 AS y FROM cut, (SELECT unnest(range(0, 8)) AS i) GROUP BY ALL),
+    done AS (SELECT video_id, frame, sum(y * {_HANN.format("i")}) / ({_HANN.format("(frame % 4)")} ** 2 + {_HANN.format("(frame % 4 + 4)")} ** 2) AS y FROM back GROUP BY video_id, frame)
+    SELECT video_id, frame // 16 * 16 AS first, round(sum(y), 6) AS total, round(sum(y * (frame % 16 + 1)), 6) AS weighted FROM done JOIN xs USING (video_id, frame) GROUP BY ALL"""
