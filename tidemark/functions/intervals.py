@@ -49,3 +49,9 @@ def weighted(weights: list[float], scores: list[Column]) -> Column:
     """Sum of scores under weights that are brought to a sum of 1."""
     total = sum(weights)
     return sum((s * (w / total) for w, s in zip(weights[1:], scores[1:], strict=True)), scores[0] * (weights[0] / total))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Half-up to some places, as a decimal of nine places first: a half is a half whatever the last bit of a sum or mean
+    says. What no such decimal holds (a billion or more, infinities, NaN) is rounded as it is."""
+    return F.coalesce(F.round(x.try_cast("decimal(18,9)"), places).cast("double"), F.round(x, places))

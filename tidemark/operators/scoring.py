@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import hybrid_score, ratio_of_first, weighted
+from tidemark.functions.intervals import hybrid_score, ratio_of_first, rounded, weighted
 from tidemark.operators.joins import overlap_join
 
 BIN = 24.0
@@ -56,7 +56,7 @@ def hybrid_stats(scored: DataFrame, energy: DataFrame) -> DataFrame:
 
 def ranked_scores(df: DataFrame, score: str = "combined", tie: str = "id") -> DataFrame:
     """df with its score to two places and the rank by that rounded score, ties in input order."""
-    out = df.withColumn(score, F.round(score, 2))
+    out = df.withColumn(score, rounded(F.col(score), 2))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.col(score).desc(), tie)).cast("long"))
 
 
