@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.intervals import rounded
 from tidemark.functions.text import mm_ss
 
 RULE, DASHES = "=" * 70, "-" * 60
@@ -91,9 +92,9 @@ def hybrid_report(clips: DataFrame, stats: DataFrame, top: int = 10) -> DataFram
     lines = [
         F.concat(F.when(F.col("has_high_energy"), "⚡").otherwise("  "), F.format_string(" #%d - %s", "rank", F.substring("title", 1, 55))),
         F.concat(text("      Time: "), mm_ss(F.col("start")), text(" → "), mm_ss(F.col("end")), F.format_string(" (%.0fs)", F.col("end") - F.col("start"))),
-        F.format_string("      AI Score:     %.3f", "interest_score"),
-        F.format_string("      Hybrid Score: %.3f (+%.1f%%)", F.col("hybrid_score"), gain),
-        F.when(F.col("overlapping_segments") > 0, F.format_string("      Energy: %.3f peak, %.1f%% overlap, %d segments", F.col("max_energy"), F.col("overlap_ratio") * 100, F.col("overlapping_segments"))).otherwise("      Energy: No high-energy overlap"),
+        F.format_string("      AI Score:     %.3f", rounded(F.col("interest_score"), 3)),
+        F.format_string("      Hybrid Score: %.3f (+%.1f%%)", rounded(F.col("hybrid_score"), 3), rounded(gain, 1)),
+        F.when(F.col("overlapping_segments") > 0, F.format_string("      Energy: %.3f peak, %.1f%% overlap, %d segments", rounded(F.col("max_energy"), 3), rounded(F.col("overlap_ratio") * 100, 1), F.col("overlapping_segments"))).otherwise("      Energy: No high-energy overlap"),
         text(""),
     ]
     shown = clips.groupBy("video_id").agg(F.count("*").alias("shown"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import hybrid_score, ratio_of_first, rounded, weighted
@@ -40,9 +40,16 @@ def rank_changes(df: DataFrame, before: str = "interest_score", after: str = "hy
     return out.withColumn("changed", F.abs(F.col("ai_rank") - F.col("hybrid_rank")) > more_than)
 
 
+def _mean(x: Column) -> Column:
+    """Mean to three places, half-up, summed as decimals: the same in whatever order rows come. Values that no such decimal
+    holds (infinities, NaN) are averaged as they are."""
+    exact = F.round(F.avg(x.try_cast("decimal(38,18)")), 3).cast("double")
+    return F.coalesce(F.when(F.max(F.abs(x)) < 1e9, exact).otherwise(F.round(F.avg(x), 3)), F.lit(0.0))
+
+
 def hybrid_stats(scored: DataFrame, energy: DataFrame) -> DataFrame:
     """Counts, averages to three places and ranking changes of each video. scored: as hybrid gives them."""
-    avg = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(0.0))
+    avg = lambda c: _mean(F.col(c) if isinstance(c, str) else c)
     boosted = F.col("energy_boost") > 0
     own = scored.groupBy("video_id").agg(
         F.count("*").alias("total_ai_clips"), F.count("*").alias("total_hybrid_clips"), F.count_if("has_high_energy").alias("clips_with_high_energy"), F.count_if(boosted).alias("clips_with_energy_boost"),
