@@ -25,12 +25,15 @@ def read_transcripts(spark: SparkSession, path: str, lines: bool = False) -> Dat
     return rows.withColumn("video_id", F.coalesce("video_id", F.input_file_name()))
 
 
-def transcript_documents(segments: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def transcript_documents(segments: DataFrame, words: DataFrame | Callable[[Column], Column] | None = None) -> DataFrame:
     """video_id, value: the transcript document of each video. segments: video_id, seg_id, start, end, text; words:
-    video_id, word_idx, word, start, end."""
+    video_id, word_idx, word, start, end, or a function from a segment (id, start, end, text) to the array of its words,
+    which needs no rows of words."""
     own = F.array_sort(F.collect_list(F.struct(F.col("seg_id").alias("id"), "start", "end", "text")))
     docs = segments.groupBy("video_id").agg(own.alias("segments"), F.max_by("end", "seg_id").alias("duration"))
-    if words is not None:
+    if callable(words):
+        docs = docs.withColumn("words", F.flatten(F.transform("segments", words)))
+    elif words is not None:
         spoken = words.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.struct("word", "start", "end").alias("w")))).alias("ws"))
         docs = docs.join(spoken.select("video_id", F.transform("ws", lambda w: w["w"]).alias("words")), "video_id", "left")
     text = F.array_join(F.transform("segments", lambda s: F.trim(s["text"])), " ")
@@ -184,8 +187,8 @@ def result_documents(clips: DataFrame, stats: DataFrame | None = None) -> DataFr
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """JSON lines, one a row of ``value``."""
-    docs.select("value").write.mode("overwrite").text(path)
+    """JSON lines, one a row of ``value``, in packed files (words with their times shrink about tenfold)."""
+    docs.select("value").write.mode("overwrite").text(path, compression="gzip")
 
 
 def write_layers(layers: dict[str, DataFrame], path: str) -> None:
