@@ -1,6 +1,8 @@
 import random
 
-from tidemark.operators import talk
+from pyspark.sql import functions as F
+
+from tidemark.operators import pipelines, talk
 
 
 def _whole_tables(spark):
@@ -29,3 +31,12 @@ def test_no_pair_of_range_and_text_is_shuffled(spark):
     plan = talk.text_in(ranges, segments)._jdf.queryExecution().optimizedPlan().toString()
     lines = [x.strip(" :+-|") for x in plan.splitlines()]
     assert next(i for i, x in enumerate(lines) if x.startswith("Join")) < next(i for i, x in enumerate(lines) if x.startswith("Aggregate"))
+
+
+def test_titles_are_cut_before_they_are_joined(spark):
+    segments = spark.createDataFrame([(1, i, i * 10.0, i * 10.0 + 9, f"{'long ' * 30}{i}.") for i in range(9)], "video_id long, seg_id long, start double, end double, text string")
+    clips = segments.selectExpr("video_id", "seg_id AS id", "start + 1 AS start", "start + 30 AS end", "'old' AS title")
+    said = pipelines.align_all(clips, segments, retitle=lambda rows: rows.withColumn("response", F.col("prompt")))
+    plan = said.select("video_id", "id", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert "..." not in plan[: plan.index("Join ")]
+    assert {len(r.title) for r in said.collect()} == {60}

@@ -25,11 +25,12 @@ def align_all(clips: DataFrame, segments: DataFrame, cuts: DataFrame | None = No
         a = a.join(flags, (F.col("video_id") == F.col("_v")) & (F.col("start") == F.col("_t")), "left").withColumn("on_cut", F.coalesce("_d", F.lit(False))).drop("_v", "_t", "_d")
     if retitle is None:
         return a
+    a = materialize(a, "aligned-clips")  # read three times below; working it out each time costs its shuffles each time
     moved = a.where("professionally_aligned").select("video_id", "id", "start", "end")
     asked = talk.text_in(moved, segments).where("text <> ''").withColumnRenamed("text", "prompt")
-    said = retitle(asked).select("video_id", "id", unquote(F.trim("response")).alias("_said"))
+    said = retitle(asked).select("video_id", "id", unquote(F.trim("response")).alias("_said")).where("_said <> ''").select("video_id", "id", as_title(F.col("_said")).alias("_said"))  # cut before the join: an answer may be as long as its text
     a = a.join(said, ["video_id", "id"], "left").withColumn("original_title", F.col("title"))
-    return a.withColumn("title", F.when(F.coalesce("_said", F.lit("")) != "", as_title(F.col("_said"))).otherwise(F.col("title"))).drop("_said")
+    return a.withColumn("title", F.coalesce("_said", "title")).drop("_said")
 
 
 def analysed(segments: DataFrame, energy: DataFrame, n: int, ask: Scorer, least: float | None, most: float | None, budget: int, weight: float = 0.3) -> DataFrame:
